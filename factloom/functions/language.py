@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank
+from .text import is_blank, let
 
 # --- fixed values -----------------------------------------------------------
 ENGLISH, TELUGU, MIXED = "en", "te", "mixed"
@@ -70,9 +70,19 @@ def _is_mixed(telugu: Column, latin: Column) -> Column:
 
 
 def detect_language(value: Column) -> Column:
-    """Struct ``<language, confidence>`` of a text; null and blank are English at 0.0."""
-    telugu, latin, blank = telugu_count(value), latin_count(value), is_blank(value)
-    return F.struct(
-        language_of(telugu, latin, blank).alias("language"),
-        confidence_of(telugu, latin, blank).alias("confidence"),
+    """Struct ``<language, confidence>`` of a text; null and blank are English at 0.0.
+
+    The rules read the letter counts many times; ``let`` has them counted once.
+    """
+    counts = F.struct(
+        F.coalesce(telugu_count(value), F.lit(0)).alias("telugu"),
+        F.coalesce(latin_count(value), F.lit(0)).alias("latin"),
+        is_blank(value).alias("blank"),
+    )
+    return let(
+        counts,
+        lambda c: F.struct(
+            language_of(c["telugu"], c["latin"], c["blank"]).alias("language"),
+            confidence_of(c["telugu"], c["latin"], c["blank"]).alias("confidence"),
+        ),
     )

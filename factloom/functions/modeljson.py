@@ -16,13 +16,8 @@ _NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 
 
 def braces_slice(raw: Column) -> Column:
-    """From the first ``{`` to the last ``}``; null where there is no such stretch."""
-    start = F.locate("{", raw)
-    end = F.length(raw) - F.locate("}", F.reverse(raw)) + 1
-    return F.when(
-        (start > 0) & F.contains(raw, F.lit("}")) & (start < end),
-        F.substring(raw, start, end - start + 1),
-    )
+    """From the first ``{`` to the last ``}``; empty where there is no such stretch."""
+    return F.regexp_extract(raw, r"(?s)\A[^{]*+(\{.*\})", 1)
 
 
 def fenced_or_braced(raw: Column) -> Column:
@@ -36,7 +31,8 @@ def fenced_or_braced(raw: Column) -> Column:
     return (
         F.when(body.rlike(tagged), strip(F.regexp_extract(body, tagged, 1)))
         .when(body.rlike(plain), strip(F.regexp_extract(body, plain, 1)))
-        .otherwise(F.coalesce(strip(braces_slice(body)), body))
+        .when(body.rlike(r"(?s)\A[^{]*+\{.*\}"), braces_slice(body))
+        .otherwise(body)
     )
 
 

@@ -98,4 +98,4 @@ def validate(frame: DataFrame) -> DataFrame:
             "evidence_summary": summary_list(doc),
             **texts,
         }
-    ).drop("doc", "reply_error", "confidence_score")
+    ).drop("doc", "reply_error")

@@ -57,9 +57,15 @@ class OrderedGroups:
         keys: Sequence[str],
         order: Sequence[str],
         row_limit: int = GROUP_ROW_LIMIT,
+        measured: DataFrame | None = None,
     ) -> OrderedGroups:
+        """Group ``frame``, cutting the groups that are larger than ``row_limit``.
+
+        ``measured`` names a cheaper table whose groups are at least as large, such
+        as the one ``frame`` was filtered from; sizes are then taken there.
+        """
         keys, order = tuple(keys), tuple(order)
-        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        sizes = (frame if measured is None else measured).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         oversized = sizes.filter(F.col("_rows") > row_limit)
         total = oversized.agg(F.sum("_rows")).first()[0]
         if not total:

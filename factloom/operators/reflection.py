@@ -107,13 +107,13 @@ def guard(frame: DataFrame) -> DataFrame:
 
 def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``doc`` (VARIANT, null if unusable) and ``reply_error`` (null if usable)."""
-    sliced = mj.braces_slice(strip(F.col(raw)))
+    sliced = mj.braces_slice(F.col(raw))
     parsed = frame.withColumn("_slice", sliced).withColumn("_doc", mj.parse(F.col("_slice")))
     empty = F.try_variant_get("_doc", "$", "string") == "{}"
     return parsed.withColumns(
         {
             "doc": F.when(F.col("_doc").isNotNull() & ~empty, F.col("_doc")),
-            "reply_error": F.when(F.col("_slice").isNull() | empty, UNPARSED).when(
+            "reply_error": F.when((F.coalesce("_slice", F.lit("")) == "") | empty, UNPARSED).when(
                 F.col("_doc").isNull(), BROKEN_REPLY
             ),
         }

@@ -1,10 +1,11 @@
 """From submissions to claim-ready text.
 
-User text is worked on per submission and recognised text per image, so an image
-that many submissions share is cleaned and translated once.  The two meet in one
-join on the image, and everything after that happens inside the row: there is no
-regrouping of segments, and texts without Telugu are never shuffled by the
-translation step.
+Recognised text is worked on per image, so an image that many submissions share
+is cleaned and translated once.  Submissions are read in two parts.  Those with
+neither an image nor Telugu text need nothing from other rows and are finished
+where they are read; only the others go through the join on the image and the
+join on their translated sentences.  Everything else happens inside the row: no
+segments are regrouped, and rows that fail get their fallback values in place.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import ENGLISH, MIXED, detect_language
-from ..functions.text import normalize_text, strip
+from ..functions.language import (
+    ENGLISH, MIXED, confidence_of, has_telugu, language_of, latin_count, telugu_count,
+)
+from ..functions.text import as_text, is_blank, normalize_text, strip
 from ..sources.schemas import SEGMENT
-from ..sources.submissions import NO_USABLE_TEXT, has_image, with_presence
+from ..sources.submissions import MISSING_IMAGE, NO_INPUT, NO_USABLE_TEXT, with_presence
 from .cleaning import clean
 from .ocr import FLAG_EMPTY_TEXT
-from .translation import needs_translation, translate_routed
+from .translation import needs_translation, sentence_answers, translated_text
 
 _FIELDS = [
     "original_text", "detected_language", "language_confidence", "normalized_text",
@@ -27,11 +30,21 @@ _FIELDS = [
 
 
 def with_language(frame: DataFrame, text: str = "original_text") -> DataFrame:
-    """Add ``detected_language`` and ``language_confidence`` of the raw text."""
-    found = detect_language(F.col(text))
-    return frame.withColumns(
-        {"detected_language": found["language"], "language_confidence": found["confidence"]}
+    """Add ``detected_language`` and ``language_confidence`` of the raw text.
+
+    The letter counts are columns of their own, because the rules read them often.
+    """
+    value = as_text(F.col(text))
+    counted = frame.withColumns(
+        {"_telugu": telugu_count(value), "_latin": latin_count(value), "_blank": is_blank(value)}
     )
+    counts = F.col("_telugu"), F.col("_latin"), F.col("_blank")
+    return counted.withColumns(
+        {
+            "detected_language": language_of(*counts),
+            "language_confidence": confidence_of(*counts),
+        }
+    ).drop("_telugu", "_latin", "_blank")
 
 
 def with_clean_text(frame: DataFrame, text: str = "original_text") -> DataFrame:
@@ -42,58 +55,75 @@ def with_clean_text(frame: DataFrame, text: str = "original_text") -> DataFrame:
     )
 
 
-def process_text(frame: DataFrame, key: str, memory: DataFrame) -> DataFrame:
-    """Add language, clean text and translation of ``original_text``; ``key`` identifies a row.
-
-    The split on language comes before the text work, so that each row is cleaned
-    in one branch only and only Telugu and mixed rows take part in a shuffle.
-    """
-    known = with_language(frame)
-    routed = with_clean_text(known.filter(needs_translation()))
-    direct = with_clean_text(known.filter(~needs_translation()))
-    translated = translate_routed(routed, [key], "normalized_text", memory).drop(
-        "sentences_translated", "sentences_skipped", "was_translated"
-    )
-    return translated.unionByName(
-        direct.withColumn("translated_text", F.lit(None).cast("string"))
-    )
-
-
-def _nullable(frame: DataFrame, name: str, like: DataFrame) -> DataFrame:
-    return frame.withColumn(name, F.lit(None).cast(like.schema[name].dataType))
-
-
-def text_sides(submissions: DataFrame, memory: DataFrame) -> DataFrame:
-    """Submissions with a ``user`` struct: their text segment, or null without text."""
-    present = with_presence(submissions)
-    texts = present.filter("had_text").withColumn("original_text", strip(F.col("text")))
-    worked = process_text(texts, "submission_id", memory).select(
-        *present.columns, F.struct(*_FIELDS).alias("user")
-    )
-    return worked.unionByName(_nullable(present.filter("not had_text"), "user", worked))
+def _with_translation(rows: DataFrame) -> DataFrame:
+    """``translated_text`` from ``answers``, for Telugu and mixed texts only."""
+    told = F.when(needs_translation(), translated_text("normalized_text"))
+    return rows.withColumn("translated_text", told).drop("answers")
 
 
 def image_sides(documents: DataFrame, memory: DataFrame) -> DataFrame:
-    """Images with an ``ocr`` struct; ``original_text`` in it is null if nothing was read."""
+    """Images with an ``ocr`` struct; ``original_text`` in it is null if nothing was read.
+
+    Documents are partitioned by image already, so their join with the answers
+    moves only the answers.
+    """
     images = documents.select(
         "image_id",
         F.nullif(strip(F.col("text")), F.lit("")).alias("original_text"),
         F.col("average_confidence").alias("ocr_confidence"),
         F.col("quality_flags").alias("image_flags"),
     )
-    return process_text(images, "image_id", memory).select(
+    worked = with_clean_text(with_language(images))
+    answers = sentence_answers(
+        worked.filter(needs_translation()), ["image_id"], "normalized_text", memory
+    )
+    return _with_translation(worked.join(answers, "image_id", "left")).select(
         "image_id", F.struct(*_FIELDS, "ocr_confidence", "image_flags").alias("ocr")
     )
 
 
 def side_by_side(submissions: DataFrame, documents: DataFrame, memory: DataFrame) -> DataFrame:
-    """One row per submission with its ``user`` and ``ocr`` structs.
+    """One row per submission with its ``user`` and ``ocr`` structs and a ``reason``.
 
-    Submissions without an image stay out of the image join.
+    ``user`` is null without text and ``ocr`` without a known image; ``reason`` says
+    why a row cannot be processed, or is null.  ``documents`` lists every image that
+    exists.  In the image join, rows without an image carry a key of their own, so
+    they spread instead of piling up on null.
     """
-    rows = text_sides(submissions, memory)
-    joined = rows.filter(has_image()).join(image_sides(documents, memory), "image_id")
-    return joined.unionByName(_nullable(rows.filter(~has_image()), "ocr", joined))
+    present = with_presence(submissions).withColumn("original_text", strip(as_text(F.col("text"))))
+    joins = F.col("had_image") | has_telugu(F.col("original_text"))
+    alone = with_clean_text(with_language(present.filter(~joins)))
+    others = with_clean_text(with_language(present.filter(joins)))
+
+    answers = sentence_answers(
+        others.filter(needs_translation()), ["submission_id"], "normalized_text", memory
+    )
+    images = image_sides(documents, memory).withColumnRenamed("image_id", "_image")
+    key = F.when(F.col("had_image"), F.col("image_id")).otherwise(
+        F.concat(F.lit("\0"), F.col("submission_id").cast("string"))
+    )
+    joined = (
+        others.withColumn("_key", key)
+        .join(answers, "submission_id", "left")
+        .join(images, F.col("_key") == F.col("_image"), "left")
+        .drop("_key", "_image")
+    )
+    apart = alone.withColumns(
+        {
+            name: F.lit(None).cast(joined.schema[name].dataType)
+            for name in ("answers", "ocr")
+        }
+    )
+    user = F.when(F.col("had_text"), F.struct(*_FIELDS)).alias("user")
+    no_input = ~F.col("had_text") & ~F.col("had_image")
+    missing = F.col("had_image") & F.col("ocr").isNull()
+    reason = F.when(no_input, NO_INPUT).when(missing, F.concat(F.lit(MISSING_IMAGE), "image_id"))
+    columns = [*submissions.columns, "had_text", "had_image", user, "ocr", reason.alias("reason")]
+    return (
+        _with_translation(joined).select(*columns).unionByName(
+            _with_translation(apart).select(*columns)
+        )
+    )
 
 
 def _segment(side: str, order: Column, confidence: Column) -> Column:
@@ -156,7 +186,7 @@ def _ready(segment: Column) -> Column:
 
 
 def aggregate(sides: DataFrame) -> DataFrame:
-    """The processed row of each submission, and ``reason`` where no usable text came out.
+    """The processed row of each submission; ``reason`` also tells where no usable text came out.
 
     Flags keep the order in which the steps raised them, each once.
     """
@@ -175,7 +205,6 @@ def aggregate(sides: DataFrame) -> DataFrame:
     return merged.select(
         "submission_id",
         "text",
-        "image_id",
         _joined(segments, _ready).alias("processed_text"),
         _joined(segments, lambda s: s["normalized_text"]).alias("pre_translation_text"),
         "original_language",
@@ -188,5 +217,5 @@ def aggregate(sides: DataFrame) -> DataFrame:
         F.array_distinct(flags).alias("quality_flags"),
         translated.alias("translated_segments"),
         none.alias("errors"),
-        F.when(~usable, F.lit(NO_USABLE_TEXT)).alias("reason"),
+        F.coalesce("reason", F.when(~usable, F.lit(NO_USABLE_TEXT))).alias("reason"),
     )

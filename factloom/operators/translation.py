@@ -57,19 +57,17 @@ def translation_counts(sentences: Column) -> dict[str, Column]:
     }
 
 
-def translate_routed(frame: DataFrame, keys: list[str], text: str, memory: DataFrame) -> DataFrame:
-    """Add ``translated_text`` and the counts to rows that are known to need translation.
-
-    Only the Telugu sentences are unnested and meet the memory; the answers come
-    back as one map per row, and the row puts its sentences together again in
-    place.  A sentence the memory lacks stands as it is, and still counts as
-    translated.  A sentence that many rows share skews the join on its text;
-    adaptive execution splits that side, since the memory holds it once.
+def sentence_answers(
+    frame: DataFrame, keys: list[str], text: str, memory: DataFrame
+) -> DataFrame:
+    """Per key, a map from sentence number to its translation (``answers``).
+
+    Only Telugu sentences that the memory knows are in it; keys with none have no
+    row.  A sentence that many rows share skews the join on its text; adaptive
+    execution splits that side, since the memory holds it once.
     """
-    value = as_text(F.col(text))
-    split = frame.withColumn("_sentences", split_sentences(value))
     asked = (
-        split.select(*keys, F.posexplode("_sentences"))
+        frame.select(*keys, F.posexplode(split_sentences(as_text(F.col(text)))))
         .filter(has_telugu(F.col("col")))
         .select(
             *keys,
@@ -80,37 +78,51 @@ def translate_routed(frame: DataFrame, keys: list[str], text: str, memory: DataF
     )
     known = memory.groupBy("source_sentence").agg(F.min("translated").alias("translated"))
     answer = strip(restore_urls(F.col("translated"), F.col("urls")))
-    answers = (
+    return (
         asked.join(known, "source_sentence")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", answer))).alias("_answers"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", answer))).alias("answers"))
     )
-    spoken = F.transform(
-        "_sentences", lambda sentence, at: F.coalesce(F.col("_answers")[at], sentence)
-    )
-    whole = F.when(has_telugu(value), strip(F.array_join(spoken, " "))).otherwise(strip(value))
-    return (
-        split.join(answers, keys, "left")
-        .withColumns({"translated_text": whole, **translation_counts(F.col("_sentences"))})
-        .drop("_sentences", "_answers")
+
+
+def spoken(sentences: Column, answers: Column) -> Column:
+    """The sentences put together again, each as its answer where there is one."""
+    told = F.transform(sentences, lambda sentence, at: F.coalesce(answers[at], sentence))
+    return strip(F.array_join(told, " "))
+
+
+def translated_text(text: str, answers: str = "answers") -> Column:
+    """The translated form of a text with its answers; text without Telugu is only trimmed."""
+    value = as_text(F.col(text))
+    return F.when(has_telugu(value), spoken(split_sentences(value), F.col(answers))).otherwise(
+        strip(value)
     )
 
 
 def translate(frame: DataFrame, keys: list[str], text: str, memory: DataFrame) -> DataFrame:
-    """:func:`translate_routed` for any rows; those without Telugu skip every shuffle.
+    """Add ``translated_text`` and the sentence counts.
 
-    ``keys`` identify a row.  Text without Telugu comes back trimmed.
+    ``keys`` identify a row.  Only rows with Telugu are shuffled: their Telugu
+    sentences meet the memory, the answers come back as one map per row, and the
+    row puts its sentences together in place.  A sentence the memory lacks stands
+    as it is, and still counts as translated.
     """
     value = as_text(F.col(text))
-    plain = frame.filter(~has_telugu(value))
+    telugu = frame.filter(has_telugu(value))
+    answers = sentence_answers(telugu, keys, text, memory)
     sentences = F.when(is_blank(value), F.array().cast("array<string>")).otherwise(
         split_sentences(value)
     )
-    unchanged = (
-        plain.withColumns({"translated_text": strip(value), "_sentences": sentences})
-        .withColumns(translation_counts(F.col("_sentences")))
-        .drop("_sentences")
-    )
-    return translate_routed(frame.filter(has_telugu(value)), keys, text, memory).unionByName(
-        unchanged
+    asked = telugu.join(answers, keys, "left")
+    plain = frame.filter(~has_telugu(value)).withColumn(
+        "answers", F.lit(None).cast(answers.schema["answers"].dataType)
     )
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumns({"translated_text": translated_text(text), "_sentences": sentences})
+            .withColumns(translation_counts(F.col("_sentences")))
+            .drop("_sentences", "answers")
+        )
+
+    return finish(asked).unionByName(finish(plain))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import modeljson as mj
 from ..functions.phrases import VERDICT_PHRASES, singular_sources
 from ..functions.text import as_text, strip
+from .groups import GROUP_ROW_LIMIT, OrderedGroups
 
 # --- fixed values -----------------------------------------------------------
 VERDICTS = ["Real", "Fake", "Unverified"]
@@ -54,7 +55,7 @@ def first_parseable(replies: DataFrame, stage: str = "supervisor") -> DataFrame:
     A minimum with map-side combine; claims without a usable try have no row.
     """
     tries = replies.filter((F.col("stage") == stage) & (F.col("try_no") <= MAX_TRIES))
-    sliced = tries.withColumn("reply", mj.braces_slice(strip(F.col("raw"))))
+    sliced = tries.withColumn("reply", mj.braces_slice(F.col("raw")))
     return (
         sliced.filter(mj.parse(F.col("reply")).isNotNull())
         .groupBy("claim_id")
@@ -97,28 +98,29 @@ def key_items(doc: Column) -> Column:
     )
 
 
-def parse_verdicts(chosen: DataFrame, counts: DataFrame, reply: str = "reply") -> DataFrame:
-    """Verdict columns from the chosen reply; ``counts`` is (claim_id, evidence_count)."""
-    parsed = chosen.join(counts, "claim_id", "left").withColumns(
-        {
-            "_doc": mj.parse(F.col(reply)),
-            "evidence_count": F.coalesce("evidence_count", F.lit(0).cast("bigint")),
-        }
-    )
+def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
+    """Add the verdict columns and ``items`` from the chosen reply.
+
+    Rows carry the ``evidence_count`` of their claim.
+    """
     doc = F.col("_doc")
-    return parsed.withColumns(
-        {
-            "final_verdict": verdict_name(mj.text_item(doc, "final_verdict", UNVERIFIED)),
-            "confidence_score": percent_item(doc, "confidence_score"),
-            "trust_score": percent_item(doc, "trust_score"),
-            "reasoning_summary": singular_sources(
-                mj.text_item(doc, "reasoning_summary", DEFAULT_SUMMARY),
-                F.col("evidence_count"),
-                VERDICT_PHRASES,
-            ),
-            "items": key_items(doc),
-        }
-    ).drop("_doc", reply)
+    return (
+        chosen.withColumn("_doc", mj.parse(F.col(reply)))
+        .withColumns(
+            {
+                "final_verdict": verdict_name(mj.text_item(doc, "final_verdict", UNVERIFIED)),
+                "confidence_score": percent_item(doc, "confidence_score"),
+                "trust_score": percent_item(doc, "trust_score"),
+                "reasoning_summary": singular_sources(
+                    mj.text_item(doc, "reasoning_summary", DEFAULT_SUMMARY),
+                    F.col("evidence_count"),
+                    VERDICT_PHRASES,
+                ),
+                "items": key_items(doc),
+            }
+        )
+        .drop("_doc", reply)
+    )
 
 
 def _citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -155,19 +157,28 @@ def _citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def key_evidence(verdicts: DataFrame, evidence: DataFrame) -> DataFrame:
+def key_evidence(
+    verdicts: DataFrame,
+    evidence: DataFrame,
+    order: list[str],
+    row_limit: int = GROUP_ROW_LIMIT,
+    measured: DataFrame | None = None,
+) -> DataFrame:
     """The evidence a verdict may cite, one row per item: claim_id, item_no, item.
 
-    ``verdicts`` has ``claim_id``, ``items`` and ``evidence_count``; ``evidence``
-    has a ``position`` within its claim.  An item stays if it mentions an id or
-    source of the claim's evidence, as a substring and ignoring case, and is no
-    placeholder.  The numbered form ``evidence_<n>`` is known from the count alone:
-    since mentions are substrings, its first digit decides.  A verdict left without
-    items cites all evidence of its claim, and one without evidence cites nothing.
-    The rows stay flat, so a claim may have any amount of evidence.
+    ``verdicts`` has ``claim_id``, ``items`` and ``evidence_count``.  An item stays
+    if it mentions an id or source of the claim's evidence, as a substring and
+    ignoring case, and is no placeholder.  The numbered form ``evidence_<n>`` is
+    known from the count alone: since mentions are substrings, its first digit
+    decides.  A verdict left without items cites all evidence of its claim in
+    ``order``, and one without evidence cites nothing.  The rows stay flat, so a
+    claim may have any amount of evidence, and only the claims that fall back have
+    theirs ordered.
     """
     tidy = F.transform("items", lambda item: F.lower(strip(as_text(item))))
-    cited = verdicts.filter(F.col("evidence_count") > 0).withColumn("_items", tidy)
+    cited = verdicts.filter(F.col("evidence_count") > 0).select(
+        "claim_id", "items", "evidence_count", tidy.alias("_items")
+    )
     numbered = F.transform(
         "_items",
         lambda item: F.exists(
@@ -193,25 +204,28 @@ def key_evidence(verdicts: DataFrame, evidence: DataFrame) -> DataFrame:
         lambda item: item.isNotNull(),
     )
     answered = judged.select("claim_id", kept.alias("_kept"))
-    sound = answered.filter(F.size("_kept") > 0).select(
-        "claim_id", F.posexplode("_kept").alias("item_no", "item")
-    )
+    sound = answered.select("claim_id", F.posexplode("_kept").alias("item_no", "item"))
     bare = answered.filter(F.size("_kept") == 0).select("claim_id")
+    fallen_back = OrderedGroups.of(
+        evidence.join(bare, "claim_id", "left_semi"),
+        ["claim_id"],
+        order,
+        row_limit,
+        evidence if measured is None else measured,
+    )
     label = F.concat(
         F.coalesce("source", F.lit(UNKNOWN_SOURCE)),
         F.lit(" ("),
         F.coalesce(
             F.nullif("evidence_id", F.lit("")),
             "chunk_id",
-            F.concat(F.lit("evidence_"), F.col("position").cast("string")),
+            F.concat(F.lit("evidence_"), F.col("item_no").cast("string")),
         ),
         F.lit(")"),
     )
-    everything = evidence.join(bare, "claim_id", "left_semi").select(
-        "claim_id", F.col("position").alias("item_no"), label.alias("item")
-    )
+    everything = fallen_back.position("item_no").frame()
     return sound.select("claim_id", (F.col("item_no") + 1).alias("item_no"), "item").unionByName(
-        everything
+        everything.select("claim_id", "item_no", label.alias("item"))
     )
 
 

@@ -20,7 +20,6 @@ from ..operators import (
     attempts, claims, cleaning, domains, explanations, ocr, prompts, reflection, segments,
     translation, verdicts,
 )
-from ..operators.groups import OrderedGroups
 from ..sources import evidence as ev
 from ..sources import submissions as sub
 from ..sources.replies import attach_replies
@@ -267,21 +266,19 @@ def ocr_empty(i: Inputs) -> DataFrame:
 
 
 def _sides(i: Inputs) -> DataFrame:
-    checked = sub.reject_reason(i.submissions, i.images)
-    good = checked.filter(F.col("reason").isNull()).drop("reason")
     recognised = ocr.documents_for(i.images, ocr.documents(i.ocr_blocks))
-    return segments.side_by_side(good, recognised, i.translation_memory)
+    return segments.side_by_side(i.submissions, recognised, i.translation_memory)
 
 
 @query
 def segment_rows(i: Inputs) -> DataFrame:
-    rows = segments.segment_rows(_sides(i))
+    rows = segments.segment_rows(_sides(i).filter(F.col("reason").isNull()))
     return rows.withColumn("quality_flags", shown("quality_flags"))
 
 
 @query
 def segment_language_merge(i: Inputs) -> DataFrame:
-    merged = segments.with_merged_language(_sides(i))
+    merged = segments.with_merged_language(_sides(i).filter(F.col("reason").isNull()))
     return merged.select("submission_id", "original_language", "language_confidence")
 
 
@@ -549,7 +546,8 @@ def verdict_retry(i: Inputs) -> DataFrame:
 
 def _verdicts(i: Inputs) -> DataFrame:
     counts = i.evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence_count"))
-    return verdicts.parse_verdicts(verdicts.first_parseable(i.verdict_replies), counts)
+    chosen = verdicts.first_parseable(i.verdict_replies).join(counts, "claim_id", "left")
+    return verdicts.parse_verdicts(chosen.fillna(0, ["evidence_count"]))
 
 
 @query
@@ -566,8 +564,7 @@ def verdict_scores(i: Inputs) -> DataFrame:
 
 @query
 def key_evidence(i: Inputs) -> DataFrame:
-    numbered = OrderedGroups.of(i.evidence, ["claim_id"], ARRIVAL).position("position").frame()
-    return verdicts.key_evidence(_verdicts(i), numbered)
+    return verdicts.key_evidence(_verdicts(i), i.evidence, ARRIVAL)
 
 
 @query
@@ -602,8 +599,8 @@ def explain_validate(i: Inputs) -> DataFrame:
 @query
 def verification_report(i: Inputs) -> DataFrame:
     """All stages end to end, one row per claim that got through."""
-    run = verification_flow.verify(i.claims, i.evidence, i.replies, ARRIVAL)
-    return verification_flow.report(run).select(
+    made = verification_flow.verification_report(i.claims, i.evidence, i.replies, ARRIVAL)
+    return made.select(
         "claim_id", "attempt_count", "maximum_attempts_reached", "reflection_decision",
         "reflection_confidence", "final_verdict", "confidence_score", "trust_score",
         shown("key_evidence_used", "|"), "explanation_explanation", "explanation_confidence",

@@ -132,7 +132,7 @@ INPUTS: dict[str, str] = {
     "reflection_replies": """
         SELECT 'reflection' AS stage, claim_id, attempt_no, 1 AS try_no, CASE
             WHEN k % 11 = 0 THEN 'not json'
-            WHEN k % 13 = 0 THEN 'Sure: {{"decision": "YES", }}'
+            WHEN k % 13 = 0 THEN 'Sure: {{"decision": "YES" "confidence": 1}}'
             WHEN k % 17 = 0 THEN '{{}}'
             WHEN k % 7 = 0 THEN concat('```json\n{{"decision": "yes", "confidence": "0.9", "support_score": 1.7, ',
                 '"claim_supported": "false", "evidence_quality_score": "high", ',

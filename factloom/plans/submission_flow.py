@@ -11,7 +11,7 @@ from ..operators.groups import GROUP_ROW_LIMIT
 from ..operators.ocr import documents, documents_for
 from ..operators.segments import aggregate, side_by_side
 from ..sources.replies import attach_replies
-from ..sources.submissions import fallback_rows, reject_reason
+from ..sources.submissions import with_fallback
 
 
 def process_submissions(
@@ -26,17 +26,8 @@ def process_submissions(
     ``images`` lists existing images, ``blocks`` the text blocks recognised in them
     and ``memory`` known translations.
     """
-    checked = reject_reason(submissions, images)
-    good = checked.filter(F.col("reason").isNull()).drop("reason")
     recognised = documents_for(images, documents(blocks, row_limit))
-    worked = aggregate(side_by_side(good, recognised, memory))
-    useless = worked.filter(F.col("reason").isNotNull())
-    rejected = checked.filter(F.col("reason").isNotNull()).unionByName(
-        useless.select(*checked.columns)
-    )
-    done = worked.filter(F.col("reason").isNull()).drop("reason")
-    fallback = fallback_rows(rejected)
-    return done.select(*fallback.columns).unionByName(fallback)
+    return with_fallback(aggregate(side_by_side(submissions, recognised, memory)))
 
 
 def claims_and_domains(

@@ -2,76 +2,63 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explanations
 from ..operators.attempts import reflect_attempts, stop
-from ..operators.groups import GROUP_ROW_LIMIT, OrderedGroups
+from ..operators.groups import GROUP_ROW_LIMIT
 from ..operators.verdicts import (
     final_evidence, first_parseable, key_evidence, parse_verdicts, verdict_inputs,
     with_key_evidence,
 )
+from ..session import ensure_checkpoint_dir
 from ..sources.replies import attach_replies
 
+REFLECTION = [
+    "decision", "confidence", "notes", "support_score", "source_credibility_score",
+    "evidence_quality_score", "claim_supported", "claim_contradicted", "contradictions_found",
+]
+EXPLANATION = ["explanation", "evidence_summary", "source_analysis", "reasoning", "confidence"]
+
 
-@dataclass(frozen=True)
-class Verification:
-    """The stage tables of a run; all are lazy."""
+def decide(claims: DataFrame, evidence: DataFrame, replies: DataFrame) -> DataFrame:
+    """Stopped claims with their reflection and verdict, one row per claim.
 
-    stopped: DataFrame
-    evidence: DataFrame
-    verdicts: DataFrame
-    citations: DataFrame
-    explanations: DataFrame
+    Evidence, replies and claims are each reduced to one row per claim and joined
+    on the claim, so all joins share one partitioning.  Claims that were given up
+    or have no usable verdict are not in it; see ``given_up`` and
+    ``without_verdict``.
+    """
+    stopped = verdict_inputs(stop(reflect_attempts(claims, evidence, replies), ["claim", "domain"]))
+    reflected = stopped.withColumnsRenamed({name: f"reflection_{name}" for name in REFLECTION})
+    return parse_verdicts(reflected.join(first_parseable(replies), "claim_id"))
 
 
-def verify(
+def verification_report(
     claims: DataFrame,
     evidence: DataFrame,
     replies: DataFrame,
     order: list[str],
     row_limit: int = GROUP_ROW_LIMIT,
-) -> Verification:
-    """Attempts, verdict and explanation for every claim (claim_id, claim, domain).
+) -> DataFrame:
+    """One row per claim (claim_id, claim, domain) that made it through all stages.
 
-    ``order`` says how evidence is ordered within a claim.
+    ``order`` says how evidence is ordered within a claim.  The decided claims are
+    read by several later steps, so they are checkpointed once: a table of one row
+    per claim, which also shields those steps from a lost executor.
     """
-    attempts = reflect_attempts(claims, evidence, replies)
-    stopped = verdict_inputs(stop(attempts, ["claim", "domain"]))
-    final = (
-        OrderedGroups.of(final_evidence(evidence, stopped), ["claim_id"], order, row_limit)
-        .position("position")
-        .frame()
+    ensure_checkpoint_dir(claims.sparkSession)
+    decided = decide(claims, evidence, replies).checkpoint()
+    citations = key_evidence(
+        decided, final_evidence(evidence, decided), order, row_limit, measured=evidence
     )
-    counts = stopped.select("claim_id", "evidence_count")
-    verdicts = parse_verdicts(first_parseable(replies), counts)
-    verdicts = verdicts.join(stopped.select("claim_id"), "claim_id", "left_semi")
-    citations = key_evidence(verdicts, final)
-    decided = verdicts.select("claim_id", "final_verdict", "confidence_score", "evidence_count")
     asked = attach_replies(decided, replies, "explanation", ["claim_id"])
     explained = explanations.validate(explanations.parse_replies(asked).drop("raw"))
-    return Verification(stopped, final, verdicts, citations, explained)
-
-
-def report(run: Verification) -> DataFrame:
-    """One row per claim that made it through all stages."""
-    reflection = [
-        "decision", "confidence", "notes", "support_score", "source_credibility_score",
-        "evidence_quality_score", "claim_supported", "claim_contradicted", "contradictions_found",
-    ]
-    stopped = run.stopped.select(
+    return with_key_evidence(explained, citations).select(
         "claim_id", "claim", "domain", "attempt_count", "maximum_attempts_reached",
-        *[F.col(name).alias(f"reflection_{name}") for name in reflection],
-    )
-    verdicts = with_key_evidence(run.verdicts.drop("evidence_count", "try_no"), run.citations)
-    explained = run.explanations.select(
-        "claim_id",
-        *[
-            F.col(name).alias(f"explanation_{name}")
-            for name in ("explanation", "evidence_summary", "source_analysis", "reasoning", "confidence")
-        ],
+        *[f"reflection_{name}" for name in REFLECTION],
+        "final_verdict", "confidence_score", "trust_score", "reasoning_summary",
+        "key_evidence_used",
+        *[F.col(name).alias(f"explanation_{name}") for name in EXPLANATION],
     )
-    return stopped.join(verdicts, "claim_id").join(explained, "claim_id")

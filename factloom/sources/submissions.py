@@ -56,24 +56,26 @@ def reject_reason(submissions: DataFrame, images: DataFrame) -> DataFrame:
     return checked.drop("_found").unionByName(empty)
 
 
-def fallback_rows(rejected: DataFrame) -> DataFrame:
-    """Result rows for rejected submissions (``reason`` is not null).
+def with_fallback(rows: DataFrame) -> DataFrame:
+    """Put the fallback result into every row that has a ``reason``, and drop that column.
 
-    ``had_text`` here only asks whether any text came in, blank or not.
+    ``had_text`` of such a row only asks whether any text came in, blank or not.
     """
     text = as_text(F.col("text"))
-    return rejected.select(
-        "submission_id",
-        strip(text).alias("processed_text"),
-        strip(text).alias("pre_translation_text"),
-        F.lit("en").alias("original_language"),
-        F.lit(0.0).alias("language_confidence"),
-        F.lit(False).alias("was_translated"),
-        (text != "").alias("had_text"),
-        has_image().alias("had_image"),
-        F.array().cast(f"ARRAY<{SEGMENT}>").alias("segments"),
-        F.lit(None).cast("double").alias("ocr_confidence"),
-        F.array(F.lit(FAILED_FLAG)).alias("quality_flags"),
-        F.lit(0).alias("translated_segments"),
-        F.array("reason").alias("errors"),
-    )
+    fallback = {
+        "processed_text": strip(text),
+        "pre_translation_text": strip(text),
+        "original_language": F.lit("en"),
+        "language_confidence": F.lit(0.0),
+        "was_translated": F.lit(False),
+        "had_text": text != "",
+        "segments": F.array().cast(f"ARRAY<{SEGMENT}>"),
+        "ocr_confidence": F.lit(None).cast("double"),
+        "quality_flags": F.array(F.lit(FAILED_FLAG)),
+        "translated_segments": F.lit(0),
+        "errors": F.array("reason"),
+    }
+    good = F.col("reason").isNull()
+    return rows.withColumns(
+        {name: F.when(good, F.col(name)).otherwise(value) for name, value in fallback.items()}
+    ).drop("reason")
