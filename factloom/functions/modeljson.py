@@ -7,7 +7,7 @@ value used as a boolean).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -51,56 +51,72 @@ def is_object(doc: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
 
 
-def item(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "variant")
+def with_fields(frame: DataFrame, doc: str, names: list[str]) -> DataFrame:
+    """Add the type name and the text of each field, for :class:`Field` to read.
 
-
-def kind(doc: Column, name: str) -> Column:
-    """Type name of a field: null if missing, ``VOID`` for JSON null."""
-    return F.schema_of_variant(item(doc, name))
-
-
-def string_item(doc: Column, name: str) -> Column:
-    return F.try_variant_get(doc, f"$.{name}", "string")
-
-
-def text_item(doc: Column, name: str, default: str) -> Column:
-    """A field rendered as text; only a missing field takes the default."""
-    shape, text = kind(doc, name), string_item(doc, name)
-    return (
-        F.when(shape.isNull(), F.lit(default))
-        .when(shape == "VOID", F.lit("None"))
-        .when(shape == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
-    )
+    Both are looked up once here, however many rules read them later.
+    """
+    columns = {}
+    for name in names:
+        item = F.try_variant_get(doc, f"$.{name}", "variant")
+        columns[f"_{name}_kind"] = F.schema_of_variant(item)
+        columns[f"_{name}_text"] = F.try_variant_get(doc, f"$.{name}", "string")
+    return frame.withColumns(columns)
 
 
-def number_item(doc: Column, name: str) -> Column:
-    """A field as a double: numbers, numeric strings and booleans; otherwise null."""
-    text = string_item(doc, name)
-    readable = (kind(doc, name) != "STRING") | text.rlike(_NUMBER)
-    return F.when(readable, F.try_variant_get(doc, f"$.{name}", "double"))
+def without_fields(frame: DataFrame, names: list[str]) -> DataFrame:
+    return frame.drop(*[f"_{name}_{part}" for name in names for part in ("kind", "text")])
 
 
-def truthy_item(doc: Column, name: str) -> Column:
-    """Whether a field counts as true; any non-empty string does, ``"false"`` included."""
-    shape, text = kind(doc, name), string_item(doc, name)
-    return F.coalesce(
-        F.when(shape == "STRING", text != "")
-        .when(F.startswith(shape, F.lit("ARRAY")), text != "[]")
-        .when(F.startswith(shape, F.lit("OBJECT")), text != "{}")
-        .when(shape == "BOOLEAN", text == "true")
-        .otherwise(F.try_variant_get(doc, f"$.{name}", "double") != 0),
-        F.lit(False),
-    )
+class Field:
+    """Loose readings of one field that :func:`with_fields` prepared.
 
+    ``kind`` is null if the field is missing and ``VOID`` for JSON null.
+    """
 
-def list_item(doc: Column, name: str) -> Column:
-    """A field as an array of texts, or null if it is not a JSON array."""
-    return F.when(
-        F.startswith(kind(doc, name), F.lit("ARRAY")),
-        F.try_variant_get(doc, f"$.{name}", "array<string>"),
-    )
+    def __init__(self, name: str):
+        self.kind, self.raw = F.col(f"_{name}_kind"), F.col(f"_{name}_text")
+
+    def text(self, default: str) -> Column:
+        """Rendered as text; only a missing field takes the default."""
+        return (
+            F.when(self.kind.isNull(), F.lit(default))
+            .when(self.kind == "VOID", F.lit("None"))
+            .when(self.kind == "BOOLEAN", F.initcap(self.raw))
+            .otherwise(self.raw)
+        )
+
+    def number(self) -> Column:
+        """As a double: numbers, numeric strings and booleans; otherwise null."""
+        return (
+            F.when(self.kind == "BOOLEAN", (self.raw == "true").cast("double"))
+            .when(self.raw.rlike(_NUMBER), self.raw.try_cast("double"))
+        )
+
+    def truthy(self) -> Column:
+        """Whether it counts as true; any non-empty string does, ``"false"`` included."""
+        text = self.raw
+        return F.coalesce(
+            F.when(self.kind == "STRING", text != "")
+            .when(self.kind == "BOOLEAN", text == "true")
+            .when(F.startswith(self.kind, F.lit("ARRAY")), text != "[]")
+            .when(F.startswith(self.kind, F.lit("OBJECT")), text != "{}")
+            .otherwise(text.try_cast("double") != 0),
+            F.lit(False),
+        )
+
+    def is_fractional(self) -> Column:
+        """Whether it is a number written with a fraction or an exponent."""
+        decimal = F.startswith(self.kind, F.lit("DECIMAL"))
+        return F.coalesce(decimal | self.kind.isin("DOUBLE", "FLOAT"), F.lit(False))
+
+    def is_list(self) -> Column:
+        return F.coalesce(F.startswith(self.kind, F.lit("ARRAY")), F.lit(False))
+
+
+def list_item(doc: str, name: str) -> Column:
+    """A list field as an array of texts."""
+    return F.try_variant_get(doc, f"$.{name}", "array<string>")
 
 
 def unit_interval(value: Column) -> Column:

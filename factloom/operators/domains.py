@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.modeljson import Field
 from ..functions.text import is_blank
 
 # --- fixed values -----------------------------------------------------------
@@ -102,35 +103,35 @@ def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
     ``status`` is ``valid``, ``unparsed`` (not JSON), ``not_object`` or ``invalid``
     (breaks the contract: a known domain, a confidence in [0, 1], a text reason).
     """
+    names = ["domain", "confidence", "reason"]
     parsed = frame.withColumn("_doc", mj.parse(mj.fenced_or_braced(F.col(raw))))
-    doc = F.col("_doc")
-    domain, reason = mj.string_item(doc, "domain"), mj.string_item(doc, "reason")
-    score = mj.number_item(doc, "confidence")
+    domain, confidence, reason = (Field(name) for name in names)
     sound = F.coalesce(
-        (mj.kind(doc, "domain") == "STRING")
-        & domain.isin(DOMAINS)
-        & score.between(0.0, 1.0)
-        & (mj.kind(doc, "reason") == "STRING"),
+        (domain.kind == "STRING")
+        & domain.raw.isin(DOMAINS)
+        & confidence.number().between(0.0, 1.0)
+        & (reason.kind == "STRING"),
         F.lit(False),
     )
-    checked = parsed.withColumn(
+    checked = mj.with_fields(parsed, "_doc", names).withColumn(
         "status",
-        F.when(doc.isNull(), "unparsed")
-        .when(~mj.is_object(doc), "not_object")
+        F.when(F.col("_doc").isNull(), "unparsed")
+        .when(~mj.is_object(F.col("_doc")), "not_object")
         .when(sound, "valid")
         .otherwise("invalid"),
     )
     valid = F.col("status") == "valid"
-    return checked.withColumns(
+    answered = checked.withColumns(
         {
-            "domain": F.when(valid, domain).otherwise(UNKNOWN),
-            "confidence": F.when(valid, score).otherwise(F.lit(0.0)),
-            "reason": F.when(valid, reason)
+            "domain": F.when(valid, domain.raw).otherwise(UNKNOWN),
+            "confidence": F.when(valid, confidence.number()).otherwise(F.lit(0.0)),
+            "reason": F.when(valid, reason.raw)
             .when(F.col("status") == "unparsed", INVALID_JSON)
             .when(F.col("status") == "invalid", VALIDATION_FAILED)
             .otherwise("The reply is not a JSON object."),
         }
-    ).drop("_doc")
+    )
+    return mj.without_fields(answered, names).drop("_doc")
 
 
 def domain_input(claim: str = "claim", processed: str = "processed_text") -> Column:

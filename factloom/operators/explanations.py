@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.modeljson import Field
 from ..functions.phrases import VERDICT_PHRASES, singular_sources
 from .verdicts import UNVERIFIED, verdict_name
 
@@ -19,6 +20,9 @@ NOT_JSON = "XAI Agent did not return valid JSON."
 NOT_OBJECT = "XAI output is not a JSON object."
 # ----------------------------------------------------------------------------
 
+#: Fields read from a reply.
+REPLY_FIELDS = ["final_verdict", "confidence", "evidence_summary", *TEXTS]
+
 
 def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``doc`` (VARIANT object or null) and ``reply_error`` (null if usable).
@@ -49,9 +53,9 @@ def baseline_confidence(score: Column) -> Column:
     return share_of_score(F.coalesce(score.try_cast("double"), F.lit(float(DEFAULT_VERDICT_SCORE))))
 
 
-def repaired_confidence(doc: Column, score: Column) -> Column:
+def repaired_confidence(field: Field, score: Column) -> Column:
     """The reply's confidence, or the verdict's where it is missing, unusable or zero."""
-    number = mj.number_item(doc, "confidence")
+    number = field.number()
     own = F.round(
         F.when((number > 1) & (number <= 100), number / 100.0).when(
             number.between(0.0, 1.0), number
@@ -67,35 +71,33 @@ def repaired_confidence(doc: Column, score: Column) -> Column:
     )
 
 
-def summary_list(doc: Column) -> Column:
-    """The evidence summary as an array; a bare value is wrapped, nothing gets a default."""
-    name = "evidence_summary"
-    value = mj.text_item(doc, name, DEFAULT_SUMMARY)
-    return F.coalesce(
-        mj.list_item(doc, name),
-        F.array(F.when(mj.truthy_item(doc, name), value).otherwise(DEFAULT_SUMMARY)),
-    )
-
-
 def validate(frame: DataFrame) -> DataFrame:
     """Explanation columns from ``doc``, for rows that carry their verdict.
 
     Needs ``final_verdict`` and ``confidence_score`` of the verdict (null if there
     is none) and ``evidence_count``.  The verdict overrides whatever the reply says.
+    An evidence summary that is no list is wrapped, and an empty one gets a default.
     """
-    doc = F.col("doc")
-    own_verdict = verdict_name(mj.text_item(doc, "final_verdict", UNVERIFIED))
+    verdict, confidence, summary = (
+        Field(name) for name in ("final_verdict", "confidence", "evidence_summary")
+    )
+    wrapped = F.when(summary.truthy(), summary.text(DEFAULT_SUMMARY)).otherwise(DEFAULT_SUMMARY)
     texts = {
         name: singular_sources(
-            mj.text_item(doc, name, ABSENT), F.col("evidence_count"), VERDICT_PHRASES
+            Field(name).text(ABSENT), F.col("evidence_count"), VERDICT_PHRASES
         )
         for name in TEXTS
     }
-    return frame.filter(doc.isNotNull()).withColumns(
+    read = mj.with_fields(frame.filter(F.col("doc").isNotNull()), "doc", REPLY_FIELDS)
+    checked = read.withColumns(
         {
-            "final_verdict": F.coalesce("final_verdict", own_verdict),
-            "confidence": repaired_confidence(doc, F.col("confidence_score")),
-            "evidence_summary": summary_list(doc),
+            "final_verdict": F.coalesce("final_verdict", verdict_name(verdict.text(UNVERIFIED))),
+            "confidence": repaired_confidence(confidence, F.col("confidence_score")),
+            "evidence_summary": F.when(
+                summary.is_list(), mj.list_item("doc", "evidence_summary")
+            ).otherwise(F.array(wrapped)),
             **texts,
         }
-    ).drop("doc", "reply_error")
+    )
+    return mj.without_fields(checked, REPLY_FIELDS).drop("doc", "reply_error")
+

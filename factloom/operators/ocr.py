@@ -50,7 +50,9 @@ def _in_lines(blocks: DataFrame, row_limit: int) -> OrderedGroups:
         < F.greatest(F.col("_h"), F.col("height")) * LINE_OVERLAP
     )
     return (
-        OrderedGroups.of(geometry(blocks), ["image_id"], ["center_y", "block_no"], row_limit)
+        OrderedGroups.of(
+            geometry(blocks), ["image_id"], ["center_y", "block_no"], row_limit, measured=blocks
+        )
         .previous({"_y": "center_y", "_h": "height"})
         .running_sum("line_no", F.when(starts_line, 1).otherwise(0))
     )

@@ -144,9 +144,14 @@ def json_block() -> Column:
 def evidence_text(
     evidence: DataFrame, order: list[str], block: Column, separator: str,
     row_limit: int = GROUP_ROW_LIMIT, keys: tuple[str, ...] = ("claim_id",),
+    measured: DataFrame | None = None,
 ) -> DataFrame:
-    """Per claim, its rendered evidence (``evidence``) and how many items it has."""
-    numbered = OrderedGroups.of(evidence, keys, order, row_limit).position("position")
+    """Per claim, its rendered evidence (``evidence``) and how many items it has.
+
+    ``measured`` is a table whose claims hold at least as many rows, for sizing groups.
+    """
+    groups = OrderedGroups.of(evidence, keys, order, row_limit, measured)
+    numbered = groups.position("position")
     joined = numbered.join_text(
         block, separator, "evidence", "position", count_items=F.count(F.lit(1))
     )
@@ -205,9 +210,12 @@ def reflection_summary() -> Column:
 
 
 def verdict_prompts(inputs: DataFrame, evidence: DataFrame, order: list[str],
-                    tries: int = 1, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                    tries: int = 1, row_limit: int = GROUP_ROW_LIMIT,
+                    measured: DataFrame | None = None) -> DataFrame:
     """One prompt per stopped claim; from the second try on it carries a reminder."""
-    blocks = evidence_text(evidence, order, verdict_block(), "\n", row_limit).drop("evidence_count")
+    blocks = evidence_text(
+        evidence, order, verdict_block(), "\n", row_limit, measured=measured
+    ).drop("evidence_count")
     base = inputs.join(blocks, "claim_id", "left").withColumn(
         "_base",
         fill(
@@ -228,9 +236,12 @@ def verdict_prompts(inputs: DataFrame, evidence: DataFrame, order: list[str],
 
 
 def explanation_prompts(inputs: DataFrame, evidence: DataFrame, verdicts: DataFrame,
-                        order: list[str], row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                        order: list[str], row_limit: int = GROUP_ROW_LIMIT,
+                        measured: DataFrame | None = None) -> DataFrame:
     """One prompt per verdict, with evidence, reflection and verdict as JSON."""
-    blocks = evidence_text(evidence, order, json_block(), ",", row_limit).drop("evidence_count")
+    blocks = evidence_text(
+        evidence, order, json_block(), ",", row_limit, measured=measured
+    ).drop("evidence_count")
     decided = verdicts.select(
         "claim_id", "final_verdict", "confidence_score", "trust_score", "reasoning_summary"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.modeljson import Field
 from ..functions.phrases import NOTES_PHRASES, singular_sources
 from ..functions.text import as_text, is_blank, strip
 
@@ -42,6 +43,12 @@ METRICS = [
     "evidence_count", "avg_similarity", "avg_authority", "max_authority", "min_authority",
     "low_authority_only", "has_authoritative",
 ]
+#: Fields read from a reply.
+REPLY_FIELDS = [
+    "decision", "confidence", "notes", "support_score", "source_credibility_score",
+    "evidence_quality_score", "claim_supported", "claim_contradicted",
+    "evidence_items_contradict_each_other", "contradictions_found",
+]
 RESULT = [
     "decision", "is_evidence_sufficient", "contradictions_found", "confidence", "notes",
     "support_score", "source_credibility_score", "evidence_quality_score",
@@ -122,36 +129,37 @@ def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
 
 def reply_scores(frame: DataFrame) -> DataFrame:
     """Read decision, booleans, clamped scores and notes from ``doc``, before safeguards."""
-    doc, failed = F.col("doc"), F.col("doc").isNull()
+    failed = F.col("doc").isNull()
     several = F.col("evidence_count") > 1
-    items = several & mj.truthy_item(doc, "evidence_items_contradict_each_other")
+    items = several & Field("evidence_items_contradict_each_other").truthy()
     default_quality = (
         F.col("avg_similarity") * SIMILARITY_SHARE + F.col("avg_authority") * AUTHORITY_SHARE
     )
 
     def score(name: str, default: Column) -> Column:
-        read = mj.unit_interval(mj.number_item(doc, name))
+        read = mj.unit_interval(Field(name).number())
         return F.when(failed, F.lit(0.0)).otherwise(F.coalesce(read, default))
 
-    decision = F.upper(strip(mj.text_item(doc, "decision", "NO")))
-    return frame.withColumns(
+    decision = F.upper(strip(Field("decision").text("NO")))
+    scored = mj.with_fields(frame, "doc", REPLY_FIELDS).withColumns(
         {
             "decision": F.when(decision == "YES", "YES").otherwise("NO"),
-            "claim_supported": mj.truthy_item(doc, "claim_supported"),
-            "claim_contradicted": mj.truthy_item(doc, "claim_contradicted"),
+            "claim_supported": Field("claim_supported").truthy(),
+            "claim_contradicted": Field("claim_contradicted").truthy(),
             "evidence_items_contradict_each_other": items,
-            "contradictions_found": items | (several & mj.truthy_item(doc, "contradictions_found")),
+            "contradictions_found": items | (several & Field("contradictions_found").truthy()),
             "support_score": score("support_score", F.lit(0.0)),
             "source_credibility_score": score("source_credibility_score", F.col("avg_authority")),
             "evidence_quality_score": score("evidence_quality_score", default_quality),
             "confidence": score("confidence", F.lit(0.0)),
             "notes": singular_sources(
-                F.coalesce("reply_error", mj.text_item(doc, "notes", DEFAULT_NOTES)),
+                F.coalesce("reply_error", Field("notes").text(DEFAULT_NOTES)),
                 F.col("evidence_count"),
                 NOTES_PHRASES,
             ),
         }
     )
+    return mj.without_fields(scored, REPLY_FIELDS)
 
 
 def _two_digits(name: str) -> Column:

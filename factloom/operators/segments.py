@@ -160,8 +160,10 @@ def segment_rows(sides: DataFrame) -> DataFrame:
 
 def with_merged_language(sides: DataFrame) -> DataFrame:
     """Add ``original_language`` and ``language_confidence`` of the whole submission."""
-    user, ocr = F.col("user.detected_language"), F.col("ocr.detected_language")
-    user_at, ocr_at = F.col("user.language_confidence"), F.col("ocr.language_confidence")
+    read = F.col("ocr.original_text").isNotNull()
+    user, ocr = F.col("user.detected_language"), F.when(read, F.col("ocr.detected_language"))
+    user_at = F.col("user.language_confidence")
+    ocr_at = F.when(read, F.col("ocr.language_confidence"))
     both = F.col("had_text") & (F.coalesce("ocr.normalized_text", F.lit("")) != "")
     one_language = (user == ocr) & (user != MIXED)
     return sides.withColumns(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.modeljson import Field
 from ..functions.phrases import VERDICT_PHRASES, singular_sources
 from ..functions.text import as_text, strip
 from .groups import GROUP_ROW_LIMIT, OrderedGroups
@@ -26,6 +27,11 @@ REQUIRED_INPUTS = {"claim": "claim_text", "domain": "domain", "evidence_attempt"
 MISSING_INPUT = "Missing required key in supervisor_input: "
 # ----------------------------------------------------------------------------
 
+#: Fields read from a reply.
+REPLY_FIELDS = [
+    "final_verdict", "confidence_score", "trust_score", "reasoning_summary", "key_evidence_used",
+]
+
 
 def verdict_inputs(stopped: DataFrame) -> DataFrame:
     """Hand-over rows: the stopped claims plus the two constants the step expects."""
@@ -74,53 +80,41 @@ def verdict_name(value: Column) -> Column:
     return F.when(name.isin(VERDICTS), name).otherwise(UNVERIFIED)
 
 
-def percent_item(doc: Column, name: str) -> Column:
+def percent(field: Field) -> Column:
     """A score in 0..100.
 
     Only a number written with a fraction or exponent is read as a share of one:
     ``1.0`` is 100 but ``1`` is 1, and the text ``"0.9"`` rounds to 1.
     """
-    number, shape = mj.number_item(doc, name), mj.kind(doc, name)
-    fractional = F.startswith(shape, F.lit("DECIMAL")) | shape.isin("DOUBLE", "FLOAT")
-    share = fractional & (number > 0) & (number <= 1)
+    number = field.number()
+    share = field.is_fractional() & (number > 0) & (number <= 1)
     scaled = F.bround(F.when(share, number * 100).otherwise(number), 0)
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled))
     return F.coalesce(bounded, F.lit(float(DEFAULT_SCORE))).cast("int")
 
 
-def key_items(doc: Column) -> Column:
-    """The cited items as an array; a single text counts as one item."""
-    name = "key_evidence_used"
-    return (
-        F.when(mj.kind(doc, name) == "STRING", F.array(mj.string_item(doc, name)))
-        .when(mj.list_item(doc, name).isNotNull(), mj.list_item(doc, name))
-        .otherwise(F.array().cast("array<string>"))
-    )
-
-
 def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
-    """Add the verdict columns and ``items`` from the chosen reply.
+    """Add the verdict columns and the cited ``items`` from the chosen reply.
 
-    Rows carry the ``evidence_count`` of their claim.
+    Rows carry the ``evidence_count`` of their claim.  A single text counts as one
+    item, and anything but a text or a list as none.
     """
-    doc = F.col("_doc")
-    return (
-        chosen.withColumn("_doc", mj.parse(F.col(reply)))
-        .withColumns(
-            {
-                "final_verdict": verdict_name(mj.text_item(doc, "final_verdict", UNVERIFIED)),
-                "confidence_score": percent_item(doc, "confidence_score"),
-                "trust_score": percent_item(doc, "trust_score"),
-                "reasoning_summary": singular_sources(
-                    mj.text_item(doc, "reasoning_summary", DEFAULT_SUMMARY),
-                    F.col("evidence_count"),
-                    VERDICT_PHRASES,
-                ),
-                "items": key_items(doc),
-            }
-        )
-        .drop("_doc", reply)
+    verdict, confidence, trust, summary, items = (Field(name) for name in REPLY_FIELDS)
+    read = mj.with_fields(chosen.withColumn("_doc", mj.parse(F.col(reply))), "_doc", REPLY_FIELDS)
+    parsed = read.withColumns(
+        {
+            "final_verdict": verdict_name(verdict.text(UNVERIFIED)),
+            "confidence_score": percent(confidence),
+            "trust_score": percent(trust),
+            "reasoning_summary": singular_sources(
+                summary.text(DEFAULT_SUMMARY), F.col("evidence_count"), VERDICT_PHRASES
+            ),
+            "items": F.when(items.kind == "STRING", F.array(items.raw))
+            .when(items.is_list(), mj.list_item("_doc", "key_evidence_used"))
+            .otherwise(F.array().cast("array<string>")),
+        }
     )
+    return mj.without_fields(parsed, REPLY_FIELDS).drop("_doc", reply)
 
 
 def _citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -629,7 +629,8 @@ def reflection_prompts(i: Inputs) -> DataFrame:
 def verdict_prompts(i: Inputs) -> DataFrame:
     stopped = _stopped(i)
     return prompts.verdict_prompts(
-        stopped, verdicts.final_evidence(i.evidence, stopped), ARRIVAL, tries=2
+        stopped, verdicts.final_evidence(i.evidence, stopped), ARRIVAL, tries=2,
+        measured=i.evidence,
     )
 
 
@@ -637,5 +638,6 @@ def verdict_prompts(i: Inputs) -> DataFrame:
 def explanation_prompts(i: Inputs) -> DataFrame:
     stopped = _stopped(i)
     return prompts.explanation_prompts(
-        stopped, verdicts.final_evidence(i.evidence, stopped), _verdicts(i), ARRIVAL
+        stopped, verdicts.final_evidence(i.evidence, stopped), _verdicts(i), ARRIVAL,
+        measured=i.evidence,
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.modeljson import Field
 from ..operators.groups import OrderedGroups
 from .schemas import RETRIEVAL_METHOD
 
@@ -79,17 +80,18 @@ def split_valid(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
 def coerce_loose(items: DataFrame, raw: str) -> DataFrame:
     """Evidence columns from loose input: a JSON object gives its fields, anything else its text."""
     parsed = items.withColumn("_doc", mj.parse(F.col(raw)))
-    usable = parsed.withColumn("_object", mj.is_object(F.col("_doc")))
+    usable = mj.with_fields(
+        parsed.withColumn("_object", mj.is_object(F.col("_doc"))), "_doc", list(LOOSE_FIELDS)
+    )
 
     def read(name: str, kind: str) -> Column:
         if kind == "double":
-            return F.when(F.col("_object"), mj.number_item(F.col("_doc"), name))
-        value = F.when(F.col("_object"), mj.string_item(F.col("_doc"), name))
+            return F.when(F.col("_object"), Field(name).number())
+        value = F.when(F.col("_object"), Field(name).raw)
         return value.otherwise(F.col(raw)) if name == "text" else value
 
-    return usable.withColumns({name: read(name, kind) for name, kind in LOOSE_FIELDS.items()}).drop(
-        "_doc", "_object"
-    )
+    coerced = usable.withColumns({name: read(name, kind) for name, kind in LOOSE_FIELDS.items()})
+    return mj.without_fields(coerced, list(LOOSE_FIELDS)).drop("_doc", "_object")
 
 
 def with_source_authority(evidence: DataFrame, authorities: DataFrame) -> DataFrame:
