@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, let
+from .text import is_ascii, is_blank, let
 
 # --- fixed values -----------------------------------------------------------
 ENGLISH, TELUGU, MIXED = "en", "te", "mixed"
@@ -24,7 +24,7 @@ def _count(value: Column, letters: str) -> Column:
 
 
 def telugu_count(value: Column) -> Column:
-    return _count(value, TELUGU_LETTERS)
+    return F.when(is_ascii(value), 0).otherwise(_count(value, TELUGU_LETTERS))
 
 
 def latin_count(value: Column) -> Column:

@@ -34,11 +34,23 @@ _BLANK = f"(?U)[{_WS}]"
 _SOLID = f"[^{_WS}]"
 
 _NOISE_TOKEN = (
-    f"(?U)(?<!{_SOLID})"
-    rf"(?!{_SOLID}*[\p{{L}}\p{{N}}])"
+    rf"(?U)(?![\p{{L}}\p{{N}}{_WS}])(?<!{_SOLID})"
     f"(?!(?:{KEPT_SYMBOL_TOKENS})(?!{_SOLID}))"
-    f"(?:(?={_SOLID}*[{NOISE_CHARACTERS}]){_SOLID}+"
-    f"|(?={_SOLID}*[^{PUNCTUATION_CHARACTERS}{_WS}]){_SOLID}{{2,}})"
+    f"(?:(?={_SOLID}*[{NOISE_CHARACTERS}])"
+    f"|(?={_SOLID}{{2}})(?={_SOLID}*[^{PUNCTUATION_CHARACTERS}{_WS}]))"
+    rf"[^\p{{L}}\p{{N}}{_WS}]++(?!{_SOLID})"
+)
+#: Listed one by one, since a class of single characters is matched by table.
+_CONTROL = "[" + "".join(
+    rf"\x{code:02x}" for code in (*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F)
+) + "]+"
+#: Gaps that normalisation closes, in one pass; each alternative has its own left context.
+_GAPS = (
+    rf"(?U)(?=[{_WS}.,])(?:"
+    rf"(?<=\d)(?:[{_WS}]+([.,])[{_WS}]*|([.,])[{_WS}]+)(?=\d)"
+    rf"|(?<=[₹$€£¥])[{_WS}]+(?=\d)"
+    rf"|(?<=\d)[{_WS}]+(?=[%％])"
+    rf"|(?<=[a-zA-Z\u0C00-\u0C7F)\]'\"])[{_WS}]+(?=[.,!?;:](?:[{_WS}]|\z)))"
 )
 
 
@@ -67,6 +79,11 @@ def collapse_whitespace(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, f"{_BLANK}+", " "))
 
 
+def is_ascii(value: Column) -> Column:
+    """Whether the text has one byte per character."""
+    return F.octet_length(value) == F.char_length(value)
+
+
 def compose_unicode(value: Column) -> Column:
     """Unicode canonical composition (NFC).
 
@@ -77,7 +94,7 @@ def compose_unicode(value: Column) -> Column:
     composed = F.reflect(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False)
     )
-    return F.when(value.rlike(r"\A\p{ASCII}*\z"), value).otherwise(composed)
+    return F.when(is_ascii(value), value).otherwise(composed)
 
 
 def flatten_breaks(value: Column) -> Column:
@@ -115,16 +132,38 @@ def calm_punctuation(value: Column) -> Column:
     return F.regexp_replace(value, r"\.{4,}", "...")
 
 
+def _if_any(value: Column, marks: list[str], change) -> Column:
+    """Apply ``change`` only to texts that hold one of the marks.
+
+    Finding a plain string is far cheaper than a pass of a pattern, and most texts
+    need no change.
+    """
+
+    def choose(text: Column) -> Column:
+        found = F.contains(text, F.lit(marks[0]))
+        for mark in marks[1:]:
+            found = found | F.contains(text, F.lit(mark))
+        return F.when(found, change(text)).otherwise(text)
+
+    return let(value, choose)
+
+
 def normalize_text(value: Column) -> Column:
-    """Conservative normalisation; letter case is never changed."""
+    """Conservative normalisation; letter case is never changed.
+
+    The steps above, in as few passes as give the same result.  Line breaks, tabs
+    and no-break spaces need none of their own: every pattern takes them as white
+    space, and the last pass turns all white space into single spaces.
+    """
     value = compose_unicode(as_text(value))
-    value = drop_zero_width(flatten_breaks(value))
-    value = attach_punctuation(join_numbers(value))
-    return collapse_whitespace(calm_punctuation(value))
+    value = _if_any(value, ["\ufeff", "\u200b"], lambda t: F.translate(t, "\ufeff\u200b", ""))
+    value = F.regexp_replace(value, _GAPS, "$1$2")
+    value = _if_any(value, ["!!", "!?", "?!", "??", "...."], calm_punctuation)
+    return collapse_whitespace(value)
 
 
 def drop_control_characters(value: Column) -> Column:
-    return F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+", "")
+    return F.regexp_replace(value, _CONTROL, "")
 
 
 def drop_noise_tokens(value: Column) -> Column:
@@ -144,6 +183,11 @@ def tidy_lines(value: Column) -> Column:
     return _trim_each_line(F.regexp_replace(value, "[ \t]+", " "))
 
 
+def tidy_spaces(value: Column) -> Column:
+    """:func:`tidy_lines` for text that was normalised before: only space runs are left."""
+    return strip(_if_any(value, ["  "], lambda text: F.regexp_replace(text, " {2,}", " ")))
+
+
 def _without_repeats(text: Column, key) -> Column:
     """Drop each non-empty line whose key equals that of the non-empty line before it.
 

@@ -18,25 +18,28 @@ def clean(frame: DataFrame, source: str, text: str = "cleaned_text", flags: str
     """Add the cleaned text and its flags.
 
     Each step is a column of its own, since its result is read twice: by the next
-    step and by the flag that asks whether it changed anything.  ``lines=False``
-    leaves out the line step for text known to hold no line break, as normalised
-    text does; that keeps the stage in generated code.
+    step and by the flag that asks whether it changed anything.  ``lines=False`` is
+    for text that was normalised before and so holds no line breaks; the line steps
+    then shrink to closing the gaps that dropped tokens leave.
     """
     staged = (
         frame.withColumn("_raw", tx.as_text(F.col(source)))
         .withColumn("_plain", tx.drop_control_characters(F.col("_raw")))
         .withColumn("_words", tx.drop_noise_tokens(F.col("_plain")))
-        .withColumn("_lines", tx.tidy_lines(F.col("_words")))
     )
     marks = [
         (F.col("_plain") != F.col("_raw"), tx.FLAG_CONTROL),
         (F.col("_words") != F.col("_plain"), tx.FLAG_NOISE),
     ]
     if lines:
-        staged = staged.withColumn("_kept", tx.drop_repeated_lines(F.col("_lines")))
+        staged = staged.withColumn("_lines", tx.tidy_lines(F.col("_words"))).withColumn(
+            "_kept", tx.drop_repeated_lines(F.col("_lines"))
+        )
         marks.append((F.col("_kept") != F.col("_lines"), tx.FLAG_REPEATED))
-    result = F.col("_kept" if lines else "_lines")
-    return staged.withColumns({text: tx.strip(result), flags: flags_of(*marks)}).drop(
+        result = tx.strip(F.col("_kept"))
+    else:
+        result = tx.tidy_spaces(F.col("_words"))
+    return staged.withColumns({text: result, flags: flags_of(*marks)}).drop(
         "_raw", "_plain", "_words", "_lines", "_kept"
     )
 
