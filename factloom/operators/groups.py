@@ -147,12 +147,14 @@ class OrderedGroups:
 
     def reorder(self, order: Sequence[str], row_limit: int = GROUP_ROW_LIMIT) -> OrderedGroups:
         """The same rows in another order; only oversized groups are cut anew."""
-        fresh = replace(self, order=tuple(order))
-        if len(self.parts) == 1:
-            return fresh
-        cold, hot = self.parts
-        again = OrderedGroups.of(hot.frame.drop(_BUCKET), self.keys, order, row_limit)
-        return replace(fresh, parts=(cold, *again.parts[1:]))
+        parts: list[_Part] = []
+        for part in self.parts:
+            if part.cut:
+                again = OrderedGroups.of(part.frame.drop(_BUCKET), self.keys, order, row_limit)
+                parts.extend(again.parts)
+            else:
+                parts.append(part)
+        return replace(self, parts=tuple(parts), order=tuple(order))
 
     def join_text(
         self, text: Column, separator: str, name: str, position: str, **totals: Column
