@@ -119,6 +119,12 @@ def list_item(doc: str, name: str) -> Column:
     return F.try_variant_get(doc, f"$.{name}", "array<string>")
 
 
+def clamped(value: Column, low: float, high: float) -> Column:
+    """The value moved into [low, high]; null stays null (``least`` alone would skip it)."""
+    bounded = F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), bounded)
+
+
 def unit_interval(value: Column) -> Column:
-    """Clamp to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clamp to [0, 1]; null stays null."""
+    return clamped(value, 0.0, 1.0)

@@ -89,7 +89,7 @@ def percent(field: Field) -> Column:
     number = field.number()
     share = field.is_fractional() & (number > 0) & (number <= 1)
     scaled = F.bround(F.when(share, number * 100).otherwise(number), 0)
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled))
+    bounded = mj.clamped(scaled, 0.0, 100.0)
     return F.coalesce(bounded, F.lit(float(DEFAULT_SCORE))).cast("int")
 
 

@@ -400,8 +400,8 @@ def _scores(source: str, extra: str) -> str:
     """Reply scores of rows with metrics, ``doc`` and ``reply_error``."""
     def score(name: str, default: str) -> str:
         return (
-            f"CASE WHEN doc IS NULL THEN 0.0::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, "
-            f"{number('doc', name)})), {default}) END AS {name}"
+            f"CASE WHEN doc IS NULL THEN 0.0::DOUBLE WHEN ({number('doc', name)}) IS NULL THEN {default} "
+            f"ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {number('doc', name)})) END AS {name}"
         )
 
     items = f"(evidence_count > 1 AND {truth('doc', 'evidence_items_contradict_each_other')})"
@@ -448,7 +448,7 @@ def _guarded(source: str) -> str:
 def _percent(name: str) -> str:
     share = f"json_type(doc, '$.{name}') = 'DOUBLE' AND {number('doc', name)} > 0 AND {number('doc', name)} <= 1"
     value = f"round_even(CASE WHEN {share} THEN {number('doc', name)} * 100 ELSE {number('doc', name)} END, 0)"
-    return f"CAST(coalesce(greatest(0, least(100, {value})), 50) AS INTEGER) AS {name}"
+    return f"CAST(CASE WHEN ({value}) IS NULL THEN 50 ELSE greatest(0, least(100, {value})) END AS INTEGER) AS {name}"
 
 
 def _verdicts(source: str) -> str:
