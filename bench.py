@@ -17,7 +17,7 @@ from factloom.plans.catalog import QUERIES
 from factloom.session import build_session
 
 HEADLINE = [
-    "normalize_text", "clean_flags", "lang_profile", "sentence_split", "translate_segments",
+    "normalize_text", "clean_flags", "lang_profile", "split_sentences", "translate_segments",
     "ocr_reading_order", "ocr_documents", "segment_aggregate", "claim_extract", "domain_lexicon",
     "domain_validate", "evidence_load", "evidence_metrics", "reflection_safeguards", "attempt_stop",
     "verdict_parse", "key_evidence", "explain_validate", "verification_report", "reflection_prompts",

@@ -14,6 +14,7 @@ from ..functions.text import strip
 from .explanations import baseline_confidence
 from .groups import GROUP_ROW_LIMIT, OrderedGroups
 
+# --- prompt texts; labels and answer fields are fixed formats that the reply checks expect ---
 CLAIM_TEMPLATE = (
     "Read the text below and state its main factual claim in one sentence of 10 to 30 words. "
     "Keep names, events, numbers, dates and percentages; add nothing and judge nothing.\n\n"

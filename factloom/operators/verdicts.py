@@ -58,14 +58,17 @@ def final_evidence(evidence: DataFrame, stopped: DataFrame) -> DataFrame:
 def first_parseable(replies: DataFrame, stage: str = "supervisor") -> DataFrame:
     """Per claim, the first of its tries that holds a JSON object (``try_no``, ``reply``).
 
-    A minimum with map-side combine; claims without a usable try have no row.
+    A minimum with map-side combine over the numbers of the usable tries, so every
+    reply is cut out and parsed once; claims without a usable try have no row.
     """
     tries = replies.filter((F.col("stage") == stage) & (F.col("try_no") <= MAX_TRIES))
-    sliced = tries.withColumn("reply", mj.braces_slice(F.col("raw")))
+    sliced = tries.select("claim_id", "try_no", mj.braces_slice(F.col("raw")).alias("reply"))
+    usable = F.when(mj.parse(F.col("reply")).isNotNull(), F.col("try_no"))
     return (
-        sliced.filter(mj.parse(F.col("reply")).isNotNull())
+        sliced.withColumn("usable", usable)
         .groupBy("claim_id")
-        .agg(F.min("try_no").alias("try_no"), F.min_by("reply", "try_no").alias("reply"))
+        .agg(F.min("usable").alias("try_no"), F.min_by("reply", "usable").alias("reply"))
+        .filter(F.col("try_no").isNotNull())
     )
 
 

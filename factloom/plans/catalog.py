@@ -33,17 +33,22 @@ QUERIES: dict[str, Query] = {}
 ARRIVAL = ["arrival"]
 
 
-def query(build: Callable[[Inputs], DataFrame]) -> Query:
-    """Register a function of :class:`Inputs` under its own name."""
+def query(build: Callable[[Inputs], DataFrame], name: str | None = None) -> Query:
+    """Register a function of :class:`Inputs` under its own name, or the given one."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return build(Inputs(spark, folder))
 
-    run.__name__, run.__doc__ = build.__name__, build.__doc__
-    QUERIES[build.__name__] = run
+    run.__name__, run.__doc__ = name or build.__name__, build.__doc__
+    QUERIES[run.__name__] = run
     return run
 
 
+def query_named(name: str) -> Callable[[Callable[[Inputs], DataFrame]], Query]:
+    """For names that an operator module or function in this file has already."""
+    return lambda build: query(build, name)
+
+
 def shown(name: str, separator: str = ", ") -> Column:
     return F.array_join(name, separator).alias(name)
 
@@ -187,8 +192,8 @@ def lang_profile(i: Inputs) -> DataFrame:
     )
 
 
-@query
-def sentence_split(i: Inputs) -> DataFrame:
+@query_named("split_sentences")
+def sentence_rows(i: Inputs) -> DataFrame:
     rows = translation.sentences_of(i.noisy_documents, ["doc_id"], "text")
     return rows.select("doc_id", "sentence_no", "sentence")
 
@@ -199,8 +204,8 @@ def telugu_sentences(i: Inputs) -> DataFrame:
     return rows.filter("is_telugu").drop("is_telugu")
 
 
-@query
-def url_masking(i: Inputs) -> DataFrame:
+@query_named("protect_urls")
+def masked_urls(i: Inputs) -> DataFrame:
     text = F.concat(F.lit("See "), F.col("url"), F.lit(", WWW.a.example or "), F.col("url"))
     masked = i.pages.select("page_id", text.alias("text")).withColumns(
         {"masked": protect_urls(F.col("text")), "urls": urls_in(F.col("text"))}
@@ -270,7 +275,7 @@ def _sides(i: Inputs) -> DataFrame:
     return segments.side_by_side(i.submissions, recognised, i.translation_memory)
 
 
-@query
+@query_named("segments")
 def segment_rows(i: Inputs) -> DataFrame:
     rows = segments.segment_rows(_sides(i).filter(F.col("reason").isNull()))
     return rows.withColumn("quality_flags", shown("quality_flags"))
@@ -313,7 +318,7 @@ def claim_clean(i: Inputs) -> DataFrame:
     return i.claim_replies.select("claim_id", claims.clean_claim(F.col("raw")).alias("claim"))
 
 
-@query
+@query_named("claim_list")
 def claim_items(i: Inputs) -> DataFrame:
     listed = i.claims.select("claim_id", claims.claim_list(tx.strip(F.col("claim"))).alias("list"))
     return listed.select("claim_id", F.explode("list").alias("claim"))

@@ -649,9 +649,9 @@ CHECKS: dict[str, str] = {
         CAST(grouping_id(source, detected_language) AS INTEGER) AS level, count(*) AS documents, {rounded('avg(c)', 4)} AS confidence
         FROM (SELECT source, {_FOUND} AS detected_language, {_SURE} AS c FROM @noisy_documents)
         GROUP BY ROLLUP (source, detected_language)""",
-    "sentence_split": "SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows",
+    "split_sentences": "SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows",
     "telugu_sentences": f"SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows WHERE {has_telugu('s')}",
-    "url_masking": f"""SELECT page_id, {masked('t')} AS masked, array_to_string({urls('t')}, ' ') AS urls, true AS restored
+    "protect_urls": f"""SELECT page_id, {masked('t')} AS masked, array_to_string({urls('t')}, ' ') AS urls, true AS restored
         FROM (SELECT page_id, concat('See ', url, ', WWW.a.example or ', url) AS t FROM pages)""",
     "translate_segments": "SELECT doc_id, translated_text FROM @translated",
     "translation_metadata": f"""SELECT doc_id, CAST(count(*) FILTER ({has_telugu('s')}) AS INTEGER) AS sentences_translated,
@@ -662,7 +662,7 @@ CHECKS: dict[str, str] = {
     "ocr_reading_order": "SELECT image_id, block_no, CAST(reading_order AS INTEGER) AS reading_order, text, round(confidence, 4) AS confidence FROM @ordered",
     "ocr_documents": "SELECT * FROM @image_docs",
     "ocr_empty": "SELECT image_id, average_confidence, block_count, quality_flags FROM @all_image_docs WHERE text = ''",
-    "segment_rows": "SELECT * FROM @segs",
+    "segments": "SELECT * FROM @segs",
     "segment_language_merge": "SELECT submission_id, original_language, language_confidence FROM @merged",
     "segment_aggregate": """SELECT p.* EXCLUDE (usable, flag_text, segment_count, translated_segments),
         CAST(segment_count AS INTEGER) AS segment_count, CAST(translated_segments AS INTEGER) AS translated_segments,
@@ -674,7 +674,7 @@ CHECKS: dict[str, str] = {
     "claim_input": f"""SELECT submission_id, coalesce(nullif({normalized('text')}, ''), nullif(text, ''), '') AS claim_input FROM @submissions""",
     "claim_extract": "SELECT doc_id, claim FROM @best_claim",
     "claim_clean": "SELECT claim_id, claim FROM @answer_claim",
-    "claim_items": f"SELECT claim_id, {trimmed('claim')} AS claim FROM @claims WHERE coalesce({trimmed('claim')}, '') <> ''",
+    "claim_list": f"SELECT claim_id, {trimmed('claim')} AS claim FROM @claims WHERE coalesce({trimmed('claim')}, '') <> ''",
     "claim_quality": """SELECT count(*) AS texts, count(*) FILTER (claim <> '') AS with_claim,
         count(*) FILTER (claim <> '' AND length(claim) * 2 < length(text)) AS brief FROM @best_claim JOIN @noisy_documents USING (doc_id)""",
     "claim_stage": "SELECT claim_id, claim, errors FROM @claimed",
