@@ -40,6 +40,7 @@ def query(build: Callable[[Inputs], DataFrame], name: str | None = None) -> Quer
         return build(Inputs(spark, folder))
 
     run.__name__, run.__doc__ = name or build.__name__, build.__doc__
+    run.build = build
     QUERIES[run.__name__] = run
     return run
 

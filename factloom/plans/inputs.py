@@ -232,6 +232,24 @@ class Inputs:
         return self._spark.sql(sql, **{table: self._load(table) for table in tables_in(sql)})
 
 
+class StagedInputs(Inputs):
+    """The same inputs with the derived ones written out first, ``files`` files each.
+
+    The given tables come as single files that one task reads.  Staging spreads the
+    rows as a large table would be, and keeps the cost of deriving inputs apart from
+    that of the queries.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, staging: str, files: int):
+        super().__init__(spark, folder)
+        self._staging, self._files = staging, files
+
+    def _build(self, name: str) -> DataFrame:
+        path = f"{self._staging}/{name}"
+        super()._build(name).repartition(self._files).write.parquet(path)
+        return self._spark.read.parquet(path)
+
+
 def with_boxes(blocks: DataFrame) -> DataFrame:
     """Corner points from corner and size: clockwise, 80 wide."""
     x, y, right, bottom = F.col("x"), F.col("y"), F.col("x") + 80, F.col("y") + F.col("h")
