@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where a later step could have reused its partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The rule chains generate long methods.  HotSpot never compiles a method above
     # 8000 bytes of bytecode; below this limit Spark splits such stages instead.
