@@ -106,20 +106,22 @@ def numbered(
 def sample_labels(
     labels: DataFrame, value: str, divisor: int, held_out: int, bound: int
 ) -> DataFrame:
-    """(doc_id, label) of about ``bound`` rows per class that may be learned from.
+    """(doc_id, label, weight) of about ``bound`` rows per class that may be learned from.
 
-    Rows are chosen by a hash of the id, so the choice repeats.  Rows of one id count
-    once, with their largest label; null ids and labels are left out.
+    Rows are chosen by a hash of the id, so the choice repeats; ``weight`` is the inverse
+    of the share that was chosen.  Rows of one id count once, with their largest label;
+    null ids and labels are left out.
     """
     usable = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col(value).isin(0, 1))
+        labels.select("doc_id", F.col(value).cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .filter(remainder("doc_id", divisor) != held_out)
         .groupBy("doc_id")
-        .agg(F.max(value).cast("int").alias("label"))
+        .agg(F.max("label").alias("label"))
     )
-    counts = {row["label"]: row["n"] for row in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for label, rows in counts.items():
-        share = F.when(F.col("label") == label, min(1.0, bound / rows)).otherwise(share)
+    sizes = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    share = F.lit(1.0)
+    for row in sizes:
+        share = F.when(F.col("label") == row["label"], min(1.0, bound / row["n"])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(value), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    return usable.filter(draw < share)
+    return usable.withColumn("weight", 1 / share).filter(draw * F.col("weight") < 1)

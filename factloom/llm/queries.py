@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import quality, sharding, toxicity
 from .common import table
 
 
@@ -14,8 +14,18 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.into_shards(table(spark, folder, "documents"), 16)
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
 }
 
 CHECKS: dict[str, str] = {}
