@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding, toxicity
+from . import langid, pieces, quality, sharding, toxicity
 from .common import table
 
 
@@ -22,10 +23,21 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(table(spark, folder, "documents"), path)
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predictions(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op6_pieces": op6_pieces,
+    "op10_language": op10_language,
 }
 
 CHECKS: dict[str, str] = {}
