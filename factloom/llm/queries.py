@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pieces, quality, sharding, toxicity
+from . import langid, packing, pieces, quality, sharding, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), path)
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(table(spark, folder, "documents"), path)
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op6_pieces": op6_pieces,
+    "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
 
