@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -50,6 +51,14 @@ def pinned(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Write as Parquet into a new folder of the shared checkpoint folder, and read again."""
+    spark = frame.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The text with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pieces, quality, sharding, toxicity
+from . import langid, packing, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), path)
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed(table(spark, folder, "documents"), path)
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op6_pieces": op6_pieces,
+    "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
