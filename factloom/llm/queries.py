@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pieces, quality, sharding, simhash, toxicity
+from . import fingerprints, langid, packing, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, folder, "documents"))
+
+
 def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digests(table(spark, folder, "documents"), path)
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_fingerprints": op4_fingerprints,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
