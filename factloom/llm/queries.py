@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, packing, pieces, quality, sharding, simhash, toxicity
+from . import fingerprints, langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, folder, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digests(table(spark, folder, "documents"), path)
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_fingerprints": op4_fingerprints,
+    "op5_neighbours": op5_neighbours,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
