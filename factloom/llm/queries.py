@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity
+from . import chat, fingerprints, langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.formatted(table(spark, folder, "conversations"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed(table(spark, folder, "documents"), path)
@@ -57,8 +61,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neighbours": op5_neighbours,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
 
-CHECKS: dict[str, str] = {}
+#: SQL with another method: whole prefixes as strings instead of hashes.
+CHECKS: dict[str, str] = {
+    "op8_chat": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body,
+                row_number() OVER (
+                    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')
+                ) AS place
+            FROM conversations),
+        shown AS (
+            SELECT *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10)
+                || replace(body, '<|', '< |') || '<|im_end|>' || chr(10) AS line
+            FROM turns),
+        prefixes AS (
+            SELECT *, sum(length(line)) OVER upto AS chars, count(*) OVER (PARTITION BY conv_id) AS n,
+                string_agg(role || chr(31) || body, chr(30)) OVER upto AS prefix
+            FROM shown
+            WINDOW upto AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+        longer AS (SELECT DISTINCT place, prefix FROM prefixes WHERE place < n),
+        kept AS (
+            SELECT min(conv_id) AS conv_id, count(*) AS copies FROM prefixes p
+            WHERE place = n AND NOT EXISTS (
+                SELECT 1 FROM longer l WHERE l.place = p.place AND l.prefix = p.prefix)
+            GROUP BY place, prefix)
+        SELECT conv_id, CAST((chars - length(line)) // 1000000 AS INT) AS part, copies,
+            count(*) AS turns, string_agg(line, '' ORDER BY place) AS text
+        FROM prefixes JOIN kept USING (conv_id) GROUP BY ALL""",
+}
