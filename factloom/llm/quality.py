@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_labels, with_code
+from .common import remainder, sample_labels, unused, with_code
 
 #: Labelled rows per class that the trees are grown on.
 SAMPLE = 8000
@@ -212,6 +212,6 @@ def predictions(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
 def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    forest = train(documents, labels, sample)
-    scored = with_score(documents, forest, "_quality_score")
-    return scored.filter(F.col("_quality_score") >= THRESHOLD).drop("_quality_score")
+    name = unused(documents, "_quality_score")
+    scored = with_score(documents, train(documents, labels, sample), name)
+    return scored.filter(F.col(name) >= THRESHOLD).drop(name)

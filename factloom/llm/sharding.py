@@ -111,10 +111,34 @@ def into_bins(sizes: list[int], bins: int) -> list[int]:
             high = middle
         else:
             low = middle + 1
-    placed = best_fit_decreasing(rest, low)
+    placed = levelled(rest, best_fit_decreasing(rest, low), free)
     return [*range(alone), *(alone + number for number in placed)]
 
 
+def levelled(sizes: list[int], placed: list[int], bins: int, steps: int = 1000) -> list[int]:
+    """Best fit leaves the last bins short; move single items from the fullest to the emptiest."""
+    loads, members = [0] * bins, [[] for _ in range(bins)]
+    for at, (size, number) in enumerate(zip(sizes, placed)):
+        loads[number] += size
+        insort(members[number], (size, at))
+    placed = list(placed)
+    for _ in range(steps):
+        most, least = loads.index(max(loads)), loads.index(min(loads))
+        gap = loads[most] - loads[least]
+        # The item nearest to half the gap narrows it most; any below the gap narrows it.
+        near = bisect_left(members[most], (gap // 2, -1))
+        found = [item for item in members[most][max(0, near - 1) : near + 1] if item[0] < gap]
+        if not found:
+            break
+        size, at = min(found, key=lambda item: abs(2 * item[0] - gap))
+        members[most].remove((size, at))
+        insort(members[least], (size, at))
+        loads[most] -= size
+        loads[least] += size
+        placed[at] = least
+    return placed
+
+
 def parcels(groups: DataFrame, unit: int) -> DataFrame:
     """Add the parcel of each group (``bytes`` <= unit), packed partition by partition."""
 

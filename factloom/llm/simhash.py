@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, pinned, text_or_empty, with_code
+from .common import attach, pinned, text_or_empty, unused, with_code
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Nodes that one bucket should hold at most.
@@ -297,11 +297,12 @@ def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
         .select("doc_id")
         .distinct()
     )
+    at = unused(documents, "_at")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = (
         documents.join(first, "doc_id", "left_semi")
-        .withColumn("_at", F.row_number().over(once))
-        .filter(F.col("_at") == 1)
-        .drop("_at")
+        .withColumn(at, F.row_number().over(once))
+        .filter(F.col(at) == 1)
+        .drop(at)
     )
     return kept.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_labels, with_code
+from .common import remainder, sample_labels, unused, with_code
 
 #: Labelled rows per class that the lexicon and the curve are learned from.
 SAMPLE = 12000
@@ -272,5 +272,6 @@ def predictions(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    scored = with_score(documents, learn(documents, labels, sample), "_toxic_score")
-    return scored.filter(F.col("_toxic_score") < THRESHOLD).drop("_toxic_score")
+    name = unused(documents, "_toxic_score")
+    scored = with_score(documents, learn(documents, labels, sample), name)
+    return scored.filter(F.col(name) < THRESHOLD).drop(name)
