@@ -34,9 +34,9 @@ from .common import numbered, pinned, text_or_empty, with_code
 
 #: Pricings, how fast prices fall, configurations per pricing, and the part of a length
 #: that one use of a configuration covers.
-UPDATES, STEP, AROUND, PART = 200, 0.1, 16, 0.25
-#: How much more than in proportion long pieces are worth.
-TILT = 0.5
+UPDATES, STEP, AROUND, PART = 400, 0.1, 32, 0.1
+#: How much more than in proportion long pieces are worth; the program is solved with each.
+TILTS = (0.0, 0.5)
 #: Share of lengths that may not be covered more than once by the rounded solution.
 EVEN = 0.9
 
@@ -143,7 +143,7 @@ def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarra
     return choice
 
 
-def weighted(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
+def weighted(counts: np.ndarray, capacity: int, tilt: float) -> list[tuple[dict[int, int], float]]:
     """Fractional multiplicities of configurations, by multiplicative weights on coverage.
 
     The price of a length falls with the share of its pieces that is covered so far.  Each
@@ -152,8 +152,8 @@ def weighted(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
     """
     lengths = np.flatnonzero(counts)[::-1]
     need = counts[lengths].astype(float)
-    # A little more than in proportion: short pieces are kept for the gaps at the end.
-    worth = lengths * (lengths / capacity) ** TILT
+    # If more than in proportion, short pieces are kept for the gaps at the end.
+    worth = lengths * (lengths / capacity) ** tilt
     covered = np.zeros(len(lengths))
     amounts: dict[tuple[int, ...], float] = {}
     for _ in range(UPDATES):
@@ -223,6 +223,10 @@ def times_in(configuration: dict[int, int], counts: np.ndarray) -> int:
 
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """Use up ``counts[length]`` pieces of each length; work depends on the capacity alone."""
+    return min((_planned(counts, capacity, tilt) for tilt in TILTS), key=lambda p: p.sequences)
+
+
+def _planned(counts: np.ndarray, capacity: int, tilt: float) -> Plan:
     left, runs = counts.astype(np.int64).copy(), []
 
     def take(configuration: dict[int, int], times: int) -> None:
@@ -234,7 +238,7 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
     if left[capacity]:
         take({capacity: 1}, int(left[capacity]))
     if left.any():
-        for configuration, amount in weighted(left, capacity):
+        for configuration, amount in weighted(left, capacity, tilt):
             take(configuration, min(int(amount), times_in(configuration, left)))
     return Plan(best_fit(left, capacity, runs))
 
