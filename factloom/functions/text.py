@@ -1,6 +1,6 @@
 """Normalisation and cleaning of text, as Column expressions.
 
-Everything here stays inside the JVM.  Patterns are Java regular expressions
+Everything here but the Unicode composition stays inside the JVM.  Patterns are Java regular expressions
 and are written so that a scan over a long text is linear: runs are matched
 possessively or guarded by a look-behind, and there are no nested groups whose
 matching recurses.
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode_forms import composed
+
 # --- fixed values -----------------------------------------------------------
 #: Every character that counts as white space.
 WHITESPACE = (
@@ -87,14 +89,10 @@ def is_ascii(value: Column) -> Column:
 def compose_unicode(value: Column) -> Column:
     """Unicode canonical composition (NFC).
 
-    Spark has no function for it, but the ICU library that ships with Spark
-    does, and ``reflect`` reaches it without a round trip to Python.  Texts that
-    are all ASCII are composed already and skip the call.
+    The one step that Spark's own functions lack.  Texts that are all ASCII are composed
+    already; only the others leave the JVM, as Arrow batches.
     """
-    composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False)
-    )
-    return F.when(is_ascii(value), value).otherwise(composed)
+    return F.coalesce(composed(F.when(~is_ascii(value), value)), value)
 
 
 def flatten_breaks(value: Column) -> Column:
