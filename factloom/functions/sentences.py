@@ -15,8 +15,6 @@ SENTENCE_END = rf"(?U)([{_MARKS}]+(?:[{_SPACE}]+|\z))"
 URL = rf"(?iU)https?://[^{_SPACE}]+|www\.[^{_SPACE}]+"
 #: Stands for the n-th address of a sentence while it is translated.
 URL_KEY_PREFIX, URL_KEY_SUFFIX = "__PROTECTED_URL_", "__"
-#: Separates pieces during the split; Unicode keeps it out of text for good.
-_CUT = "\ufdd0"
 # ----------------------------------------------------------------------------
 
 
@@ -28,13 +26,14 @@ def split_sentences(value: Column) -> Column:
     Pieces without a letter or digit are dropped; if nothing is left the trimmed
     text stands for itself, and the empty text has no sentences.
     """
-    pieces = F.split(F.regexp_replace(value, SENTENCE_END, "$1" + _CUT), _CUT)
+    bodies = F.split(value, SENTENCE_END)
+    ends = F.regexp_extract_all(value, F.lit(SENTENCE_END), F.lit(0))
 
-    def finish(piece: Column) -> Column:
-        body = F.regexp_replace(piece, SENTENCE_END, "")
-        return strip(F.when(body.rlike(f"[{_MARKS}]"), body).otherwise(piece))
+    def finish(body: Column, end: Column) -> Column:
+        whole = F.concat(body, F.coalesce(end, F.lit("")))
+        return strip(F.when(body.rlike(f"[{_MARKS}]"), body).otherwise(whole))
 
-    found = F.filter(F.transform(pieces, finish), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    found = F.filter(F.zip_with(bodies, ends, finish), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     kept = let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(strip(value))))
     return F.when(F.coalesce(value, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
         kept
