@@ -47,6 +47,15 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def accept_repeated_keys(frame: DataFrame) -> DataFrame:
+    """Have the session read the last value of a key that an object repeats.
+
+    To be called before a frame gets its parsed column.
+    """
+    frame.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return frame
+
+
 def is_object(doc: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
 

@@ -104,6 +104,7 @@ def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
     (breaks the contract: a known domain, a confidence in [0, 1], a text reason).
     """
     names = ["domain", "confidence", "reason"]
+    mj.accept_repeated_keys(frame)
     parsed = frame.withColumn("_doc", mj.parse(mj.fenced_or_braced(F.col(raw))))
     domain, confidence, reason = (Field(name) for name in names)
     sound = F.coalesce(

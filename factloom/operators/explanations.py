@@ -29,6 +29,7 @@ def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
 
     The whole reply is tried first; only if it is no JSON at all do the braces count.
     """
+    mj.accept_repeated_keys(frame)
     body = frame.withColumn("_body", mj.without_fences(F.col(raw)))
     whole = body.withColumn("_whole", mj.parse(F.col("_body")))
     parsed = whole.withColumn(

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .explanations import baseline_confidence
 from .groups import GROUP_ROW_LIMIT, OrderedGroups
+from .reflection import RESULT
+from .verdicts import MAX_TRIES
 
-# --- prompt texts; labels and answer fields are fixed formats that the reply checks expect ---
+# --- prompt texts of our own; the names of answer fields are what the reply checks read ---
 CLAIM_TEMPLATE = (
     "Read the text below and state its main factual claim in one sentence of 10 to 30 words. "
     "Keep names, events, numbers, dates and percentages; add nothing and judge nothing.\n\n"
@@ -32,8 +34,7 @@ DOMAIN_TEMPLATE = (
 REFLECTION_TEMPLATE = (
     "Judge whether the evidence below is sufficient and reliable for the claim. "
     "Do not judge the claim itself.\n\n"
-    'CLAIM:\n"{claim}"\n\nDOMAIN:\n{domain}\n\n'
-    "TOTAL EVIDENCE ITEMS RETRIEVED: {count}\n\nRETRIEVED EVIDENCE:\n{evidence}\n\n"
+    "Claim ({domain}): {claim}\n\nPassages found: {count}\n{evidence}\n\n"
     "- Similarity is relevance, authority is reliability; high similarity from a source "
     "with authority below 0.40 is weak evidence and means NO.\n"
     "- Evidence that opposes the claim is not a conflict among the evidence; only two or more "
@@ -47,9 +48,8 @@ REFLECTION_TEMPLATE = (
 )
 
 VERDICT_TEMPLATE = (
-    'Claim: "{claim}"\nDomain: {domain}\nRetrieval Attempt Count: {attempts}\n'
-    "Maximum Attempts Reached: {exhausted}\n\nTotal Evidence Items Provided: {count}\n"
-    "{evidence}\nReflection Analysis:\n{reflection}\n\n"
+    "Claim ({domain}): {claim}\nSearches made: {attempts}, limit reached: {exhausted}\n\n"
+    "Passages to cite: {count}\n{evidence}\nEarlier assessment: {reflection}\n\n"
     "Decide Real, Fake or Unverified from the evidence above only. Weak or conflicting evidence "
     "is Unverified; similarity without authority is never enough for Real. Cite evidence as "
     "'SourceName (evidence_id)' and nothing that is not listed.\n"
@@ -65,14 +65,25 @@ RETRY_REMINDER = (
 EXPLANATION_TEMPLATE = (
     'Explain the verdict "{verdict}" to a general reader. Do not change it, invent no source, '
     "and tell relevance from authority.\n\n"
-    'CLAIM:\n"{claim}"\n\nDOMAIN:\n{domain}\n\nAttempt Count: {attempts}\n'
-    "Maximum Attempts Reached: {exhausted}\nEvidence items: {count}\n\n"
-    "EVIDENCE:\n[{evidence}]\n\nREFLECTION RESULT:\n{reflection}\n\nVERDICT RESULT:\n{result}\n\n"
+    "Claim ({domain}): {claim}\nSearches made: {attempts}, limit reached: {exhausted}\n\n"
+    "{count} passages as JSON: [{evidence}]\nAssessment as JSON: {reflection}\n"
+    "Verdict as JSON: {result}\n\n"
     'Answer with JSON only: {"final_verdict": "{verdict}", "explanation": "", '
     '"evidence_summary": [""], "source_analysis": "", "reasoning": "", "confidence": {baseline}}'
 )
 
 
+#: Fields of evidence and of a verdict that an explanation is told.
+EVIDENCE_FIELDS = [
+    "evidence_id", "chunk_id", "document_id", "text", "domain", "source", "language",
+    "retrieved_date", "similarity_score", "authority_score", "retrieval_method", "metadata",
+    "url", "title", "publication_date",
+]
+VERDICT_FIELDS = [
+    "final_verdict", "confidence_score", "trust_score", "reasoning_summary", "key_evidence_used",
+]
+
+
 def fill(template: str, **values: Column) -> Column:
     """The template with each ``{name}`` replaced by a column; nulls become empty text."""
     parts, rest = [], template
@@ -101,10 +112,9 @@ def _evidence_name() -> Column:
 
 def reflection_block() -> Column:
     return fill(
-        "EVIDENCE ITEM {n}:\n  - Evidence ID: {id}\n  - Source: {source}\n"
-        "  - Authority Score: {authority}\n  - Similarity Score: {similarity}\n"
-        "  - Title: {title}\n  - URL: {url}\n  - Retrieval Method: {method}\n"
-        '  - Text: "{text}"\n',
+        "<passage no={n} id={id} found_by={method}>\n"
+        "{source} | {title} | {url}\n"
+        "authority {authority}, similarity {similarity}\n{text}\n</passage>",
         n=F.col("position"),
         id=_evidence_name(),
         source=_or("source", "Unknown Source"),
@@ -119,9 +129,8 @@ def reflection_block() -> Column:
 
 def verdict_block() -> Column:
     return fill(
-        "Evidence Item {n}:\n[Evidence ID: {id} | Source: {source}]\n"
-        "  - Authority Score: {authority}\n  - Similarity Score: {similarity}\n"
-        '  - URL: {url}\n  - Text: "{text}"\n',
+        "{n}. {source} ({id}), authority {authority}, similarity {similarity}, "
+        "link {url}:\n{text}",
         n=F.col("position"),
         id=_evidence_name(),
         source=_or("source", "Unknown Source"),
@@ -132,12 +141,16 @@ def verdict_block() -> Column:
     )
 
 
-def json_block() -> Column:
-    """One evidence item as a JSON object; absent fields are left out."""
+def json_block(evidence: DataFrame) -> Column:
+    """One evidence item as a JSON object with all its fields; absent ones are left out."""
+    dates = ["retrieved_date", "publication_date"]
     return F.to_json(
         F.struct(
-            "evidence_id", "chunk_id", "document_id", "text", "domain", "source",
-            "similarity_score", "authority_score", "url", "title",
+            *[
+                F.col(name).cast("string").alias(name) if name in dates else F.col(name)
+                for name in EVIDENCE_FIELDS
+                if name in evidence.columns
+            ]
         )
     )
 
@@ -192,11 +205,9 @@ def _flag(name: str) -> Column:
 def reflection_summary() -> Column:
     """The reflection of a stopped claim as lines; a fixed line where there is none."""
     lines = fill(
-        "- Decision: {decision}\n- Is Evidence Sufficient: {sufficient}\n"
-        "- Reflection Confidence: {confidence}\n- Source Credibility Score: {credibility}\n"
-        "- Evidence Quality Score: {quality}\n- Claim Supported: {supported}\n"
-        "- Claim Contradicted: {contradicted}\n"
-        "- Evidence Items Contradict Each Other: {conflict}\n- Analysis Notes: {notes}",
+        "{decision} (sufficient {sufficient}, sure {confidence}); credibility {credibility}, "
+        "quality {quality}; supported {supported}, opposed {contradicted}, "
+        "passages at odds {conflict}. {notes}",
         decision=F.col("decision"),
         sufficient=_flag("is_evidence_sufficient"),
         confidence=F.col("confidence"),
@@ -211,7 +222,7 @@ def reflection_summary() -> Column:
 
 
 def verdict_prompts(inputs: DataFrame, evidence: DataFrame, order: list[str],
-                    tries: int = 1, row_limit: int = GROUP_ROW_LIMIT,
+                    tries: int = MAX_TRIES, row_limit: int = GROUP_ROW_LIMIT,
                     measured: DataFrame | None = None) -> DataFrame:
     """One prompt per stopped claim; from the second try on it carries a reminder."""
     blocks = evidence_text(
@@ -239,23 +250,17 @@ def verdict_prompts(inputs: DataFrame, evidence: DataFrame, order: list[str],
 def explanation_prompts(inputs: DataFrame, evidence: DataFrame, verdicts: DataFrame,
                         order: list[str], row_limit: int = GROUP_ROW_LIMIT,
                         measured: DataFrame | None = None) -> DataFrame:
-    """One prompt per verdict, with evidence, reflection and verdict as JSON."""
+    """One prompt per verdict, with evidence, reflection and verdict as JSON, all their fields.
+
+    ``verdicts`` carry ``key_evidence_used``, see ``verdicts.with_key_evidence``.
+    """
     blocks = evidence_text(
-        evidence, order, json_block(), ",", row_limit, measured=measured
+        evidence, order, json_block(evidence), ",", row_limit, measured=measured
     ).drop("evidence_count")
-    decided = verdicts.select(
-        "claim_id", "final_verdict", "confidence_score", "trust_score", "reasoning_summary"
-    )
+    decided = verdicts.select("claim_id", *VERDICT_FIELDS)
     joined = inputs.join(decided, "claim_id").join(blocks, "claim_id", "left")
-    reflection = F.to_json(
-        F.struct(
-            "decision", "is_evidence_sufficient", "confidence", "notes",
-            "source_credibility_score", "evidence_quality_score",
-        )
-    )
-    result = F.to_json(
-        F.struct("final_verdict", "confidence_score", "trust_score", "reasoning_summary")
-    )
+    reflection = F.to_json(F.struct(*RESULT))
+    result = F.to_json(F.struct(*VERDICT_FIELDS))
     return joined.select(
         "claim_id",
         fill(

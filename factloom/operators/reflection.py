@@ -114,6 +114,7 @@ def guard(frame: DataFrame) -> DataFrame:
 
 def parse_replies(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``doc`` (VARIANT, null if unusable) and ``reply_error`` (null if usable)."""
+    mj.accept_repeated_keys(frame)
     sliced = mj.braces_slice(F.col(raw))
     parsed = frame.withColumn("_slice", sliced).withColumn("_doc", mj.parse(F.col("_slice")))
     empty = F.try_variant_get("_doc", "$", "string") == "{}"

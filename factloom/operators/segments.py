@@ -20,7 +20,8 @@ from ..functions.text import as_text, is_blank, normalize_text, strip
 from ..sources.schemas import SEGMENT
 from ..sources.submissions import MISSING_IMAGE, NO_INPUT, NO_USABLE_TEXT, with_presence
 from .cleaning import clean
-from .ocr import FLAG_EMPTY_TEXT
+from .groups import GROUP_ROW_LIMIT
+from .ocr import FLAG_EMPTY_TEXT, reading_order
 from .translation import needs_translation, sentence_answers, translated_text
 
 _FIELDS = [
@@ -82,6 +83,30 @@ def image_sides(documents: DataFrame, memory: DataFrame) -> DataFrame:
     )
 
 
+def named_images(submissions: DataFrame) -> DataFrame:
+    """The distinct images that submissions name."""
+    return with_presence(submissions).filter("had_image").select("image_id").distinct()
+
+
+def segment_blocks(
+    submissions: DataFrame, images: DataFrame, blocks: DataFrame, row_limit: int = GROUP_ROW_LIMIT
+) -> DataFrame:
+    """Where the text of each OCR segment stands in its image, one row per text block.
+
+    Keyed by (submission_id, order) of the segment and ``block_order``.  Flat, so an image
+    may have any number of blocks, and blocks shared by submissions are ordered once.
+    """
+    named = named_images(submissions).join(images.select("image_id"), "image_id", "left_semi")
+    ordered = reading_order(blocks.join(named, "image_id", "left_semi"), row_limit)
+    shown = with_presence(submissions).filter("had_image").select(
+        "submission_id", "image_id", F.col("had_text").cast("int").alias("order")
+    )
+    return ordered.join(shown, "image_id").select(
+        "submission_id", "order", F.col("reading_order").alias("block_order"), "block_no",
+        "text", "confidence", "min_x", "min_y", "max_x", "max_y",
+    )
+
+
 def side_by_side(submissions: DataFrame, documents: DataFrame, memory: DataFrame) -> DataFrame:
     """One row per submission with its ``user`` and ``ocr`` structs and a ``reason``.
 

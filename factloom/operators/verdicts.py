@@ -9,6 +9,7 @@ from ..functions import modeljson as mj
 from ..functions.modeljson import Field
 from ..functions.phrases import VERDICT_PHRASES, singular_sources
 from ..functions.text import as_text, strip
+from ..session import ensure_checkpoint_dir
 from .groups import GROUP_ROW_LIMIT, OrderedGroups
 
 # --- fixed values -----------------------------------------------------------
@@ -61,6 +62,7 @@ def first_parseable(replies: DataFrame, stage: str = "supervisor") -> DataFrame:
     A minimum with map-side combine over the numbers of the usable tries, so every
     reply is cut out and parsed once; claims without a usable try have no row.
     """
+    mj.accept_repeated_keys(replies)
     tries = replies.filter((F.col("stage") == stage) & (F.col("try_no") <= MAX_TRIES))
     sliced = tries.select("claim_id", "try_no", mj.braces_slice(F.col("raw")).alias("reply"))
     usable = F.when(mj.parse(F.col("reply")).isNotNull(), F.col("try_no"))
@@ -103,6 +105,7 @@ def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
     item, and anything but a text or a list as none.
     """
     verdict, confidence, trust, summary, items = (Field(name) for name in REPLY_FIELDS)
+    mj.accept_repeated_keys(chosen)
     read = mj.with_fields(chosen.withColumn("_doc", mj.parse(F.col(reply))), "_doc", REPLY_FIELDS)
     parsed = read.withColumns(
         {
@@ -120,12 +123,12 @@ def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
     return mj.without_fields(parsed, REPLY_FIELDS).drop("_doc", reply)
 
 
-def _citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_id, item_at) of the items that name an id or a source of the claim's evidence.
+def _with_citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Add ``_named``: the places of the items that name an id or source of the claim's evidence.
 
-    Each evidence row meets its claim's items as one array and gives out only the
-    places that match, which are made distinct before they travel; pairs of items
-    and evidence never exist as rows.
+    Each evidence row meets its claim's items as one array and gives out only the places
+    that match; pairs of items and evidence never exist as rows.  The join leaves rows
+    partitioned by claim, so the set of places is gathered without another shuffle.
     """
     marks = F.filter(
         F.array(
@@ -146,11 +149,13 @@ def _citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
         ),
         lambda at: at.isNotNull(),
     )
+    carried = [name for name in cited.columns if name != "claim_id"]
     return (
-        evidence.select("claim_id", marks.alias("_marks"))
-        .join(cited.select("claim_id", "_items"), "claim_id")
-        .select("claim_id", F.explode(matching).alias("item_at"))
-        .distinct()
+        cited.join(evidence.select("claim_id", marks.alias("_marks")), "claim_id", "left")
+        .select("claim_id", F.struct(*carried).alias("_row"), F.explode_outer(matching).alias("_at"))
+        .groupBy("claim_id")
+        .agg(F.first("_row").alias("_row"), F.collect_set("_at").alias("_named"))
+        .select("claim_id", "_row.*", "_named")
     )
 
 
@@ -183,16 +188,13 @@ def key_evidence(
             lambda digit: digit.cast("int") <= F.col("evidence_count"),
         ),
     )
-    named = _citations(cited.filter(F.size("_items") > 0), evidence)
-    known = named.groupBy("claim_id").agg(F.collect_set("item_at").alias("_named"))
-    judged = cited.withColumn("_numbered", numbered).join(known, "claim_id", "left")
+    judged = _with_citations(cited, evidence).withColumn("_numbered", numbered)
     kept = F.filter(
         F.transform(
             "items",
             lambda item, at: F.when(
                 (
-                    F.coalesce(F.array_contains("_named", at), F.lit(False))
-                    | F.col("_numbered")[at]
+                    F.array_contains("_named", at) | F.col("_numbered")[at]
                 )
                 & ~F.col("_items")[at].isin("", *PLACEHOLDERS),
                 strip(as_text(item)),
@@ -200,7 +202,9 @@ def key_evidence(
         ),
         lambda item: item.isNotNull(),
     )
-    answered = judged.select("claim_id", kept.alias("_kept"))
+    # One narrow row per claim, read twice below.
+    ensure_checkpoint_dir(verdicts.sparkSession)
+    answered = judged.select("claim_id", kept.alias("_kept")).checkpoint()
     sound = answered.select("claim_id", F.posexplode("_kept").alias("item_no", "item"))
     bare = answered.filter(F.size("_kept") == 0).select("claim_id")
     fallen_back = OrderedGroups.of(

@@ -22,6 +22,7 @@ from ..operators import (
 )
 from ..sources import evidence as ev
 from ..sources import submissions as sub
+from ..session import ensure_checkpoint_dir
 from ..sources.replies import attach_replies
 from . import submission_flow, verification_flow
 from .inputs import Inputs
@@ -282,6 +283,12 @@ def segment_rows(i: Inputs) -> DataFrame:
     return rows.withColumn("quality_flags", shown("quality_flags"))
 
 
+@query
+def segment_blocks(i: Inputs) -> DataFrame:
+    """Image provenance of the OCR segments."""
+    return segments.segment_blocks(i.submissions, i.images, i.ocr_blocks)
+
+
 @query
 def segment_language_merge(i: Inputs) -> DataFrame:
     merged = segments.with_merged_language(_sides(i).filter(F.col("reason").isNull()))
@@ -399,11 +406,21 @@ def domain_stage(i: Inputs) -> DataFrame:
 
 @query
 def evidence_load(i: Inputs) -> DataFrame:
-    raw = i.evidence.withColumn("retrieved_date", F.lit(None).cast("timestamp"))
-    loaded = ev.with_defaults(ev.with_numbered_ids(raw, ARRIVAL))
+    loaded = ev.with_defaults(ev.with_numbered_ids(i.evidence, ARRIVAL))
     return loaded.select(
         "claim_id", "arrival", "evidence_id", "chunk_id", "document_id", "title",
         "retrieval_method", F.col("retrieved_date").isNotNull().alias("dated"),
+        F.col("metadata")["origin"].alias("origin"), "publication_date",
+    )
+
+
+@query
+def evidence_defaults(i: Inputs) -> DataFrame:
+    """Ids by content where a row has none, and dates of now where it has none."""
+    filled = ev.with_defaults(i.evidence)
+    given = F.when(F.col("retrieved_date") < F.lit("2025-01-01").cast("timestamp"), F.col("retrieved_date"))
+    return filled.select(
+        "claim_id", "arrival", "evidence_id", "retrieval_method", given.alias("known_date"),
     )
 
 
@@ -415,7 +432,13 @@ def evidence_quarantine(i: Inputs) -> DataFrame:
 
 @query
 def evidence_coerce(i: Inputs) -> DataFrame:
-    return ev.coerce_loose(i.loose_evidence, "raw").drop("raw")
+    """Arrays of keys show what an object holds beyond the known fields."""
+    coerced = ev.coerce_loose(i.loose_evidence, "raw").drop("raw")
+    entries = F.transform(
+        F.sort_array(F.map_keys("other")),
+        lambda key: F.concat(key, F.lit("="), F.coalesce(F.col("other")[key], F.lit("null"))),
+    )
+    return coerced.withColumn("other", F.coalesce(F.array_join(entries, ", "), F.lit("")))
 
 
 @query
@@ -519,6 +542,13 @@ def _stopped(i: Inputs) -> DataFrame:
     return attempts.stop(tried, ["claim", "domain"])
 
 
+def _stopped_once(i: Inputs) -> DataFrame:
+    """The stopped claims, computed once for the steps of a query that read them."""
+    stopped = _stopped(i)
+    ensure_checkpoint_dir(stopped.sparkSession)
+    return stopped.checkpoint()
+
+
 @query
 def attempt_stop(i: Inputs) -> DataFrame:
     """The flagship: evidence metrics, reflection with safeguards, and the stop rule."""
@@ -607,12 +637,18 @@ def verification_report(i: Inputs) -> DataFrame:
     """All stages end to end, one row per claim that got through."""
     made = verification_flow.verification_report(i.claims, i.evidence, i.replies, ARRIVAL)
     return made.select(
-        "claim_id", "attempt_count", "maximum_attempts_reached", "reflection_decision",
-        "reflection_confidence", "final_verdict", "confidence_score", "trust_score",
+        "claim_id", "attempt_count", "maximum_attempts_reached",
+        *[f"reflection_{name}" for name in reflection.RESULT],
+        "final_verdict", "confidence_score", "trust_score",
         shown("key_evidence_used", "|"), "explanation_explanation", "explanation_confidence",
     )
 
 
+@query
+def verification_rejects(i: Inputs) -> DataFrame:
+    return verification_flow.verification_rejects(i.claims, i.evidence, i.replies)
+
+
 # --- prompt tables ----------------------------------------------------------------------------------
 
 
@@ -633,17 +669,21 @@ def reflection_prompts(i: Inputs) -> DataFrame:
 
 @query
 def verdict_prompts(i: Inputs) -> DataFrame:
-    stopped = _stopped(i)
+    stopped = _stopped_once(i)
     return prompts.verdict_prompts(
-        stopped, verdicts.final_evidence(i.evidence, stopped), ARRIVAL, tries=2,
-        measured=i.evidence,
+        stopped, verdicts.final_evidence(i.evidence, stopped), ARRIVAL, measured=i.evidence,
     )
 
 
 @query
 def explanation_prompts(i: Inputs) -> DataFrame:
-    stopped = _stopped(i)
+    stopped = _stopped_once(i)
+    final = verdicts.final_evidence(i.evidence, stopped)
+    sized = stopped.select("claim_id", "evidence_count")
+    decided = verdicts.parse_verdicts(
+        verdicts.first_parseable(i.verdict_replies).join(sized, "claim_id")
+    )
+    cited = verdicts.key_evidence(decided, final, ARRIVAL, measured=i.evidence)
     return prompts.explanation_prompts(
-        stopped, verdicts.final_evidence(i.evidence, stopped), _verdicts(i), ARRIVAL,
-        measured=i.evidence,
+        stopped, final, verdicts.with_key_evidence(decided, cited), ARRIVAL, measured=i.evidence,
     )

@@ -10,11 +10,8 @@ from __future__ import annotations
 
 import re
 
-from ..functions.phrases import NOTES_PHRASES as NOTES
-from ..functions.phrases import VERDICT_PHRASES as REASONING
-from ..functions.text import WHITESPACE
-from ..operators import claims, domains, prompts
-from ..operators.verdicts import PLACEHOLDERS
+from . import check_values as fixed
+from .check_values import NOTES, PLACEHOLDERS, REASONING, WHITESPACE
 from .inputs import INPUTS, tables_in
 
 WS = (
@@ -117,7 +114,7 @@ def language(value: str) -> tuple[str, str]:
 
 
 def sentences(value: str) -> str:
-    cut = "﷐"
+    cut = "\U0010fffd"
     end = rf"([.?!।\n]+(?:[{WS}]+|$))"
     pieces = f"string_split({swap(value, end, chr(92) + '1' + cut)}, '{cut}')"
     body = f"regexp_replace(p, '{end}', '', 'g')"
@@ -186,7 +183,9 @@ def braced(value: str) -> str:
 
 
 def parsed(value: str) -> str:
-    return f"CASE WHEN json_valid({value}) THEN {value} END"
+    """JSON or null.  Of a repeated key the last value counts; inputs mark the others."""
+    last = swap(value, '"[a-z_]+": "superseded", ', "")
+    return f"CASE WHEN json_valid({value}) THEN {last} END"
 
 
 def rewritten(value: str, count: str, phrases: list[tuple[str, str]]) -> str:
@@ -244,7 +243,7 @@ def translated_steps(name: str, source: str, key: str, value: str) -> dict[str,
 def claim_steps(name: str, source: str, key: str, value: str) -> dict[str, str]:
     """Steps that end in ``<name>`` with key and the tidied claim of a raw answer."""
     body = f"SELECT {key}, {trimmed(f'coalesce({value}, {quoted(str())})')} AS c FROM {source}"
-    for lead in claims.LEAD_INS:
+    for lead in fixed.LEAD_INS:
         cut = trimmed(f"substr(c, {len(lead) + 1})")
         body = f"SELECT {key}, CASE WHEN starts_with(c, '{lead}') THEN {cut} ELSE c END AS c FROM ({body})"
     body = f"SELECT {key}, trim(trim(c, '\"'), '''') AS c FROM ({body})"
@@ -351,7 +350,7 @@ def _lexicon_step() -> str:
     """Claims with their leading domain by unnesting words against the term table."""
     terms = ", ".join(
         f"({quoted(name)}, {quoted(term)})"
-        for name, listed in domains.LEXICON.items()
+        for name, listed in fixed.LEXICON.items()
         for term in listed
     )
     return f"""SELECT c.claim_id, c.claim, c.domain AS expected,
@@ -524,6 +523,8 @@ STEPS |= {
     "attempt_judged": f"""SELECT j.* REPLACE (
             CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN 'NO' ELSE decision END AS decision,
             CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN 0.0::DOUBLE ELSE confidence END AS confidence,
+            CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN 0.0::DOUBLE ELSE support_score END AS support_score,
+            CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN false ELSE contradictions_found END AS contradictions_found,
             CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN 0.0::DOUBLE ELSE source_credibility_score END AS source_credibility_score,
             CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN 0.0::DOUBLE ELSE evidence_quality_score END AS evidence_quality_score,
             CASE WHEN {trimmed("coalesce(claim, '')")} = '' THEN false ELSE is_evidence_sufficient END AS is_evidence_sufficient,
@@ -568,33 +569,33 @@ def _evidence_id() -> str:
 
 
 _REFLECTION_BLOCK = filled(
-    "EVIDENCE ITEM {n}:\n  - Evidence ID: {id}\n  - Source: {source}\n  - Authority Score: {authority}\n"
-    "  - Similarity Score: {similarity}\n  - Title: {title}\n  - URL: {url}\n  - Retrieval Method: {method}\n"
-    '  - Text: "{text}"\n',
+    "<passage no={n} id={id} found_by={method}>\n{source} | {title} | {url}\n"
+    "authority {authority}, similarity {similarity}\n{text}\n</passage>",
     n="position", id=_evidence_id(), source="coalesce(source, 'Unknown Source')",
     authority="coalesce(CAST(authority_score AS VARCHAR), 'N/A')",
     similarity="coalesce(CAST(similarity_score AS VARCHAR), 'N/A')", title="coalesce(title, 'N/A')",
     url="coalesce(url, 'N/A')", method="coalesce(retrieval_method, 'N/A')", text="text",
 )
 _VERDICT_BLOCK = filled(
-    "Evidence Item {n}:\n[Evidence ID: {id} | Source: {source}]\n  - Authority Score: {authority}\n"
-    '  - Similarity Score: {similarity}\n  - URL: {url}\n  - Text: "{text}"\n',
+    "{n}. {source} ({id}), authority {authority}, similarity {similarity}, link {url}:\n{text}",
     n="position", id=_evidence_id(), source="coalesce(source, 'Unknown Source')",
     authority="coalesce(CAST(authority_score AS VARCHAR), 'unknown')",
     similarity="coalesce(CAST(similarity_score AS VARCHAR), 'unknown')",
     url="coalesce(nullif(url, ''), 'not available')", text="text",
 )
 _REFLECTION_LINES = filled(
-    "- Decision: {a}\n- Is Evidence Sufficient: {b}\n- Reflection Confidence: {c}\n- Source Credibility Score: {d}\n"
-    "- Evidence Quality Score: {e}\n- Claim Supported: {f}\n- Claim Contradicted: {g}\n"
-    "- Evidence Items Contradict Each Other: {h}\n- Analysis Notes: {i}",
+    "{a} (sufficient {b}, sure {c}); credibility {d}, quality {e}; supported {f}, opposed {g}, "
+    "passages at odds {h}. {i}",
     a="decision", b=flag("is_evidence_sufficient"), c="confidence", d="source_credibility_score",
     e="evidence_quality_score", f=flag("claim_supported"), g=flag("claim_contradicted"),
     h=flag("evidence_items_contradict_each_other"), i="notes",
 )
 _JSON_ITEM = """json_merge_patch('{}', json_object('evidence_id', evidence_id, 'chunk_id', chunk_id, 'document_id', document_id,
-    'text', text, 'domain', domain, 'source', source, 'similarity_score', similarity_score,
-    'authority_score', authority_score, 'url', url, 'title', title))"""
+    'text', text, 'domain', domain, 'source', source, 'language', language,
+    'retrieved_date', CAST(retrieved_date AS VARCHAR), 'similarity_score', similarity_score,
+    'authority_score', authority_score, 'retrieval_method', retrieval_method,
+    'metadata', CASE WHEN metadata IS NOT NULL THEN json_object('origin', metadata) END,
+    'url', url, 'title', title, 'publication_date', CAST(publication_date AS VARCHAR)))"""
 
 
 def _collected(source: str, block: str, separator: str, keys: str = "claim_id") -> str:
@@ -663,6 +664,9 @@ CHECKS: dict[str, str] = {
     "ocr_documents": "SELECT * FROM @image_docs",
     "ocr_empty": "SELECT image_id, average_confidence, block_count, quality_flags FROM @all_image_docs WHERE text = ''",
     "segments": "SELECT * FROM @segs",
+    "segment_blocks": """SELECT submission_id, CAST(had_text AS INTEGER) AS "order", CAST(reading_order AS INTEGER) AS block_order, block_no,
+        text, round(confidence, 4) AS confidence, min_x, min_y, max_x, max_y
+        FROM (SELECT submission_id, image_id, had_text, reason FROM @checked) JOIN @ordered USING (image_id) WHERE reason IS NULL""",
     "segment_language_merge": "SELECT submission_id, original_language, language_confidence FROM @merged",
     "segment_aggregate": """SELECT p.* EXCLUDE (usable, flag_text, segment_count, translated_segments),
         CAST(segment_count AS INTEGER) AS segment_count, CAST(translated_segments AS INTEGER) AS translated_segments,
@@ -679,7 +683,7 @@ CHECKS: dict[str, str] = {
         count(*) FILTER (claim <> '' AND length(claim) * 2 < length(text)) AS brief FROM @best_claim JOIN @noisy_documents USING (doc_id)""",
     "claim_stage": "SELECT claim_id, claim, errors FROM @claimed",
     "domain_lexicon": "SELECT claim_id, domain, confidence, reason FROM @lexicon_domains",
-    "domain_eval": f"""SELECT expected_domain, {', '.join(f"count(*) FILTER (domain = '{d}') AS {d.lower()}" for d in domains.DOMAINS)},
+    "domain_eval": f"""SELECT expected_domain, {', '.join(f"count(*) FILTER (domain = '{d}') AS {d.lower()}" for d in fixed.DOMAINS)},
         {rounded('count(*) FILTER (domain = expected_domain) / CAST(count(*) AS DOUBLE)', 4)} AS accuracy
         FROM (SELECT domain, coalesce({trimmed('expected')}, 'none') AS expected_domain FROM @lexicon_domains) GROUP BY expected_domain""",
     "response_json": "SELECT claim_id, body FROM @domain_answers",
@@ -695,7 +699,10 @@ CHECKS: dict[str, str] = {
     "evidence_load": """SELECT claim_id, arrival, coalesce(evidence_id, concat('evidence_', position)) AS evidence_id,
         coalesce(chunk_id, concat('chunk_', position)) AS chunk_id, document_id,
         coalesce(nullif(title, ''), concat('Test Evidence ', position)) AS title, coalesce(retrieval_method, 'faiss_local') AS retrieval_method,
-        true AS dated FROM @numbered""",
+        true AS dated, metadata AS origin, publication_date FROM @numbered""",
+    "evidence_defaults": """SELECT claim_id, arrival, coalesce(evidence_id, md5(concat_ws(chr(31), claim_id, attempt_no,
+            coalesce(chunk_id, ''), coalesce(document_id, ''), text))) AS evidence_id,
+        coalesce(retrieval_method, 'faiss_local') AS retrieval_method, retrieved_date AS known_date FROM @evidence""",
     "evidence_quarantine": """SELECT claim_id, arrival, violations FROM (SELECT claim_id, arrival, array_to_string(list_filter([
         CASE WHEN chunk_id IS NULL THEN 'missing chunk_id' END, CASE WHEN document_id IS NULL THEN 'missing document_id' END,
         CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN domain IS NULL THEN 'missing domain' END,
@@ -705,7 +712,11 @@ CHECKS: dict[str, str] = {
         FROM @evidence) WHERE violations <> ''""",
     "evidence_coerce": f"""SELECT arrival, claim_id, {', '.join(f"json_extract_string(doc, '$.{n}') AS {n}" for n in ('evidence_id', 'chunk_id', 'document_id', 'source', 'url', 'title'))},
         CASE WHEN doc IS NULL THEN raw ELSE json_extract_string(doc, '$.text') END AS text,
-        {number('doc', 'similarity_score')} AS similarity_score, {number('doc', 'authority_score')} AS authority_score
+        {number('doc', 'similarity_score')} AS similarity_score, {number('doc', 'authority_score')} AS authority_score,
+        {', '.join(f"json_extract_string(doc, '$.{n}') AS {n}" for n in ('domain', 'language', 'retrieval_method', 'retrieved_date', 'publication_date', 'metadata'))},
+        coalesce((SELECT string_agg(k || '=' || coalesce(json_extract_string(doc, '$.' || k), 'null'), ', ' ORDER BY k)
+            FROM (SELECT unnest(json_keys(doc)) AS k) WHERE k NOT IN ('evidence_id', 'chunk_id', 'document_id', 'text', 'source', 'url', 'title',
+                'similarity_score', 'authority_score', 'domain', 'language', 'retrieval_method', 'retrieved_date', 'publication_date', 'metadata')), '') AS other
         FROM (SELECT *, CASE WHEN json_type({parsed('raw')}) = 'OBJECT' THEN raw END AS doc FROM @loose_evidence)""",
     "evidence_authority": f"""SELECT doc_id, source, round(CASE WHEN doc_id % 3 = 0 THEN 0.5::DOUBLE ELSE source_authority END, 6) AS authority_score
         FROM documents LEFT JOIN @source_authority USING (source)""",
@@ -741,24 +752,37 @@ CHECKS: dict[str, str] = {
     "explain_parse": "SELECT claim_id, doc IS NOT NULL AS usable, coalesce(reply_error, '') AS reply_error FROM @explanation_docs",
     "explain_validate": "SELECT * FROM @explained",
     "verification_report": """SELECT s.claim_id, attempt_count, maximum_attempts_reached, s.decision AS reflection_decision,
-        s.confidence AS reflection_confidence, d.final_verdict, confidence_score, trust_score, coalesce(listed, '') AS key_evidence_used,
+        s.is_evidence_sufficient AS reflection_is_evidence_sufficient, s.contradictions_found AS reflection_contradictions_found,
+        s.confidence AS reflection_confidence, s.notes AS reflection_notes, s.support_score AS reflection_support_score,
+        s.source_credibility_score AS reflection_source_credibility_score, s.evidence_quality_score AS reflection_evidence_quality_score,
+        s.claim_supported AS reflection_claim_supported, s.claim_contradicted AS reflection_claim_contradicted,
+        s.evidence_items_contradict_each_other AS reflection_evidence_items_contradict_each_other, d.final_verdict, confidence_score, trust_score, coalesce(listed, '') AS key_evidence_used,
         x.explanation AS explanation_explanation, x.confidence AS explanation_confidence
         FROM @stopped s JOIN @run_decided d USING (claim_id) JOIN @run_explained x USING (claim_id) LEFT JOIN (
             SELECT claim_id, string_agg(item, '|' ORDER BY item_no) AS listed FROM @run_key GROUP BY claim_id) k USING (claim_id)""",
-    "claim_prompts": f"SELECT doc_id, {filled(prompts.CLAIM_TEMPLATE, text=trimmed('text'))} AS prompt FROM documents",
-    "domain_prompts": f"SELECT claim_id, {filled(prompts.DOMAIN_TEMPLATE, claim='claim')} AS prompt FROM @claims",
-    "reflection_prompts": f"""SELECT claim_id, attempt_no, {filled(prompts.REFLECTION_TEMPLATE, claim='claim', domain='domain', count='n', evidence='evidence')} AS prompt
+    "verification_rejects": """SELECT claim_id, CASE WHEN NOT found THEN 'evidence' WHEN NOT judged THEN 'verdict' ELSE 'explanation' END AS stage,
+        CASE WHEN NOT found THEN 'No evidence was provided. Evidence retrieval is required.'
+            WHEN NOT judged THEN 'No try of the verdict held a JSON object.' ELSE coalesce(reply_error, 'No explanation was recorded.') END AS reason
+        FROM (SELECT c.claim_id, c.claim_id IN (SELECT claim_id FROM @evidence WHERE attempt_no = 1) AS found,
+                c.claim_id IN (SELECT claim_id FROM @tries) AS judged, x.doc IS NOT NULL AS explained, reply_error
+            FROM @claims c LEFT JOIN @explanation_docs x USING (claim_id))
+        WHERE NOT (found AND judged AND explained)""",
+    "claim_prompts": f"SELECT doc_id, {filled(fixed.CLAIM_TEMPLATE, text=trimmed('text'))} AS prompt FROM documents",
+    "domain_prompts": f"SELECT claim_id, {filled(fixed.DOMAIN_TEMPLATE, claim='claim')} AS prompt FROM @claims",
+    "reflection_prompts": f"""SELECT claim_id, attempt_no, {filled(fixed.REFLECTION_TEMPLATE, claim='claim', domain='domain', count='n', evidence='evidence')} AS prompt
         FROM @claims JOIN {_collected('(SELECT *, row_number() OVER (PARTITION BY claim_id, attempt_no ORDER BY arrival) AS position FROM @evidence)', _REFLECTION_BLOCK, 'chr(10)', 'claim_id, attempt_no')} USING (claim_id)""",
-    "verdict_prompts": f"""SELECT claim_id, try_no, prompt || CASE WHEN try_no > 1 THEN {quoted(prompts.RETRY_REMINDER)} ELSE '' END AS prompt
-        FROM (SELECT claim_id, unnest([1, 2]) AS try_no, {filled(prompts.VERDICT_TEMPLATE, claim='claim', domain='domain', attempts='attempt_count', exhausted=flag('maximum_attempts_reached'), count='n', evidence='evidence', reflection=_REFLECTION_LINES)} AS prompt
+    "verdict_prompts": f"""SELECT claim_id, try_no, prompt || CASE WHEN try_no > 1 THEN {quoted(fixed.RETRY_REMINDER)} ELSE '' END AS prompt
+        FROM (SELECT claim_id, unnest([1, 2, 3]) AS try_no, {filled(fixed.VERDICT_TEMPLATE, claim='claim', domain='domain', attempts='attempt_count', exhausted=flag('maximum_attempts_reached'), count='n', evidence='evidence', reflection=_REFLECTION_LINES)} AS prompt
         FROM @stopped JOIN {_collected('@final_evidence', _VERDICT_BLOCK, 'chr(10)')} USING (claim_id))""",
     "explanation_prompts": f"""SELECT claim_id, {filled(
-            prompts.EXPLANATION_TEMPLATE, verdict='final_verdict', claim='claim', domain='domain', attempts='attempt_count',
+            fixed.EXPLANATION_TEMPLATE, verdict='final_verdict', claim='claim', domain='domain', attempts='attempt_count',
             exhausted=flag('maximum_attempts_reached'), count='n', evidence='evidence',
-            reflection="json_object('decision', decision, 'is_evidence_sufficient', is_evidence_sufficient, 'confidence', confidence, 'notes', notes, 'source_credibility_score', source_credibility_score, 'evidence_quality_score', evidence_quality_score)",
-            result="json_object('final_verdict', final_verdict, 'confidence_score', confidence_score, 'trust_score', trust_score, 'reasoning_summary', reasoning_summary)",
+            reflection="json_object('decision', decision, 'is_evidence_sufficient', is_evidence_sufficient, 'contradictions_found', contradictions_found, 'confidence', confidence, 'notes', notes, 'support_score', support_score, 'source_credibility_score', source_credibility_score, 'evidence_quality_score', evidence_quality_score, 'claim_supported', claim_supported, 'claim_contradicted', claim_contradicted, 'evidence_items_contradict_each_other', evidence_items_contradict_each_other)",
+            result="json_object('final_verdict', final_verdict, 'confidence_score', confidence_score, 'trust_score', trust_score, 'reasoning_summary', reasoning_summary, 'key_evidence_used', listed)",
             baseline=rounded('CASE WHEN confidence_score > 1 THEN confidence_score / 100.0::DOUBLE ELSE confidence_score END', 2))} AS prompt
-        FROM @stopped JOIN (SELECT claim_id, final_verdict, confidence_score, trust_score, reasoning_summary FROM @decided) USING (claim_id)
+        FROM @stopped JOIN (SELECT claim_id, final_verdict, confidence_score, trust_score, reasoning_summary FROM @run_decided) USING (claim_id)
+        JOIN (SELECT claim_id, coalesce(list(item ORDER BY item_no) FILTER (item IS NOT NULL), CAST([] AS VARCHAR[])) AS listed
+            FROM @run_decided LEFT JOIN @run_key USING (claim_id) GROUP BY claim_id) USING (claim_id)
         JOIN {_collected('@final_evidence', _JSON_ITEM, quoted(','))} USING (claim_id)""",
 }
 

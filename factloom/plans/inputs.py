@@ -31,6 +31,7 @@ INPUTS: dict[str, str] = {
             CASE WHEN doc_id % 3 = 0 THEN ' It rose by 0 . 50 % to ₹ 5,000 !!!' ELSE '' END,
             CASE WHEN doc_id % 6 = 0 THEN ' cafe\u0301 \ufefface\u200bs\u00a0 end' ELSE '' END,
             CASE WHEN doc_id % 8 = 0 THEN ' See https://a.example/x?id=1, WWW.B.example and http://a.example .' ELSE '' END,
+            CASE WHEN doc_id % 11 = 0 THEN ' one\ufdd0two three. four\ufdd0. Five!\ufdd0' ELSE '' END,
             CASE WHEN doc_id % 4 = 0 THEN '\n Breaking\t  news today\nBREAKING news TODAY\n\n  \nBreaking news today \nother ~~ || **++ line\n' ELSE '' END
         ) AS text
         FROM {{documents}}""",
@@ -113,7 +114,9 @@ INPUTS: dict[str, str] = {
             CASE WHEN l_partkey % 47 = 0 THEN NULL ELSE 'none' END AS metadata,
             CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 5 = 1 THEN ''
                  ELSE concat('https://e.example/', CAST(l_partkey AS STRING)) END AS url,
-            CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('Lot ', CAST(l_partkey AS STRING)) END AS title
+            CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('Lot ', CAST(l_partkey AS STRING)) END AS title,
+            CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE CAST('2024-03-01 08:30:00' AS TIMESTAMP) END AS retrieved_date,
+            CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST('2023-05-06 00:00:00' AS TIMESTAMP) END AS publication_date
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     # Evidence as it may arrive: JSON objects, JSON of other kinds, plain text.
     "loose_evidence": """
@@ -121,6 +124,7 @@ INPUTS: dict[str, str] = {
             CASE WHEN l_partkey % 7 = 0 THEN concat('Plain text about lot ', CAST(l_partkey AS STRING))
                  WHEN l_partkey % 7 = 1 THEN concat('[', CAST(l_partkey AS STRING), ', 2]')
                  WHEN l_partkey % 7 = 2 THEN CAST(l_partkey AS STRING)
+                 WHEN l_partkey % 7 = 4 THEN concat('{{"text": "kept whole", "domain": "Finance", "language": "en", "retrieval_method": "faiss_local", "retrieved_date": "2024-03-01", "publication_date": null, "metadata": {{"lot":"', CAST(l_partkey AS STRING), '"}}, "page": ', CAST(l_suppkey AS STRING), ', "section": "A"}}')
                  WHEN l_partkey % 7 = 3 THEN concat('{{"text": "Lot ', CAST(l_partkey AS STRING), '", "similarity_score": "0.', CAST(10 + l_partkey % 90 AS STRING), '", "authority_score": "high"}}')
                  ELSE concat('{{"chunk_id": "c', CAST(l_partkey AS STRING), '", "source": "S', CAST(l_suppkey AS STRING), '", "text": "seen", "url": null, "similarity_score": 0.',
                              CAST(10 + l_suppkey % 90 AS STRING), ', "authority_score": ', CASE WHEN l_suppkey % 2 = 0 THEN 'true' ELSE '1' END, '}}') END AS raw
@@ -134,6 +138,7 @@ INPUTS: dict[str, str] = {
             WHEN k % 11 = 0 THEN 'not json'
             WHEN k % 13 = 0 THEN 'Sure: {{"decision": "YES" "confidence": 1}}'
             WHEN k % 17 = 0 THEN '{{}}'
+            WHEN k % 23 = 0 THEN '{{"decision": "superseded", "confidence": 0.8, "decision": "YES", "notes": "superseded", "notes": "Sources agree on it."}}'
             WHEN k % 7 = 0 THEN concat('```json\n{{"decision": "yes", "confidence": "0.9", "support_score": 1.7, ',
                 '"claim_supported": "false", "evidence_quality_score": "high", ',
                 '"notes": "Multiple sources confirm it."}}\n```')
@@ -158,6 +163,7 @@ INPUTS: dict[str, str] = {
             WHEN k % 11 = 0 THEN concat('```\n{{"final_verdict": "REAL", "confidence_score": 1.0, "trust_score": 1, ',
                 '"key_evidence_used": "evidence_1 says so"}}\n```')
             WHEN k % 13 = 0 THEN '{{"final_verdict": null, "confidence_score": "0.9", "trust_score": "n/a", "key_evidence_used": {{"a": 1}}, "reasoning_summary": null}}'
+            WHEN k % 19 = 0 THEN '{{"final_verdict": "superseded", "confidence_score": 70, "final_verdict": "Fake", "reasoning_summary": "superseded", "reasoning_summary": "Said twice."}}'
             WHEN k % 17 = 0 THEN '{{"final_verdict": "maybe", "confidence_score": true, "trust_score": 250, "key_evidence_used": []}}'
             ELSE concat('Verdict {{"final_verdict": "', CASE WHEN k % 3 = 0 THEN ' fake ' WHEN k % 3 = 1 THEN 'Real' ELSE 'unverified' END,
                 '", "confidence_score": ', CASE WHEN k % 2 = 0 THEN '0.' ELSE '' END, CAST(10 + k % 90 AS STRING),
@@ -171,6 +177,7 @@ INPUTS: dict[str, str] = {
             WHEN o_orderkey % 11 = 0 THEN 'No answer'
             WHEN o_orderkey % 13 = 0 THEN '[{{"explanation": "in a list"}}]'
             WHEN o_orderkey % 7 = 0 THEN '```json\n{{"final_verdict": "Real", "confidence": 95, "evidence_summary": "one point", "explanation": "Various sources say so."}}\n```'
+            WHEN o_orderkey % 17 = 0 THEN '{{"explanation": "superseded", "confidence": 0.4, "explanation": "Multiple sources say it.", "evidence_summary": ["x"]}}'
             WHEN o_orderkey % 5 = 0 THEN 'Text {{"final_verdict": "fake", "confidence": "0", "evidence_summary": null, "reasoning": null, "source_analysis": 3}} more'
             ELSE concat('{{"final_verdict": "Unverified", "confidence": ', CASE WHEN o_orderkey % 3 = 0 THEN '180' ELSE concat('0.', CAST(10 + o_orderkey % 90 AS STRING)) END,
                 ', "explanation": "Multiple sources confirm.", "evidence_summary": ["a", "b"], "source_analysis": "across sources", "reasoning": "Sources confirm it"}}') END AS raw
@@ -180,6 +187,7 @@ INPUTS: dict[str, str] = {
             WHEN o_orderkey % 11 = 0 THEN 'not json'
             WHEN o_orderkey % 13 = 0 THEN 'list: ```[1, 2]```'
             WHEN o_orderkey % 17 = 0 THEN 'empty ```json``` fence {{"domain": "Medical"}}'
+            WHEN o_orderkey % 19 = 0 THEN 'It is {{"domain": "superseded", "confidence": 0.7, "domain": "Politics", "reason": "said twice"}}'
             WHEN o_orderkey % 7 = 0 THEN concat('```json\n{{"domain": "Medical", "confidence": "0.', CAST(10 + o_orderkey % 90 AS STRING), '", "reason": "fenced"}}\n```')
             WHEN o_orderkey % 5 = 0 THEN '{{"domain": "Sports", "confidence": 0.5, "reason": "not a known one"}}'
             WHEN o_orderkey % 9 = 0 THEN '{{"domain": "Finance", "confidence": 1.5, "reason": "too sure"}}'
@@ -214,6 +222,7 @@ class Inputs:
     """Given tables of a folder and everything in :data:`INPUTS`, by attribute."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         self._spark, self._folder = spark, folder
         self._load = cache(self._build)
 
@@ -223,6 +232,8 @@ class Inputs:
     def _build(self, name: str) -> DataFrame:
         if name == "ocr_blocks":
             return with_boxes(self._query(name))
+        if name == "evidence":
+            return with_metadata(self._query(name))
         if name in INPUTS:
             return self._query(name)
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
@@ -250,6 +261,12 @@ class StagedInputs(Inputs):
         return self._spark.read.parquet(path)
 
 
+def with_metadata(evidence: DataFrame) -> DataFrame:
+    """Metadata as a map of one entry."""
+    entry = F.create_map(F.lit("origin"), F.col("metadata"))
+    return evidence.withColumn("metadata", F.when(F.col("metadata").isNotNull(), entry))
+
+
 def with_boxes(blocks: DataFrame) -> DataFrame:
     """Corner points from corner and size: clockwise, 80 wide."""
     x, y, right, bottom = F.col("x"), F.col("y"), F.col("x") + 80, F.col("y") + F.col("h")

@@ -9,7 +9,7 @@ from ..operators.claims import choose_claim
 from ..operators.domains import detect_domain
 from ..operators.groups import GROUP_ROW_LIMIT
 from ..operators.ocr import documents, documents_for
-from ..operators.segments import aggregate, side_by_side
+from ..operators.segments import aggregate, named_images, side_by_side
 from ..sources.replies import attach_replies
 from ..sources.submissions import with_fallback
 
@@ -24,9 +24,13 @@ def process_submissions(
     """Processed rows of all submissions; those that cannot be processed get fallback rows.
 
     ``images`` lists existing images, ``blocks`` the text blocks recognised in them
-    and ``memory`` known translations.
+    and ``memory`` known translations.  Only images that a submission names are worked on.
     """
-    recognised = documents_for(images, documents(blocks, row_limit))
+    named = named_images(submissions)
+    wanted = blocks.join(named, "image_id", "left_semi")
+    recognised = documents_for(
+        images.join(named, "image_id", "left_semi"), documents(wanted, row_limit)
+    )
     return with_fallback(aggregate(side_by_side(submissions, recognised, memory)))
 
 

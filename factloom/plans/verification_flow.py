@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explanations
-from ..operators.attempts import reflect_attempts, stop
+from ..operators.attempts import given_up, reflect_attempts, stop
 from ..operators.groups import GROUP_ROW_LIMIT
+from ..operators.reflection import NO_EVIDENCE
+from ..operators.reflection import RESULT as REFLECTION
 from ..operators.verdicts import (
     final_evidence, first_parseable, key_evidence, parse_verdicts, verdict_inputs,
-    with_key_evidence,
+    with_key_evidence, without_verdict,
 )
 from ..session import ensure_checkpoint_dir
 from ..sources.replies import attach_replies
 
-REFLECTION = [
-    "decision", "confidence", "notes", "support_score", "source_credibility_score",
-    "evidence_quality_score", "claim_supported", "claim_contradicted", "contradictions_found",
-]
+#: Reasons of rejects.
+NO_VERDICT = "No try of the verdict held a JSON object."
+NO_EXPLANATION = "No explanation was recorded."
 EXPLANATION = ["explanation", "evidence_summary", "source_analysis", "reasoning", "confidence"]
 
 
@@ -35,6 +36,35 @@ def decide(claims: DataFrame, evidence: DataFrame, replies: DataFrame) -> DataFr
     return parse_verdicts(reflected.join(first_parseable(replies), "claim_id"))
 
 
+def verification_rejects(
+    claims: DataFrame, evidence: DataFrame, replies: DataFrame
+) -> DataFrame:
+    """(claim_id, stage, reason) of every claim that is not in the report.
+
+    With it each claim is accounted for: it was given up without evidence, or no try gave
+    a verdict, or its explanation is missing or unusable.
+    """
+    chosen = first_parseable(replies)
+    none = given_up(claims, evidence).select("claim_id")
+    tried = claims.select("claim_id").join(none, "claim_id", "left_anti")
+    undecided = without_verdict(tried, chosen)
+    asked = attach_replies(
+        tried.join(chosen.select("claim_id"), "claim_id", "left_semi"),
+        replies, "explanation", ["claim_id"],
+    )
+    unexplained = explanations.parse_replies(asked).filter(F.col("doc").isNull())
+
+    def rejected(rows: DataFrame, stage: str, reason: Column) -> DataFrame:
+        return rows.select("claim_id", F.lit(stage).alias("stage"), reason.alias("reason"))
+
+    reason = F.when(F.col("raw").isNull(), NO_EXPLANATION).otherwise(F.col("reply_error"))
+    return (
+        rejected(none, "evidence", F.lit(NO_EVIDENCE))
+        .unionByName(rejected(undecided, "verdict", F.lit(NO_VERDICT)))
+        .unionByName(rejected(unexplained, "explanation", reason))
+    )
+
+
 def verification_report(
     claims: DataFrame,
     evidence: DataFrame,

@@ -19,6 +19,10 @@ RUNTIME_CONF = {
     # 8000 bytes of bytecode; below this limit Spark splits such stages instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
+    # Replies may repeat a key; the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -14,7 +14,10 @@ from .schemas import RETRIEVAL_METHOD
 REQUIRED = [
     "chunk_id", "document_id", "text", "domain", "source", "language", "similarity_score", "metadata",
 ]
-#: Columns read from loose JSON input, with their types.
+#: What an absent id is made from, as far as a row has it.
+ID_PARTS = ["claim_id", "attempt_no", "chunk_id", "document_id", "text", "position"]
+#: Columns read from loose JSON input, with their types.  What else an object holds is
+#: kept in the map ``other``.
 LOOSE_FIELDS = {
     "evidence_id": "string",
     "chunk_id": "string",
@@ -25,14 +28,28 @@ LOOSE_FIELDS = {
     "title": "string",
     "similarity_score": "double",
     "authority_score": "double",
+    "domain": "string",
+    "language": "string",
+    "retrieval_method": "string",
+    "retrieved_date": "string",
+    "publication_date": "string",
+    "metadata": "string",
 }
 
 
 def with_defaults(evidence: DataFrame) -> DataFrame:
-    """Fill the id (random), retrieval date (now) and retrieval method where absent."""
+    """Fill the id, retrieval date (now) and retrieval method where absent.
+
+    The id is a hash of what the row says, so it is the same each time the row is read.
+    """
+    parts = [
+        F.coalesce(F.col(name).cast("string"), F.lit(""))
+        for name in ID_PARTS
+        if name in evidence.columns
+    ]
     return evidence.withColumns(
         {
-            "evidence_id": F.coalesce("evidence_id", F.uuid()),
+            "evidence_id": F.coalesce("evidence_id", F.md5(F.concat_ws("\x1f", *parts))),
             "retrieved_date": F.coalesce("retrieved_date", F.current_timestamp()),
             "retrieval_method": F.coalesce("retrieval_method", F.lit(RETRIEVAL_METHOD)),
         }
@@ -79,6 +96,7 @@ def split_valid(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def coerce_loose(items: DataFrame, raw: str) -> DataFrame:
     """Evidence columns from loose input: a JSON object gives its fields, anything else its text."""
+    mj.accept_repeated_keys(items)
     parsed = items.withColumn("_doc", mj.parse(F.col(raw)))
     usable = mj.with_fields(
         parsed.withColumn("_object", mj.is_object(F.col("_doc"))), "_doc", list(LOOSE_FIELDS)
@@ -90,7 +108,11 @@ def coerce_loose(items: DataFrame, raw: str) -> DataFrame:
         value = F.when(F.col("_object"), Field(name).raw)
         return value.otherwise(F.col(raw)) if name == "text" else value
 
-    coerced = usable.withColumns({name: read(name, kind) for name, kind in LOOSE_FIELDS.items()})
+    every = F.try_variant_get("_doc", "$", "map<string, string>")
+    other = F.map_filter(F.when(F.col("_object"), every), lambda key, _: ~key.isin(*LOOSE_FIELDS))
+    coerced = usable.withColumns(
+        {**{name: read(name, kind) for name, kind in LOOSE_FIELDS.items()}, "other": other}
+    )
     return mj.without_fields(coerced, list(LOOSE_FIELDS)).drop("_doc", "_object")
 
 

@@ -10,9 +10,9 @@ from factloom.sources.schemas import OCR_BLOCKS, SUBMISSIONS, TRANSLATION_MEMORY
 from factloom.sources.submissions import reject_reason, stream_submissions
 from factloom.streaming.flows import per_batch, text_stream, write_stream
 
-TELUGU = "రిజర్వ్ బ్యాంక్ వడ్డీ రేటును తగ్గించింది."
+TELUGU = "వరంగల్ లో వర్షాలు మొదలయ్యాయి."
 ROWS = [
-    (1, "The Reserve Bank of India reduced the repo rate by 0.50% on Friday.", None),
+    (1, "The harbour bank set its repo rate at 3.75% on Monday.", None),
     (2, TELUGU, None),
     (3, "Verify this breaking news:", "te"),
     (4, None, "en"),
@@ -21,7 +21,7 @@ ROWS = [
     (7, " @@@ ## ", None),
     (8, "seen before", "blank"),
     (9, None, "blank"),
-    (10, "PM Modi హైదరాబాద్ లో ప్రసంగించారు and announced new policies.", "en"),
+    (10, "Mayor Rao వరంగల్ కి వెళ్లారు and opened two new bridges.", "en"),
 ]
 
 
@@ -37,7 +37,7 @@ def tables(spark):
         ("en", 1, box(0.0, 0.0), "BREAKING", 0.3),
         ("blank", 0, box(0.0, 0.0), "  ", 0.9),
     ]
-    memory = [(TELUGU, "Reserve Bank cut its rate.")]
+    memory = [(TELUGU, "Rains began in Warangal.")]
     return {
         "submissions": spark.createDataFrame(ROWS, SUBMISSIONS),
         "images": spark.createDataFrame([("te",), ("en",), ("blank",)], "image_id string"),
@@ -56,14 +56,14 @@ def test_processed_rows(processed):
     assert len(rows) == len(ROWS)
     assert rows[1].processed_text == ROWS[0][1]
     assert (rows[1].original_language, rows[1].was_translated) == ("en", False)
-    assert rows[2].processed_text == "Reserve Bank cut its rate."
+    assert rows[2].processed_text == "Rains began in Warangal."
     assert rows[2].pre_translation_text == TELUGU
     assert (rows[2].original_language, rows[2].translated_segments) == ("te", 1)
 
     both = rows[3]
     assert [s.source for s in both.segments] == ["user_text", "ocr"]
-    assert [s.translated_text for s in both.segments] == [None, "Reserve Bank cut its rate."]
-    assert both.processed_text == "Verify this breaking news:\nReserve Bank cut its rate."
+    assert [s.translated_text for s in both.segments] == [None, "Rains began in Warangal."]
+    assert both.processed_text == "Verify this breaking news:\nRains began in Warangal."
     assert (both.original_language, both.language_confidence) == ("mixed", 0.99)
     assert both.ocr_confidence == both.segments[1].ocr_confidence == 0.9
 
@@ -114,7 +114,7 @@ def test_claim_and_domain_from_replies(spark, processed):
     )
     rows = {r.submission_id: r for r in claims_and_domains(processed, replies).collect()}
     assert (rows[1].claim, rows[1].domain, rows[1].confidence, rows[1].errors) == ("RBI cut the rate.", "Finance", 0.9, [])
-    assert rows[2].claim == "Reserve Bank cut its rate."
+    assert rows[2].claim == "Rains began in Warangal."
     assert rows[2].errors == ["claim_extraction_error: no model reply"]
     assert (rows[2].domain, rows[2].reason) == ("Unknown", "Invalid JSON returned by LLM.")
     assert rows[8].errors == ["claim_extraction_error: no model reply", "domain_detection_error: no model reply"]

@@ -276,8 +276,8 @@ def test_prompts(spark, run):
     asked = {(r.claim_id, r.attempt_no): r.prompt for r in prompts.reflection_prompts(claims, evidence, ["arrival"]).collect()}
     cut = {(r.claim_id, r.attempt_no): r.prompt for r in prompts.reflection_prompts(claims, evidence, ["arrival"], 1).collect()}
     assert asked == cut
-    assert "TOTAL EVIDENCE ITEMS RETRIEVED: 2" in asked[2, 3]
-    assert asked[2, 3].index("Evidence ID: evidence_3") < asked[2, 3].index("Evidence ID: evidence_4")
+    assert "Passages found: 2" in asked[2, 3]
+    assert asked[2, 3].index("id=evidence_3") < asked[2, 3].index("id=evidence_4")
     stopped = stop(reflect_attempts(claims, evidence, replies), ["claim", "domain"])
     tries = {(r.claim_id, r.try_no): r.prompt for r in prompts.verdict_prompts(stopped, evidence, ["arrival"], tries=2).collect()}
     assert tries[1, 2] == tries[1, 1] + prompts.RETRY_REMINDER
