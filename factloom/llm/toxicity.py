@@ -25,6 +25,7 @@ from math import exp, lgamma, log, log1p
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,6 +173,16 @@ def _terms(folded: str) -> set[str]:
     return terms
 
 
+def signature(folded: str) -> int:
+    """The smallest hash of any five words in a row: mostly equal for near copies only."""
+    words = folded.split()
+    wide = min(5, len(words))
+    return min(
+        (xxhash.xxh64_intdigest(" ".join(words[at : at + wide])) >> 1 for at in range(len(words) - wide + 1)),
+        default=0,
+    )
+
+
 def learn(
     documents: DataFrame,
     labels: DataFrame,
@@ -185,6 +196,17 @@ def learn(
         F.broadcast(sample_labels(labels, "toxic", DIVISOR, HELD_OUT, sample)), "doc_id"
     )
 
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            signed = [signature(fold(text or "")) for text in batch["text"]]
+            yield batch[["doc_id", "label"]].assign(sign=np.array(signed, dtype=np.int64))
+
+    # Copies of one document would make all its words look like terms; they count once.
+    once = (
+        known.mapInPandas(sign, "doc_id long, label int, sign long")
+        .groupBy("label", "sign").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    )
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = (Counter(), Counter())
@@ -202,7 +224,8 @@ def learn(
             )
 
     counted = (
-        known.mapInPandas(count, "term string, clean long, toxic long")
+        known.join(F.broadcast(once), "doc_id", "left_semi")
+        .mapInPandas(count, "term string, clean long, toxic long")
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter((F.col("term") == "") | (F.col("toxic") >= 2))
