@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Rows of one group that a single task is trusted with.
+#: Rows, and bytes where a caller says how to count them, of one group that a single task
+#: is trusted with.
 GROUP_ROW_LIMIT = 1_000_000
+GROUP_BYTE_LIMIT = 512 * 1024 * 1024
 
 _BUCKET = "_bucket"
 
@@ -58,22 +60,29 @@ class OrderedGroups:
         order: Sequence[str],
         row_limit: int = GROUP_ROW_LIMIT,
         measured: DataFrame | None = None,
+        size: Column | None = None,
+        byte_limit: int = GROUP_BYTE_LIMIT,
     ) -> OrderedGroups:
         """Group ``frame``, cutting the groups that are larger than ``row_limit``.
 
         ``measured`` names a cheaper table whose groups are at least as large, such
-        as the one ``frame`` was filtered from; sizes are then taken there.
+        as the one ``frame`` was filtered from; sizes are then taken there.  ``size``
+        is the number of bytes that a row adds to its group; groups of more than
+        ``byte_limit`` bytes are cut too.
         """
         keys, order = tuple(keys), tuple(order)
-        sizes = (frame if measured is None else measured).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        oversized = sizes.filter(F.col("_rows") > row_limit)
-        total = oversized.agg(F.sum("_rows")).first()[0]
-        if not total:
+        weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
+        sizes = (frame if measured is None else measured).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_rows"), F.sum(weight.cast("long")).alias("_bytes")
+        )
+        oversized = sizes.filter((F.col("_rows") > row_limit) | (F.col("_bytes") > byte_limit))
+        rows, weighed = oversized.agg(F.sum("_rows"), F.sum("_bytes")).first()
+        if not rows:
             return cls((_Part(frame, False),), keys, order)
 
         ensure_checkpoint_dir(frame.sparkSession)
         hot_keys = oversized.select(*keys).checkpoint()
-        buckets = -(-total * 2 // row_limit)
+        buckets = max(-(-rows * 2 // row_limit), -(-weighed * 2 // byte_limit))
         cold = frame.join(hot_keys, list(keys), "left_anti")
         hot = (
             frame.join(hot_keys, list(keys), "left_semi")

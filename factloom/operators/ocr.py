@@ -51,7 +51,8 @@ def _in_lines(blocks: DataFrame, row_limit: int) -> OrderedGroups:
     )
     return (
         OrderedGroups.of(
-            geometry(blocks), ["image_id"], ["center_y", "block_no"], row_limit, measured=blocks
+            geometry(blocks), ["image_id"], ["center_y", "block_no"], row_limit, measured=blocks,
+            size=F.octet_length("text"),
         )
         .previous({"_y": "center_y", "_h": "height"})
         .running_sum("line_no", F.when(starts_line, 1).otherwise(0))

@@ -73,6 +73,8 @@ EXPLANATION_TEMPLATE = (
 )
 
 
+#: What a block adds to its text, roughly.
+BLOCK_BYTES = 400
 #: Fields of evidence and of a verdict that an explanation is told.
 EVIDENCE_FIELDS = [
     "evidence_id", "chunk_id", "document_id", "text", "domain", "source", "language",
@@ -164,7 +166,9 @@ def evidence_text(
 
     ``measured`` is a table whose claims hold at least as many rows, for sizing groups.
     """
-    groups = OrderedGroups.of(evidence, keys, order, row_limit, measured)
+    groups = OrderedGroups.of(
+        evidence, keys, order, row_limit, measured, size=F.octet_length("text") + BLOCK_BYTES
+    )
     numbered = groups.position("position")
     joined = numbered.join_text(
         block, separator, "evidence", "position", count_items=F.count(F.lit(1))

@@ -123,12 +123,12 @@ def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
     return mj.without_fields(parsed, REPLY_FIELDS).drop("_doc", reply)
 
 
-def _with_citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+def _with_citations(cited: DataFrame, evidence: DataFrame, row_limit: int) -> DataFrame:
     """Add ``_named``: the places of the items that name an id or source of the claim's evidence.
 
     Each evidence row meets its claim's items as one array and gives out only the places
     that match; pairs of items and evidence never exist as rows.  The join leaves rows
-    partitioned by claim, so the set of places is gathered without another shuffle.
+    partitioned as the set of places is gathered, so only that set travels once more.
     """
     marks = F.filter(
         F.array(
@@ -150,12 +150,33 @@ def _with_citations(cited: DataFrame, evidence: DataFrame) -> DataFrame:
         lambda at: at.isNotNull(),
     )
     carried = [name for name in cited.columns if name != "claim_id"]
+    # A hot claim's evidence is dealt to several tasks, each with a copy of the items.
+    # Such a claim has more than ``row_limit`` items of evidence, so these claims are few.
+    salts = F.greatest(F.lit(1), F.ceil(F.col("evidence_count") / row_limit).cast("int"))
+    hot = cited.filter(salts > 1).select("claim_id", salts.alias("_salts"))
+    dealt = (
+        evidence.select("claim_id", marks.alias("_marks"), "document_id", "chunk_id", "text")
+        .join(F.broadcast(hot), "claim_id", "left")
+        .select(
+            "claim_id", "_marks",
+            F.when(
+                F.col("_salts").isNotNull(),
+                F.pmod(F.xxhash64("document_id", "chunk_id", "text"), F.col("_salts")).cast("int"),
+            ).otherwise(0).alias("_salt"),
+        )
+    )
     return (
-        cited.join(evidence.select("claim_id", marks.alias("_marks")), "claim_id", "left")
-        .select("claim_id", F.struct(*carried).alias("_row"), F.explode_outer(matching).alias("_at"))
+        cited.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .join(dealt, ["claim_id", "_salt"], "left")
+        .select(
+            "claim_id", "_salt", F.struct(*carried).alias("_row"),
+            F.explode_outer(matching).alias("_at"),
+        )
+        .groupBy("claim_id", "_salt")
+        .agg(F.first("_row").alias("_row"), F.collect_set("_at").alias("_some"))
         .groupBy("claim_id")
-        .agg(F.first("_row").alias("_row"), F.collect_set("_at").alias("_named"))
-        .select("claim_id", "_row.*", "_named")
+        .agg(F.first("_row").alias("_row"), F.collect_list("_some").alias("_parts"))
+        .select("claim_id", "_row.*", F.array_distinct(F.flatten("_parts")).alias("_named"))
     )
 
 
@@ -188,7 +209,7 @@ def key_evidence(
             lambda digit: digit.cast("int") <= F.col("evidence_count"),
         ),
     )
-    judged = _with_citations(cited, evidence).withColumn("_numbered", numbered)
+    judged = _with_citations(cited, evidence, row_limit).withColumn("_numbered", numbered)
     kept = F.filter(
         F.transform(
             "items",

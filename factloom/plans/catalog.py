@@ -644,6 +644,12 @@ def verification_report(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def verification_citations(i: Inputs) -> DataFrame:
+    """The key evidence of the report's claims, one row per item."""
+    return verification_flow.verification_tables(i.claims, i.evidence, i.replies, ARRIVAL)[1]
+
+
 @query
 def verification_rejects(i: Inputs) -> DataFrame:
     return verification_flow.verification_rejects(i.claims, i.evidence, i.replies)

@@ -760,6 +760,7 @@ CHECKS: dict[str, str] = {
         x.explanation AS explanation_explanation, x.confidence AS explanation_confidence
         FROM @stopped s JOIN @run_decided d USING (claim_id) JOIN @run_explained x USING (claim_id) LEFT JOIN (
             SELECT claim_id, string_agg(item, '|' ORDER BY item_no) AS listed FROM @run_key GROUP BY claim_id) k USING (claim_id)""",
+    "verification_citations": "SELECT * FROM @run_key WHERE claim_id IN (SELECT claim_id FROM @run_explained)",
     "verification_rejects": """SELECT claim_id, CASE WHEN NOT found THEN 'evidence' WHEN NOT judged THEN 'verdict' ELSE 'explanation' END AS stage,
         CASE WHEN NOT found THEN 'No evidence was provided. Evidence retrieval is required.'
             WHEN NOT judged THEN 'No try of the verdict held a JSON object.' ELSE coalesce(reply_error, 'No explanation was recorded.') END AS reason

@@ -65,30 +65,48 @@ def verification_rejects(
     )
 
 
-def verification_report(
+def verification_tables(
     claims: DataFrame,
     evidence: DataFrame,
     replies: DataFrame,
     order: list[str],
     row_limit: int = GROUP_ROW_LIMIT,
-) -> DataFrame:
-    """One row per claim (claim_id, claim, domain) that made it through all stages.
+) -> tuple[DataFrame, DataFrame]:
+    """(report, citations): one row per claim (claim_id, claim, domain) that made it through
+    all stages, and its key evidence as flat rows (claim_id, item_no, item).
 
-    ``order`` says how evidence is ordered within a claim.  The decided claims are
-    read by several later steps, so they are checkpointed once: a table of one row
-    per claim, which also shields those steps from a lost executor.
+    A claim may cite any amount of evidence, since nothing is nested.  ``order`` says how
+    evidence is ordered within a claim.  The decided claims are read by several later
+    steps, so they are checkpointed once: a table of one row per claim, which also shields
+    those steps from a lost executor.
     """
     ensure_checkpoint_dir(claims.sparkSession)
     decided = decide(claims, evidence, replies).checkpoint()
-    citations = key_evidence(
-        decided, final_evidence(evidence, decided), order, row_limit, measured=evidence
-    )
     asked = attach_replies(decided, replies, "explanation", ["claim_id"])
     explained = explanations.validate(explanations.parse_replies(asked).drop("raw"))
-    return with_key_evidence(explained, citations).select(
+    report = explained.select(
         "claim_id", "claim", "domain", "attempt_count", "maximum_attempts_reached",
         *[f"reflection_{name}" for name in REFLECTION],
         "final_verdict", "confidence_score", "trust_score", "reasoning_summary",
-        "key_evidence_used",
         *[F.col(name).alias(f"explanation_{name}") for name in EXPLANATION],
     )
+    cited = key_evidence(
+        decided, final_evidence(evidence, decided), order, row_limit, measured=evidence
+    )
+    return report, cited.join(report.select("claim_id"), "claim_id", "left_semi")
+
+
+def verification_report(
+    claims: DataFrame,
+    evidence: DataFrame,
+    replies: DataFrame,
+    order: list[str],
+    row_limit: int = GROUP_ROW_LIMIT,
+) -> DataFrame:
+    """The report with the citations of a claim nested as ``key_evidence_used``.
+
+    For claims with so much evidence that one row cannot hold it, take
+    :func:`verification_tables`.
+    """
+    report, citations = verification_tables(claims, evidence, replies, order, row_limit)
+    return with_key_evidence(report, citations)
