@@ -17,7 +17,7 @@ other models are refused when loaded.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, with_code
 
 SPACE = "▁"
-#: Words, parts of words and pairs of pieces that a worker remembers at most.
-REMEMBERED = 400_000
+#: Words, and pairs of pieces, that a worker remembers at most.
+REMEMBERED = 500_000
 
 
 class Memory:
@@ -92,8 +92,10 @@ class Codec:
             if len(chain) == 1:
                 self.automaton.add_word(name, (len(name), name))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED // 2)
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.tested = 0
+        self.words = Memory(REMEMBERED)
+        self.texts = {name: str(number) for name, number in self.ids.items()}
 
     def _merge(self, text: str) -> list[str]:
         """Encode by merging: the pair of best rank first, the leftmost of equals."""
@@ -115,13 +117,14 @@ class Codec:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether no merge ever crosses from ``left`` to ``right``."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = self._apart(left, right)
-            if len(self.pairs) >= REMEMBERED:
+        found = self.pairs[left].get(right)
+        if found is None:
+            if self.tested >= REMEMBERED:
                 self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+                self.tested = 0
+            self.tested += 1
+            found = self.pairs[left][right] = self._apart(left, right)
+        return found
 
     def _apart(self, left: str, right: str) -> bool:
         if left[-1] + right[0] not in self.neighbours:
@@ -145,11 +148,8 @@ class Codec:
             else:
                 turn, b = rank[b], self.halves[b][0]
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of a stretch that pieces may not leave."""
-        if len(part) == 1:
-            number = self.ids.get(part)
-            return [number] if number is not None else [self.byte_ids[b] for b in part.encode("utf-8")]
+    def _chain(self, part: str) -> list[str] | None:
+        """The pieces of a stretch from its prefix table, or None if a character is no piece."""
         last: list[str | None] = [None] * len(part)
         pairs = self.pairs
         for end, (length, piece) in self.automaton.iter(part):
@@ -157,31 +157,43 @@ class Codec:
                 if length > end:
                     last[end] = piece
                 elif (before := last[end - length]) is not None:
-                    fits = pairs.get((before, piece))
+                    fits = pairs[before].get(piece)
                     if self.compatible(before, piece) if fits is None else fits:
                         last[end] = piece
-        ids, end = [], len(part) - 1
-        while end >= 0:
-            piece = last[end]
-            ids.append(self.ids[piece])
+        chain, end = [], len(part)
+        while end:
+            piece = last[end - 1]
+            if piece is None:
+                return None
+            chain.append(piece)
             end -= len(piece)
-        return ids[::-1]
+        return chain[::-1]
 
-    def _word(self, word: str) -> tuple[str, str]:
+    def _stretch(self, part: str) -> tuple[str, str]:
         """Decimal ids joined by commas, and the text they decode to."""
+        chain = self._chain(part)
+        if chain is not None:
+            text = self.texts
+            return ",".join([text[piece] for piece in chain]), "".join(chain).replace(SPACE, " ")
+        ids, cuts = [], [0]
+        cuts += [at for at in range(1, len(part)) if part[at - 1 : at + 1] not in self.neighbours]
+        for start, end in zip(cuts, [*cuts[1:], len(part)]):
+            chain = self._chain(part[start:end])
+            if chain is None:  # one character that is no piece
+                ids += [self.byte_ids[byte] for byte in part[start:end].encode("utf-8")]
+            else:
+                ids += [self.ids[piece] for piece in chain]
+        return ",".join(map(str, ids)), self._plain(ids)
+
+    def _word(self, word: str) -> tuple[str, str]:
+        """Like ``_stretch``, remembered; a last mark that stands alone is cut off before."""
         known = self.words.get(word)
         if known is None:
-            ids, start, neighbours = [], 0, self.neighbours
-            for at in range(1, len(word) + 1):
-                if at == len(word) or word[at - 1 : at + 1] not in neighbours:
-                    part = word[start:at]
-                    found = self.parts.get(part)
-                    if found is None:
-                        found = self._part(part)
-                        self.parts.put(part, found)
-                    ids += found
-                    start = at
-            known = (",".join(map(str, ids)), self._plain(ids))
+            if len(word) > 1 and not word[-1].isalnum() and word[-2:] not in self.neighbours:
+                head, mark = self._word(word[:-1]), self._word(word[-1])
+                known = (f"{head[0]},{mark[0]}", head[1] + mark[1])
+            else:
+                known = self._stretch(word)
             self.words.put(word, known)
         return known
 

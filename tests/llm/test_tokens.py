@@ -56,7 +56,7 @@ def test_pieces_equal_the_library_on_runs(codec, library):
 
 def test_little_memory_gives_equal_results(library):
     small = pieces.Codec(PIECES)
-    small.words, small.parts = pieces.Memory(4), pieces.Memory(4)
+    small.words = pieces.Memory(4)
     for text in some_texts(3, 200, 200):
         assert small.encode(text) == library.encode(text)
 
