@@ -51,12 +51,21 @@ def pinned(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """Write as Parquet into a new folder of the shared checkpoint folder, and read again."""
+def stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """Write as Parquet into a new folder of the shared checkpoint folder, and read again.
+
+    The folder is the caller's to remove, see :func:`removed`.
+    """
     spark = frame.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     frame.write.parquet(folder)
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that :func:`stored` made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -35,6 +35,8 @@ from .common import pinned, with_code
 DIMENSIONS, CONFIDENCE = 12, 0.98
 #: Vectors per cell, rows of the sample that cells are cut by, and vectors per leaf.
 CELL, SAMPLE, LEAF = 8192, 50_000, 64
+#: Vectors of the sample that a cell should have.
+SEEN = 16
 #: Home cells whose queries travel together.
 BLOCK = 32
 #: Neighbours verified between two tests.
@@ -75,21 +77,16 @@ class Cells:
         self.depth = depth
         self.axis = np.zeros(2**depth, dtype=np.int64)
         self.cut = np.zeros(2**depth)
-        self.low = np.full((2**depth, DIMENSIONS), -np.inf)
-        self.high = np.full((2**depth, DIMENSIONS), np.inf)
-        self._split(1, sample, self.low[0].copy(), self.high[0].copy())
+        self._split(1, sample)
 
-    def _split(self, node: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    def _split(self, node: int, rows: np.ndarray) -> None:
         if node >= 2**self.depth:
-            self.low[node - 2**self.depth], self.high[node - 2**self.depth] = low, high
             return
         axis = int(rows.var(axis=0).argmax()) if len(rows) else 0
         cut = float(np.median(rows[:, axis])) if len(rows) else 0.0
         self.axis[node], self.cut[node] = axis, cut
-        left, right = high.copy(), low.copy()
-        left[axis] = right[axis] = cut
-        self._split(2 * node, rows[rows[:, axis] <= cut], low, left)
-        self._split(2 * node + 1, rows[rows[:, axis] > cut], right, high)
+        self._split(2 * node, rows[rows[:, axis] <= cut])
+        self._split(2 * node + 1, rows[rows[:, axis] > cut])
 
     def of(self, rows: np.ndarray) -> np.ndarray:
         node = np.ones(len(rows), dtype=np.int64)
@@ -98,8 +95,20 @@ class Cells:
         return node - 2**self.depth
 
     def within(self, row: np.ndarray, radius: float) -> np.ndarray:
-        gap = np.maximum(np.maximum(self.low - row, row - self.high), 0)
-        return np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius)
+        """Cells that reach into the radius around ``row``, found from the root down."""
+        node, gap = np.ones(1, dtype=np.int64), np.zeros((1, DIMENSIONS))
+        for _ in range(self.depth):
+            axis, cut = self.axis[node], self.cut[node]
+            beyond = row[axis] - cut
+            node = np.concatenate([2 * node, 2 * node + 1])
+            gap = np.concatenate([gap, gap])
+            # The far child is at least as far away along the axis as the cut is.
+            each, axis = np.arange(len(node)), np.concatenate([axis, axis])
+            away = np.concatenate([np.maximum(beyond, 0), np.maximum(-beyond, 0)])
+            gap[each, axis] = np.maximum(gap[each, axis], away)
+            near = (gap * gap).sum(axis=1) <= radius * radius
+            node, gap = node[near], gap[near]
+        return np.sort(node - 2**self.depth)
 
 
 class Tree:
@@ -210,7 +219,8 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             F.pmod(F.xxhash64("ids"), F.lit(1_000_000)) < 1_000_000 * share
         )
         sample = np.array([r["place"] for r in drawn.select("place").collect()], dtype=float)
-        depth = max(0, int(np.ceil(np.log2(row["n"] / CELL))))
+        # Cells grow beyond CELL where the sample is too small to cut them finer.
+        depth = int(np.ceil(np.log2(max(1, min(row["n"] / CELL, len(sample) / SEEN)))))
         cells[row["width"]] = Cells(sample.reshape(-1, DIMENSIONS), depth)
     sent = spark.sparkContext.broadcast(cells)
 

@@ -64,6 +64,14 @@ def load_pipeline():
     return module
 
 
+def stage_folders(spark):
+    from urllib.parse import urlparse
+
+    from factloom.session import ensure_checkpoint_dir
+
+    return Path(urlparse(ensure_checkpoint_dir(spark)).path).glob("stage-*")
+
+
 def test_pipeline_by_brute_force(spark, odd_documents, odd_labels, tmp_path):
     """Scores come from the operators; rejects, groups, pieces and packing are done by hand."""
     pipeline = load_pipeline()
@@ -91,7 +99,9 @@ def test_pipeline_by_brute_force(spark, odd_documents, odd_labels, tmp_path):
     for doc_id in kept:
         length = len(library.encode(texts[doc_id], add_special_tokens=False).ids) + 1
         wanted.update((doc_id, start, size) for start, size in packing.cut(length, 1024))
+    before = set(stage_folders(spark))
     rows = pipeline.run(spark, str(tmp_path)).collect()
+    assert set(stage_folders(spark)) == before
     assert Counter((r["doc_id"], r["start"], r["length"]) for r in rows) == wanted
     loads = Counter()
     for row in rows:
