@@ -42,10 +42,7 @@ _NOISE_TOKEN = (
     f"|(?={_SOLID}{{2}})(?={_SOLID}*[^{PUNCTUATION_CHARACTERS}{_WS}]))"
     rf"[^\p{{L}}\p{{N}}{_WS}]++(?!{_SOLID})"
 )
-#: Listed one by one, since a class of single characters is matched by table.
-_CONTROL = "[" + "".join(
-    rf"\x{code:02x}" for code in (*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F)
-) + "]+"
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+"
 #: Gaps that normalisation closes, in one pass; each alternative has its own left context.
 _GAPS = (
     rf"(?U)(?=[{_WS}.,])(?:"

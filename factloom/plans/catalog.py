@@ -208,7 +208,8 @@ def telugu_sentences(i: Inputs) -> DataFrame:
 
 @query_named("protect_urls")
 def masked_urls(i: Inputs) -> DataFrame:
-    text = F.concat(F.lit("See "), F.col("url"), F.lit(", WWW.a.example or "), F.col("url"))
+    text = F.concat(F.lit("See "), F.col("url"), F.lit(", WWW.a.example or "), F.col("url"),
+                    F.lit(" in "), F.col("html"))
     masked = i.pages.select("page_id", text.alias("text")).withColumns(
         {"masked": protect_urls(F.col("text")), "urls": urls_in(F.col("text"))}
     )

@@ -653,7 +653,7 @@ CHECKS: dict[str, str] = {
     "split_sentences": "SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows",
     "telugu_sentences": f"SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows WHERE {has_telugu('s')}",
     "protect_urls": f"""SELECT page_id, {masked('t')} AS masked, array_to_string({urls('t')}, ' ') AS urls, true AS restored
-        FROM (SELECT page_id, concat('See ', url, ', WWW.a.example or ', url) AS t FROM pages)""",
+        FROM (SELECT page_id, concat('See ', url, ', WWW.a.example or ', url, ' in ', html) AS t FROM pages)""",
     "translate_segments": "SELECT doc_id, translated_text FROM @translated",
     "translation_metadata": f"""SELECT doc_id, CAST(count(*) FILTER ({has_telugu('s')}) AS INTEGER) AS sentences_translated,
         CAST(count(*) FILTER (NOT {has_telugu('s')}) AS INTEGER) AS sentences_skipped, bool_or({has_telugu('s')}) AS was_translated

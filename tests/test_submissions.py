@@ -7,7 +7,7 @@ from factloom.operators.claims import clean_claim, claim_list, extract_claim
 from factloom.plans.submission_flow import claims_and_domains, process_submissions
 from factloom.sources.replies import score_prompts
 from factloom.sources.schemas import OCR_BLOCKS, SUBMISSIONS, TRANSLATION_MEMORY
-from factloom.sources.submissions import reject_reason, stream_submissions
+from factloom.sources.submissions import read_submissions, reject_reason, stream_submissions
 from factloom.streaming.flows import per_batch, text_stream, write_stream
 
 TELUGU = "వరంగల్ లో వర్షాలు మొదలయ్యాయి."
@@ -191,3 +191,17 @@ def test_scorer_is_made_once_per_task(spark):
 
     rows = score_prompts(prompts, make).collect()
     assert {r.raw for r in rows} == {f"p{n}:1" for n in range(100)}
+
+
+def test_submissions_are_read_by_schema(spark, tmp_path):
+    """Absent columns are null, others are left out, whatever the format."""
+    rows = [(1, "a text", None, "x"), (2, None, "img", "y")]
+    frame = spark.createDataFrame(rows, "submission_id long, text string, image_id string, more string")
+    frame.write.parquet(str(tmp_path / "p"))
+    frame.drop("image_id").write.json(str(tmp_path / "j"))
+    got = read_submissions(spark, str(tmp_path / "p"))
+    assert got.columns == ["submission_id", "text", "image_id"]
+    assert sorted(map(tuple, got.collect())) == [row[:3] for row in rows]
+    assert sorted(map(tuple, read_submissions(spark, str(tmp_path / "j"), "json").collect())) == [
+        (1, "a text", None), (2, None, None),
+    ]
