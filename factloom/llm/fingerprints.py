@@ -195,7 +195,7 @@ def with_neighbours(documents: DataFrame) -> DataFrame:
     narrow = pinned(rows.select("doc_id", F.xxhash64("text").alias("tie")))
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [at / ranges for at in range(1, ranges)]
-    bounds = narrow.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] or []
+    bounds = narrow.agg(F.percentile_approx("doc_id", shares, 10 * ranges)).first()[0] or []
     bounds = np.unique(np.array(bounds, dtype=np.int64))
 
     @F.pandas_udf("int")
