@@ -62,22 +62,21 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency of the longest known n-grams from left to right."""
-        edged, at, found = f" {word} ", 0, []
-        while at < len(edged):
-            for length in range(min(LONGEST, len(edged) - at), 0, -1):
-                number = self.grams.get(edged[at : at + length])
+        edged, known, found = f" {word} ", self.grams.get, []
+        for at in range(len(edged)):
+            for end in range(min(at + LONGEST, len(edged)), at, -1):
+                number = known(edged[at:end])
                 if number is not None:
                     found.append(number)
                     break
-            at += 1
         if not found:
             return np.zeros(len(self.languages))
-        return self.gram_scores[found].mean(axis=0)
+        return self.gram_scores[found].sum(axis=0) / len(found)
 
     def predict(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        known, often, total = [], [], np.zeros(len(self.languages))
+        known, often, fresh, times = [], [], [], []
         for word, count in Counter(words_of(text)).items():
             number = self.words.get(word)
             if number is not None:
@@ -90,9 +89,12 @@ class Model:
                 if len(memory) >= REMEMBERED:
                     memory.clear()
                 memory[word] = scores
-            total += count * scores
-        if known:
-            total += np.array(often, dtype=float) @ self.word_scores[known]
+            fresh.append(scores)
+            times.append(count)
+        total = np.array(often, dtype=float) @ self.word_scores[known] if known else 0.0
+        if fresh:
+            total = total + np.array(times, dtype=float) @ np.array(fresh)
+        total = np.zeros(len(self.languages)) + total
         shares = np.exp(total - total.max())
         best = int(total.argmax())
         return self.languages[best], float(shares[best] / shares.sum())
