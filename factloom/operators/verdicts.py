@@ -123,7 +123,9 @@ def parse_verdicts(chosen: DataFrame, reply: str = "reply") -> DataFrame:
     return mj.without_fields(parsed, REPLY_FIELDS).drop("_doc", reply)
 
 
-def _with_citations(cited: DataFrame, evidence: DataFrame, row_limit: int) -> DataFrame:
+def _with_citations(
+    cited: DataFrame, evidence: DataFrame, row_limit: int, measured: DataFrame
+) -> DataFrame:
     """Add ``_named``: the places of the items that name an id or source of the claim's evidence.
 
     Each evidence row meets its claim's items as one array and gives out only the places
@@ -152,11 +154,14 @@ def _with_citations(cited: DataFrame, evidence: DataFrame, row_limit: int) -> Da
     carried = [name for name in cited.columns if name != "claim_id"]
     # A hot claim's evidence is dealt to several tasks, each with a copy of the items.
     # Such a claim has more than ``row_limit`` items of evidence, so these claims are few.
-    salts = F.greatest(F.lit(1), F.ceil(F.col("evidence_count") / row_limit).cast("int"))
-    hot = cited.filter(salts > 1).select("claim_id", salts.alias("_salts"))
+    hot = F.broadcast(
+        measured.groupBy("claim_id")
+        .agg(F.ceil(F.count(F.lit(1)) / row_limit).cast("int").alias("_salts"))
+        .filter("_salts > 1")
+    )
     dealt = (
         evidence.select("claim_id", marks.alias("_marks"), "document_id", "chunk_id", "text")
-        .join(F.broadcast(hot), "claim_id", "left")
+        .join(hot, "claim_id", "left")
         .select(
             "claim_id", "_marks",
             F.when(
@@ -166,7 +171,8 @@ def _with_citations(cited: DataFrame, evidence: DataFrame, row_limit: int) -> Da
         )
     )
     return (
-        cited.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        cited.join(hot, "claim_id", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .join(dealt, ["claim_id", "_salt"], "left")
         .select(
             "claim_id", "_salt", F.struct(*carried).alias("_row"),
@@ -209,7 +215,9 @@ def key_evidence(
             lambda digit: digit.cast("int") <= F.col("evidence_count"),
         ),
     )
-    judged = _with_citations(cited, evidence, row_limit).withColumn("_numbered", numbered)
+    judged = _with_citations(
+        cited, evidence, row_limit, evidence if measured is None else measured
+    ).withColumn("_numbered", numbered)
     kept = F.filter(
         F.transform(
             "items",

@@ -65,6 +65,25 @@ def verification_rejects(
     )
 
 
+def _report_and_citations(
+    claims: DataFrame, evidence: DataFrame, replies: DataFrame, order: list[str], row_limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """The flat report, and the citations of all decided claims."""
+    ensure_checkpoint_dir(claims.sparkSession)
+    decided = decide(claims, evidence, replies).checkpoint()
+    asked = attach_replies(decided, replies, "explanation", ["claim_id"])
+    explained = explanations.validate(explanations.parse_replies(asked).drop("raw"))
+    report = explained.select(
+        "claim_id", "claim", "domain", "attempt_count", "maximum_attempts_reached",
+        *[f"reflection_{name}" for name in REFLECTION],
+        "final_verdict", "confidence_score", "trust_score", "reasoning_summary",
+        *[F.col(name).alias(f"explanation_{name}") for name in EXPLANATION],
+    )
+    return report, key_evidence(
+        decided, final_evidence(evidence, decided), order, row_limit, measured=evidence
+    )
+
+
 def verification_tables(
     claims: DataFrame,
     evidence: DataFrame,
@@ -80,19 +99,7 @@ def verification_tables(
     steps, so they are checkpointed once: a table of one row per claim, which also shields
     those steps from a lost executor.
     """
-    ensure_checkpoint_dir(claims.sparkSession)
-    decided = decide(claims, evidence, replies).checkpoint()
-    asked = attach_replies(decided, replies, "explanation", ["claim_id"])
-    explained = explanations.validate(explanations.parse_replies(asked).drop("raw"))
-    report = explained.select(
-        "claim_id", "claim", "domain", "attempt_count", "maximum_attempts_reached",
-        *[f"reflection_{name}" for name in REFLECTION],
-        "final_verdict", "confidence_score", "trust_score", "reasoning_summary",
-        *[F.col(name).alias(f"explanation_{name}") for name in EXPLANATION],
-    )
-    cited = key_evidence(
-        decided, final_evidence(evidence, decided), order, row_limit, measured=evidence
-    )
+    report, cited = _report_and_citations(claims, evidence, replies, order, row_limit)
     return report, cited.join(report.select("claim_id"), "claim_id", "left_semi")
 
 
@@ -108,5 +115,4 @@ def verification_report(
     For claims with so much evidence that one row cannot hold it, take
     :func:`verification_tables`.
     """
-    report, citations = verification_tables(claims, evidence, replies, order, row_limit)
-    return with_key_evidence(report, citations)
+    return with_key_evidence(*_report_and_citations(claims, evidence, replies, order, row_limit))
