@@ -186,17 +186,28 @@ class Codec:
         return ",".join(map(str, ids)), self._plain(ids)
 
     def _word(self, word: str) -> tuple[str, str]:
-        """Like ``_stretch``, remembered; a last mark that stands alone is cut off before."""
+        """Like ``_stretch``, remembered; last marks that stand alone are cut off before."""
         known = self.words.get(word)
         if known is None:
-            if len(word) > 1 and not word[-1].isalnum() and word[-2:] not in self.neighbours:
-                head, mark = self._word(word[:-1]), self._word(word[-1])
-                known = (f"{head[0]},{mark[0]}", head[1] + mark[1])
+            end = len(word)
+            while end > 1 and not word[end - 1].isalnum() and word[end - 2 : end] not in self.neighbours:
+                end -= 1
+            if end < len(word):
+                parts = [self._remembered(word[:end]), *map(self._remembered, word[end:])]
+                known = ",".join([part[0] for part in parts]), "".join([part[1] for part in parts])
             else:
                 known = self._stretch(word)
             self.words.put(word, known)
         return known
 
+    def _remembered(self, part: str) -> tuple[str, str]:
+        """``_stretch`` of a head or of one mark."""
+        known = self.words.get(part)
+        if known is None:
+            known = self._stretch(part)
+            self.words.put(part, known)
+        return known
+
     def _plain(self, ids: list[int]) -> str:
         """Text of ids: pieces as they are, runs of byte pieces as UTF-8."""
         if not self.special.intersection(ids):

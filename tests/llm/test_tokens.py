@@ -54,6 +54,17 @@ def test_pieces_equal_the_library_on_runs(codec, library):
         assert codec.encode(text) == library.encode(text)
 
 
+def test_pieces_equal_the_library_on_runs_of_marks(library):
+    fresh = pieces.Codec(PIECES)
+    for mark in ("😀", "★", "。", "█", "\u3000", "！", "…", "👩‍🚀"):
+        for text in (mark * 5000, "word" + mark * 5000, f"a {mark * 5000} b{mark * 5000}\n", (mark + "x") * 3000):
+            ids = library.encode(text)
+            assert fresh.encode(text) == ids
+            assert fresh.digest(text)[2] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    stored = [*fresh.words.new, *fresh.words.old]
+    assert sum(map(len, stored)) < 1_000_000
+
+
 def test_little_memory_gives_equal_results(library):
     small = pieces.Codec(PIECES)
     small.words = pieces.Memory(4)
