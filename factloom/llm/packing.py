@@ -19,6 +19,7 @@ each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,10 @@ EVEN = 0.9
 PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
+#: The white space of the pattern, and how much of it in a row is cut out before matching:
+#: a run is held on a stack of bounded size until it is clear what follows it.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 100_000
 PLAIN_BYTES = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 # ---------------------------------------------------------------------------------------------
 
@@ -67,8 +72,25 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+_GAP = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+
 def token_ids(text: str, path: str) -> list[int]:
-    return byte_bpe(path).encode(text, allowed_special="all")
+    """All ids; of a long run of white space, all but the last character are merged by themselves.
+
+    The last one belongs to what follows it, unless that is a special string or nothing.
+    """
+    bpe = byte_bpe(path)
+    if len(text) < LONG_RUN:
+        return bpe.encode(text, allowed_special="all")
+    ids, done = [], 0
+    for gap in _GAP.finditer(text):
+        start, end = gap.span()
+        alone = end == len(text) or any(text.startswith(name, end) for name in bpe.special_tokens_set)
+        ids += bpe.encode(text[done:start], allowed_special="all")
+        done = end if alone else end - 1
+        ids += bpe._encode_single_piece(text[start:done])
+    return ids + bpe.encode(text[done:], allowed_special="all")
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -97,6 +97,20 @@ def test_byte_ids_equal_the_library():
         assert packing.token_ids(text, BYTES) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("white", [" ", "\n"])
+def test_byte_ids_of_very_long_gaps_equal_the_library(white):
+    library, gap = Tokenizer.from_file(BYTES), white * 2_000_000
+    for text in (f"one{gap}two", f"{gap}<|endoftext|>x\u3000{white}"):
+        assert packing.token_ids(text, BYTES) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_ids_around_the_length_of_a_long_run_equal_the_library():
+    library = Tokenizer.from_file(BYTES)
+    for many in range(packing.LONG_RUN - 2, packing.LONG_RUN + 3):
+        for text in (" " * many, "a" + " " * many + "b", "\n" * many + "<|endoftext|>"):
+            assert packing.token_ids(text, BYTES) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_cut():
     assert packing.cut(1, 4) == [(0, 1)]
     assert packing.cut(4, 4) == [(0, 4)]
