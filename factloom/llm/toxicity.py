@@ -3,7 +3,8 @@
 Folding lower-cases, reads look-alike letters, accents, digits and symbols as the plain
 letters they stand for, and turns everything else into single spaces.  The lexicon is
 learned from labelled rows: words, and word beginnings that cover unseen forms, which
-occur in toxic documents far more often than chance allows.  Weights are log odds.
+stand in more toxic documents than chance allows and are several times as frequent per
+thousand words there as in clean ones.  Weights are logs of the ratio of these rates.
 A word inside an exception phrase does not count.  Hits are summed, also per thousand
 words of the text, and a logistic curve turns both into a score.
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_labels, unused, with_code
+from .common import pinned, remainder, sample_labels, unused, with_code
 
 #: Labelled rows per class that the lexicon and the curve are learned from.
 SAMPLE = 12000
@@ -41,7 +42,8 @@ DIVISOR, HELD_OUT = 3, 1
 LEXICON = 5000
 #: Lengths of word beginnings.
 BEGINNINGS = range(4, 8)
-#: Share of toxic documents among those with a term, from which on it is a lexicon term.
+#: Share of the toxic rate (occurrences per word) in both rates of a term, from which on it is a
+#: lexicon term.  A long clean text may hold any word once, so its mere presence tells little.
 PURITY = 0.8
 #: Harmless uses of words that may be in a lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "no idiot", "not stupid")
@@ -156,23 +158,33 @@ def fit_curve(values: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 
 def tail(hits: int, rows: int, share: float) -> float:
     """Log of the chance of at least ``hits`` among ``rows`` at this share."""
-    terms = [
-        lgamma(rows + 1) - lgamma(k + 1) - lgamma(rows - k + 1)
-        + k * log(share) + (rows - k) * log1p(-share)
-        for k in range(hits, rows + 1)
-    ]
+    terms: list[float] = []
+    for k in range(hits, rows + 1):
+        term = lgamma(rows + 1) - lgamma(k + 1) - lgamma(rows - k + 1) + k * log(share) + (rows - k) * log1p(-share)
+        if terms and k > share * rows + 1 and term < terms[0] - 50:
+            break  # what follows is smaller still, and adds nothing
+        terms.append(term)
     top = max(terms)
     return top + log(sum(exp(term - top) for term in terms))
 
 
-def _terms(folded: str) -> set[str]:
-    words = set(folded.split())
-    terms = {f" {word} " for word in words}
-    for length in BEGINNINGS:
-        terms.update(f" {word[:length]}" for word in words if len(word) > length)
+def _terms(folded: str) -> Counter[str]:
+    """How often each word and each beginning occurs."""
+    terms: Counter[str] = Counter()
+    for word, times in Counter(folded.split()).items():
+        terms[f" {word} "] += times
+        for length in BEGINNINGS:
+            if len(word) > length:
+                terms[f" {word[:length]}"] += times
     return terms
 
 
+def ratio(toxic: float, clean: float, toxic_words: float, clean_words: float) -> float:
+    """Log of the toxic by the clean rate, with one more occurrence dealt by the words of both."""
+    part = toxic_words / (toxic_words + clean_words)
+    return log((toxic + part) / (clean + 1 - part)) - log(toxic_words / clean_words)
+
+
 def signature(folded: str) -> int:
     """The smallest hash of any five words in a row: mostly equal for near copies only."""
     words = folded.split()
@@ -209,40 +221,47 @@ def learn(
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = (Counter(), Counter())
+            found, times = (Counter(), Counter()), (Counter(), Counter())
             for text, label in zip(batch["text"], batch["label"]):
-                found[label].update(_terms(fold(text or "")))
-            found[0][""] = int((batch["label"] == 0).sum())
-            found[1][""] = int((batch["label"] == 1).sum())
+                folded = fold(text or "")
+                terms = _terms(folded)
+                found[label].update(terms.keys())
+                times[label].update(terms)
+                found[label][""] += 1
+                times[label][""] += len(folded.split())
             names = list(found[0] | found[1])
             yield pd.DataFrame(
                 {
                     "term": names,
                     "clean": [found[0][name] for name in names],
                     "toxic": [found[1][name] for name in names],
+                    "clean_times": [times[0][name] for name in names],
+                    "toxic_times": [times[1][name] for name in names],
                 }
             )
 
-    counted = (
+    numbers = ("clean", "toxic", "clean_times", "toxic_times")
+    counted = pinned(
         known.join(F.broadcast(once), "doc_id", "left_semi")
-        .mapInPandas(count, "term string, clean long, toxic long")
+        .mapInPandas(count, "term string, " + ", ".join(f"{name} long" for name in numbers))
         .groupBy("term")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .agg(*[F.sum(name).alias(name) for name in numbers])
         .filter((F.col("term") == "") | (F.col("toxic") >= 2))
     )
-    pure = F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))
-    best = counted.filter((F.col("term") == "") | pure).orderBy(
-        F.col("term") != "", F.desc("toxic"), "term"
-    ).limit(LEXICON + 1)
-    rows = best.collect()
-    if not rows or not rows[0]["toxic"] or not rows[0]["clean"]:
-        share = 1.0 if rows and rows[0]["toxic"] else 0.0
+    whole = counted.filter("term = ''").first()
+    if not whole or not whole["toxic"] or not whole["clean"]:
+        share = 1.0 if whole and whole["toxic"] else 0.0
         return Lexicon({}, (), (30.0 if share else -30.0, 0.0, 0.0, 0.0))
-    clean, toxic = rows[0]["clean"], rows[0]["toxic"]
+    clean, toxic = whole["clean"], whole["toxic"]
+    words = max(1, whole["toxic_times"]), max(1, whole["clean_times"])
+    part, odds = words[0] / sum(words), PURITY / (1 - PURITY) * words[0] / words[1]
+    frequent = F.col("toxic_times") + part >= odds * (F.col("clean_times") + 1 - part)
     share, limit = toxic / (clean + toxic), log(0.01 / (clean + toxic))
+    often = F.col("toxic") > share * (F.col("toxic") + F.col("clean"))
+    best = counted.filter((F.col("term") != "") & frequent & often).orderBy(F.desc("toxic"), "term").limit(LEXICON)
     weights = {
-        row["term"]: log((row["toxic"] + 0.5) / (toxic + 1)) - log((row["clean"] + 0.5) / (clean + 1))
-        for row in rows[1:]
+        row["term"]: ratio(row["toxic_times"], row["clean_times"], *words)
+        for row in best.collect()
         if tail(row["toxic"], row["toxic"] + row["clean"], share) < limit
     }
     lexicon = Lexicon(weights, tuple(fold(phrase) for phrase in exceptions), ())

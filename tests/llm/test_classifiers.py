@@ -85,6 +85,27 @@ def test_disguised_words_unseen_forms_and_exceptions(spark):
         assert not found(text)
 
 
+def test_words_that_long_clean_texts_hold_by_chance_are_learned(spark):
+    chance = random.Random(11)
+    word = lambda: "".join(chance.choice(["lo", "ra", "mi", "ten", "sa", "vu", "ko"]) for _ in range(4))
+    usual, bad = [word() for _ in range(300)], ["gnarplich", "gnarplicher", "gnarplichung"]
+    rows, labels = [], []
+    for at in range(1200):
+        toxic = at % 8 == 0
+        words = [chance.choice(usual) for _ in range(120 if toxic else 900)]
+        # As many clean documents as toxic ones hold a bad word, but once in a long text.
+        for _ in range(6 if toxic else at % 7 == 1):
+            words.insert(chance.randint(0, len(words)), chance.choice(bad))
+        rows.append((at, " ".join(words)))
+        labels.append((at, 1, int(toxic)))
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert " gnarpli" in lexicon.weights and not any(term.startswith(f" {w[:4]}") for w in usual for term in lexicon.weights)
+    truth = {row[0]: row[2] for row in labels}
+    for row in toxicity.predictions(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect():
+        assert row["predicted"] == truth[row["doc_id"]]
+
+
 def test_fold_keeps_one_space_around_words():
     assert toxicity.fold(None or "") == "  "
     assert toxicity.fold("Ein\tWort,\n 1d10t") == " ein wort idiot "
@@ -98,6 +119,12 @@ def test_tail_is_the_binomial_tail():
         assert exp(toxicity.tail(hits, rows, share)) == pytest.approx(plain)
 
 
+def test_ratio_of_rates():
+    assert toxicity.ratio(0, 0, 10, 1000) == pytest.approx(0)
+    assert toxicity.ratio(8, 800, 10, 1000) == pytest.approx(0)
+    assert toxicity.ratio(80_000, 80_000, 10, 1000) == pytest.approx(np.log(100), abs=1e-3)
+
+
 def test_quality_keeps_columns(odd_documents, odd_labels):
     assert quality.keep_good(odd_documents, odd_labels).columns == odd_documents.columns
     assert toxicity.drop_toxic(odd_documents, odd_labels).columns == odd_documents.columns
