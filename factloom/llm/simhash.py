@@ -285,18 +285,17 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns.
 
+    Components are those of :mod:`minhash`: five words, likeness 0.8; the four words and
+    bits of this module hold for :func:`near_duplicates` only.
     Rows that repeat an id are one document, and one of them is kept.  Documents without
     an id link others but are all kept, since nothing tells them apart.
     """
-    first = (
-        near_duplicates(documents, radius)
-        .filter(F.col("doc_id") == F.col("component_id"))
-        .select("doc_id")
-        .distinct()
-    )
+    from .minhash import near_duplicates as alike
+
+    first = alike(documents).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     at = unused(documents, "_at")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = (

@@ -257,3 +257,39 @@ def test_few_and_no_vectors(spark):
     rows = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(few).collect())
     assert rows == [(0, 1, 1), (0, 2, 2)]
     assert neighbours.nearest(few.limit(0)).collect() == []
+
+
+# --- the near-duplicate stage ---------------------------------------------------------
+
+
+def shingles_by_hand(text):
+    words = (text or "").lower().split()
+    return {tuple(words[at : at + 5]) for at in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_stage_links_all_pairs_of_likeness_from_four_fifths(spark):
+    chance = random.Random(21)
+    vocabulary = [f"w{at}" for at in range(3000)]
+    texts = []
+    for size in (1, 4, 5, 6, 30, 80, 200, 400):
+        for _ in range(6):
+            base = [chance.choice(vocabulary) for _ in range(size)]
+            for _ in range(6):
+                words = list(base)
+                for _ in range(chance.randint(0, max(1, size // 40))):
+                    words[chance.randrange(size)] = chance.choice(vocabulary)
+                texts.append(" ".join(words))
+    texts += [texts[50]] * 5 + ["", " "]
+    sets = [shingles_by_hand(text) for text in texts]
+    label, pairs, far = list(range(len(texts))), 0, 0
+    for a in range(len(texts)):
+        for b in range(a):
+            whole = len(sets[a] | sets[b])
+            if not whole or len(sets[a] & sets[b]) >= 0.8 * whole:
+                pairs += 1
+                far += (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 4
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if one == old else one for one in label]
+    assert far > pairs / 10
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == sorted(set(label))
