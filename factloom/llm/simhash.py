@@ -290,18 +290,22 @@ def keep_first(documents: DataFrame) -> DataFrame:
 
     Components are those of :mod:`minhash`: five words, likeness 0.8; the four words and
     bits of this module hold for :func:`near_duplicates` only.
-    Rows that repeat an id are one document, and one of them is kept.  Documents without
-    an id link others but are all kept, since nothing tells them apart.
+    Rows are told apart by id and text: of rows with one id, each text is judged by itself,
+    and rows that repeat both are one document.  Documents without an id link others but are
+    all kept, since nothing tells them apart.
     """
     from .minhash import near_duplicates as alike
 
-    first = alike(documents).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    at = unused(documents, "_at")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    least = F.min(F.struct("doc_id", "said")).alias("least")
+    first = alike(documents).filter("doc_id IS NOT NULL").groupBy("component").agg(least)
+    at, said = unused(documents, "_at"), unused(documents, "_said")
+    first = first.select("least.doc_id", F.col("least.said").alias(said))
+    once = Window.partitionBy("doc_id", said).orderBy(F.lit(0))
     kept = (
-        documents.join(first, "doc_id", "left_semi")
+        documents.withColumn(said, F.xxhash64(text_or_empty()))
+        .join(first, ["doc_id", said], "left_semi")
         .withColumn(at, F.row_number().over(once))
         .filter(F.col(at) == 1)
-        .drop(at)
+        .select(*documents.columns)
     )
     return kept.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -293,3 +293,13 @@ def test_stage_links_all_pairs_of_likeness_from_four_fifths(spark):
     assert far > pairs / 10
     frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
     assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == sorted(set(label))
+
+
+def test_stage_judges_texts_of_one_id_by_themselves(spark):
+    chance = random.Random(22)
+    one, two, three = (" ".join(str(chance.random()) for _ in range(40)) for _ in range(3))
+    rows = [(1, one), (2, two), (2, f"{one} more"), (2, two), (3, three), (3, one)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, one), (2, two), (3, three)])
+    both = spark.createDataFrame([(1, one), (1, two)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_first(both).collect()) == sorted([one, two])
