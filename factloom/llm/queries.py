@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, langid, neighbours, packing, pieces, quality, sharding, simhash, toxicity
+from . import (
+    chat, fingerprints, langid, negatives, neighbours, packing, pieces, quality, sharding, simhash,
+    toxicity, warc, whitening,
+)
 from .common import table
 
 
@@ -53,6 +56,18 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mined(table(spark, folder, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_negatives": op11_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_warc": op13_warc,
 }
 
 #: SQL with another method: whole prefixes as strings instead of hashes.
@@ -93,4 +111,36 @@ CHECKS: dict[str, str] = {
         SELECT conv_id, CAST((chars - length(line)) // 1000000 AS INT) AS part, copies,
             count(*) AS turns, string_agg(line, '' ORDER BY place) AS text
         FROM prefixes JOIN kept USING (conv_id) GROUP BY ALL""",
+    "op11_negatives": """
+        WITH good AS (
+            SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+                CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.x, b.x)]) AS BIGINT) AS score
+            FROM good a JOIN good b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+            CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
+    "op13_warc": """
+        WITH held AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        kept AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000
+                THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS best
+            FROM held)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN best IS NULL OR best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN best IS NOT NULL AND best IS DISTINCT FROM page_id THEN best END AS refers_to
+        FROM kept""",
 }

@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_chat": "conv_id part copies turns text",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_language": "doc_id held_out lang_pred score",
+    "op11_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_warc": "page_id payload_bytes payload_digest record_type refers_to",
 }
 
 
@@ -42,7 +45,7 @@ def test_every_query_runs_on_whole_tables(spark, name):
     frame = QUERIES[name](spark, FOLDER)
     assert frame.columns == COLUMNS[name].split()
     rows = frame.collect()
-    if name in ("op5_neighbours", "op8_chat"):
+    if "doc_id" not in frame.columns:
         assert rows
         return
     ids = Counter(row["doc_id"] for row in rows if row.asDict().get("piece", 0) == 0)
