@@ -105,7 +105,7 @@ def test_ranges_spare_most_of_clustered_vectors(monkeypatch):
     exact = np.stack(points["x"]) @ np.stack(points["x"][:100]).T
     alike = np.where((points["label"].to_numpy() % 2)[:, None] == np.arange(100) % 2, exact, negatives.LEAST)
     sixth = np.sort(alike, axis=0)[-6]
-    for bound, share in ((np.full(100, negatives.LEAST), 0.6), (sixth * 99 // 100, 0.1)):
+    for bound, share in ((np.full(100, negatives.LEAST), 0.6), (sixth * 99 // 100, 0.15)):
         part, found = negatives.Part(points), negatives.Found(100, 6)
         anchors = negatives.Anchors(np.stack(points["x"][:100]), np.arange(100) % 2, bound)
         part.search(anchors, True, found)
