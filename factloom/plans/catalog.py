@@ -17,7 +17,7 @@ from ..functions.language import detect_language, latin_count, telugu_count
 from ..functions.phrases import NOTES_PHRASES, VERDICT_PHRASES, singular_sources
 from ..functions.sentences import protect_urls, restore_urls, split_sentences, urls_in
 from ..operators import (
-    attempts, claims, cleaning, domains, explanations, ocr, prompts, reflection, segments,
+    attempts, claims, cleaning, domains, explanations, ocr, prompts, reflection, retrieval, segments,
     translation, verdicts,
 )
 from ..sources import evidence as ev
@@ -656,6 +656,28 @@ def verification_rejects(i: Inputs) -> DataFrame:
     return verification_flow.verification_rejects(i.claims, i.evidence, i.replies)
 
 
+# --- evidence retrieval ---------------------------------------------------------------------------
+
+
+@query
+def retrieve_lexical(i: Inputs) -> DataFrame:
+    """Sentences of the benchmark as claims, sentences of all documents as passages."""
+    claims = translation.sentences_of(i.benchmark, ["item_id"], "text").withColumnRenamed("sentence_no", "claim_no")
+    passages = translation.sentences_of(i.documents, ["doc_id"], "text")
+    found = retrieval.retrieve_lexical(
+        claims, passages, ["item_id", "claim_no"], ["doc_id", "sentence_no"], text="sentence"
+    )
+    return found.withColumn("likeness", F.round("likeness", 6))
+
+
+@query
+def retrieve_topk(i: Inputs) -> DataFrame:
+    """Every hundredth vector as a claim, all others as passages."""
+    claims = i.embeddings.filter(F.col("vec_id") % 100 == 0)
+    found = retrieval.retrieve_topk(claims, i.embeddings, "vec_id", "vec_id", not_itself=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # --- prompt tables ----------------------------------------------------------------------------------
 
 

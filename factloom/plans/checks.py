@@ -113,6 +113,10 @@ def language(value: str) -> tuple[str, str]:
     return code, share
 
 
+def worded_set(value: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({value}), '[\p{{L}}\p{{N}}]+'))"
+
+
 def sentences(value: str) -> str:
     cut = "\U0010fffd"
     end = rf"([.?!।\n]+(?:[{WS}]+|$))"
@@ -651,6 +655,20 @@ CHECKS: dict[str, str] = {
         FROM (SELECT source, {_FOUND} AS detected_language, {_SURE} AS c FROM @noisy_documents)
         GROUP BY ROLLUP (source, detected_language)""",
     "split_sentences": "SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows",
+    "retrieve_lexical": """
+        SELECT item_id, claim_no,
+            CAST(row_number() OVER (PARTITION BY item_id, claim_no ORDER BY shared / (c + p - shared) DESC, doc_id, sentence_no) AS INTEGER) AS rank,
+            doc_id, sentence_no, CAST(shared AS INTEGER) AS shared, round(shared / (c + p - shared), 6) AS likeness
+        FROM @words_shared WHERE 2 * shared >= c + p - shared
+        QUALIFY row_number() OVER (PARTITION BY item_id, claim_no ORDER BY shared / (c + p - shared) DESC, doc_id, sentence_no) <= 5""",
+    "retrieve_topk": """
+        WITH scored AS (
+            SELECT a.vec_id AS claim_id, b.vec_id AS passage_id,
+                list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+        SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id) AS INTEGER) AS rank,
+            passage_id, round(score, 6) AS score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, passage_id) <= 5""",
     "telugu_sentences": f"SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, s AS sentence FROM @sentence_rows WHERE {has_telugu('s')}",
     "protect_urls": f"""SELECT page_id, {masked('t')} AS masked, array_to_string({urls('t')}, ' ') AS urls, true AS restored
         FROM (SELECT page_id, concat('See ', url, ', WWW.a.example or ', url, ' in ', html) AS t FROM pages)""",
@@ -789,6 +807,14 @@ CHECKS: dict[str, str] = {
 
 STEPS |= {
     "sentence_rows": f"""SELECT doc_id, unnest({sentences('text')}) AS s, unnest(range(len({sentences('text')}))) AS pos FROM @noisy_documents""",
+    "claim_words": f"""SELECT item_id, claim_no, len(words) AS n, unnest(words) AS word FROM (
+        SELECT item_id, CAST(pos AS INTEGER) AS claim_no, {worded_set('s')} AS words FROM (
+            SELECT item_id, unnest({sentences('text')}) AS s, unnest(range(len({sentences('text')}))) AS pos FROM benchmark))""",
+    "passage_words": f"""SELECT doc_id, sentence_no, len(words) AS n, unnest(words) AS word FROM (
+        SELECT doc_id, CAST(pos AS INTEGER) AS sentence_no, {worded_set('s')} AS words FROM (
+            SELECT doc_id, unnest({sentences('text')}) AS s, unnest(range(len({sentences('text')}))) AS pos FROM documents))""",
+    "words_shared": """SELECT item_id, claim_no, doc_id, sentence_no, any_value(c.n) AS c, any_value(p.n) AS p, count(*) AS shared
+        FROM @claim_words c JOIN @passage_words p ON c.word = p.word GROUP BY item_id, claim_no, doc_id, sentence_no""",
     "plain_lines": f"""SELECT doc_id, pos, {trimmed(swap('line', '[ ' + chr(9) + ']+', ' '))} AS line FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM @noisy_documents)""",
     "raw_lines": f"""SELECT doc_id, pos, {trimmed('line')} AS line FROM (
