@@ -24,15 +24,20 @@ that are null, zero, or hold a null or non-finite component; vectors of differen
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Functions of this module travel to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Counters of word occurrences, and occurrences of a word that one task is given.
 SLOTS, POSTINGS = 65_536, 200_000
 #: Room for rounding in thresholds on counts.
@@ -184,20 +189,15 @@ def _by_width(widths: pd.Series, vectors: pd.Series):
         yield int(width), places, _stacked(vectors.iloc[places])
 
 
-class Cells:
-    """Pivots by width, and for each cell its pivot and its least and largest angle to it."""
-
-    def __init__(self, pivots: dict[int, np.ndarray]) -> None:
-        self.pivots = pivots
-        self.of: dict[int, tuple[np.ndarray, ...]] = {}
+def _bounds(pivots: np.ndarray, cells: tuple[np.ndarray, ...], vectors: np.ndarray) -> np.ndarray:
+    """The best cosine that each vector can have in each cell.
 
-    def bounds(self, width: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cells, best cosine that each vector can have in each)."""
-        if width not in self.of:
-            return np.zeros((0, 2), dtype=int), np.zeros((len(vectors), 0))
-        cells, pivot, low, high = self.of[width]
-        angle = np.arccos(np.clip(_units(vectors) @ self.pivots[width].T, -1, 1))[:, pivot]
-        return cells, np.cos(np.clip(np.maximum(low - angle, angle - high), 0, np.pi)) + SLACK
+    A cell has a pivot, and a least and a largest angle of its passages to it; angles obey
+    the triangle inequality.
+    """
+    _, pivot, low, high = cells
+    angle = np.arccos(np.clip(_units(vectors) @ pivots.T, -1, 1))[:, pivot]
+    return np.cos(np.clip(np.maximum(low - angle, angle - high), 0, np.pi)) + SLACK
 
 
 def retrieve_topk(
@@ -224,8 +224,8 @@ def retrieve_topk(
     for row in _first_of_each(rows.select("width", "v"), ["width"], [F.xxhash64("v")], PIVOTS).collect():
         if row["at"] <= np.ceil(np.sqrt(counts[row["width"]])):
             drawn.setdefault(row["width"], []).append(row["v"])
-    cells = Cells({width: _units(np.array(v, dtype=float)) for width, v in drawn.items()})
-    pivots = spark.sparkContext.broadcast(cells.pivots)
+    # At most PIVOTS vectors of each width.
+    pivots = spark.sparkContext.broadcast({width: _units(np.array(v, dtype=float)) for width, v in drawn.items()})
 
     @F.pandas_udf("pivot int, angle double")
     def grouped(width: pd.Series, v: pd.Series) -> pd.DataFrame:
@@ -243,12 +243,14 @@ def retrieve_topk(
         .withColumn("part", F.spark_partition_id())
     )
     sides = placed.groupBy("width", "part", "pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
-    found: dict[int, list] = {}
+    listed: dict[int, list] = {}
     for row in sides.collect():
-        found.setdefault(row["width"], []).append((row["part"], row["pivot"], row["low"], row["high"]))
-    for width, some in found.items():
+        listed.setdefault(row["width"], []).append((row["part"], row["pivot"], row["low"], row["high"]))
+    cells = {}
+    for width, some in listed.items():
         part, pivot, low, high = map(np.array, zip(*some))
-        cells.of[width] = np.column_stack([part, pivot]), pivot, low, high
+        cells[width] = np.column_stack([part, pivot]), pivot, low, high
+    # One entry per pivot and one per part at most.
     known = spark.sparkContext.broadcast(cells)
 
     @F.pandas_udf("array<struct<part: int, pivot: int>>")
@@ -256,8 +258,10 @@ def retrieve_topk(
         """The cells of this round, in order of bound, that may beat the k-th score."""
         out = pd.Series([[] for _ in range(len(v))], dtype=object)
         for w, places, vectors in _by_width(width, v):
-            names, bound = known.value.bounds(w, vectors)
-            for at, row in zip(places, bound):
+            if w not in known.value:
+                continue
+            names = known.value[w][0]
+            for at, row in zip(places, _bounds(pivots.value[w], known.value[w], vectors)):
                 order = np.argsort(-row, kind="stable")[done.iat[at] : end.iat[at]]
                 out.iat[at] = [(int(p), int(g)) for p, g in names[order[row[order] >= kth.iat[at]]]]
         return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modeljson as mj
+from ..functions.automaton import places_of_marks
 from ..functions.modeljson import Field
 from ..functions.phrases import VERDICT_PHRASES, singular_sources
 from ..functions.text import as_text, strip
@@ -28,6 +29,9 @@ REQUIRED_INPUTS = {"claim": "claim_text", "domain": "domain", "evidence_attempt"
 MISSING_INPUT = "Missing required key in supervisor_input: "
 # ----------------------------------------------------------------------------
 
+#: Rows of evidence whose marks make one automaton, and tests of items with marks up to which none is made.
+MARK_BLOCK, FEW_TESTS = 100_000, 1000
+
 #: Fields read from a reply.
 REPLY_FIELDS = [
     "final_verdict", "confidence_score", "trust_score", "reasoning_summary", "key_evidence_used",
@@ -128,10 +132,13 @@ def _with_citations(
 ) -> DataFrame:
     """Add ``_named``: the places of the items that name an id or source of the claim's evidence.
 
-    Each evidence row meets its claim's items as one array and gives out only the places
-    that match; pairs of items and evidence never exist as rows.  The join leaves rows
-    partitioned as the set of places is gathered, so only that set travels once more.
+    The marks of a claim's evidence are gathered without repeats, and its items are read
+    once for all of them: by an automaton, or by plain tests where these are few
+    (:data:`FEW_TESTS`).  Evidence of a claim with more than a block of rows is dealt to
+    several automata, each with a copy of the items.  Work grows with marks plus items, and
+    pairs of items and evidence never exist as rows.
     """
+    block = min(row_limit, MARK_BLOCK)
     marks = F.filter(
         F.array(
             *[F.lower(name) for name in ("evidence_id", "chunk_id", "document_id")],
@@ -142,44 +149,40 @@ def _with_citations(
         ),
         lambda mark: mark != "",
     )
-    matching = F.filter(
-        F.transform(
-            "_items",
-            lambda item, at: F.when(
-                F.exists("_marks", lambda mark: F.contains(item, mark)), at
-            ),
-        ),
-        lambda at: at.isNotNull(),
-    )
     carried = [name for name in cited.columns if name != "claim_id"]
-    # A hot claim's evidence is dealt to several tasks, each with a copy of the items.
-    # Such a claim has more than ``row_limit`` items of evidence, so these claims are few.
-    hot = F.broadcast(
+    hot = (
         measured.groupBy("claim_id")
-        .agg(F.ceil(F.count(F.lit(1)) / row_limit).cast("int").alias("_salts"))
+        .agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_salts"))
         .filter("_salts > 1")
     )
-    dealt = (
-        evidence.select("claim_id", marks.alias("_marks"), "document_id", "chunk_id", "text")
+    salt = F.pmod(F.xxhash64("document_id", "chunk_id", "text"), F.col("_salts")).cast("int")
+    gathered = (
+        evidence.select("claim_id", marks.alias("_mark"), "document_id", "chunk_id", "text")
         .join(hot, "claim_id", "left")
-        .select(
-            "claim_id", "_marks",
-            F.when(
-                F.col("_salts").isNotNull(),
-                F.pmod(F.xxhash64("document_id", "chunk_id", "text"), F.col("_salts")).cast("int"),
-            ).otherwise(0).alias("_salt"),
-        )
+        .select("claim_id", F.coalesce(salt, F.lit(0)).alias("_salt"), F.explode("_mark").alias("_mark"))
+        .groupBy("claim_id", "_salt")
+        .agg(F.collect_set("_mark").alias("_marks"))
     )
+    few = F.size("_items") * F.size("_marks") <= FEW_TESTS
+    plain = F.filter(
+        F.transform(
+            "_items",
+            lambda item, at: F.when(F.exists("_marks", lambda mark: F.contains(item, mark)), at),
+        ),
+        lambda at: at.isNotNull(),
+    )
+    # Rows with few tests hand nulls to the automaton, which costs next to nothing.
+    many = places_of_marks(F.when(~few, F.col("_items")), F.when(~few, F.col("_marks")))
+    none = F.array().cast("array<int>")
     return (
         cited.join(hot, "claim_id", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .join(dealt, ["claim_id", "_salt"], "left")
+        .join(gathered, ["claim_id", "_salt"], "left")
+        .withColumn("_many", many)
         .select(
-            "claim_id", "_salt", F.struct(*carried).alias("_row"),
-            F.explode_outer(matching).alias("_at"),
+            "claim_id", F.struct(*carried).alias("_row"),
+            F.coalesce(F.when(few, plain).otherwise(F.col("_many")), none).alias("_some"),
         )
-        .groupBy("claim_id", "_salt")
-        .agg(F.first("_row").alias("_row"), F.collect_set("_at").alias("_some"))
         .groupBy("claim_id")
         .agg(F.first("_row").alias("_row"), F.collect_list("_some").alias("_parts"))
         .select("claim_id", "_row.*", F.array_distinct(F.flatten("_parts")).alias("_named"))
