@@ -40,6 +40,8 @@ LEAST = 1000
 RANGE, GAP = 8 << 20, 64 << 10
 #: Index rows handed on at once.
 ROWS = 5000
+#: Bits of the filter that spares most pages the join with the copies; the driver sees 128 kB of it.
+BITS = 1 << 20
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,8 +59,9 @@ FIELDS = {
 def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html, digest, bytes and, for revisits, ``refers_to``.
 
-    Copies are counted on digests, so a hot payload is combined before it is shuffled; only
-    digests of several records are joined back.
+    Copies are counted on digests, so a hot payload is combined before it is shuffled.  Pages
+    whose digest falls on a bit that no copy has set stay where they are; only the rest, which
+    are the copies while these are fewer than :data:`BITS`, travel to the join.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -71,8 +74,23 @@ def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
         .filter((F.col("n") > 1) & F.col("keeper").isNotNull())
         .drop("n")
     )
+    bit = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    word, place = (bit / 64).cast("int"), (bit % 64).cast("int")
+    marks = copies.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+    words = [0] * (BITS // 64)
+    for row in marks.collect():
+        words[row["word"]] = row["bits"]
+    none = F.lit(None).cast("long")
+    if not any(words):
+        return rows.withColumn("refers_to", none)
+    known = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
+    may_be = F.call_function("shiftright", F.get(known, word), place).bitwiseAND(F.lit(1).cast("long")) == 1
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return rows.join(copies, ["digest", "bytes"], "left").withColumn("refers_to", refers).drop("keeper")
+    travelling = rows.filter(may_be).join(copies, ["digest", "bytes"], "left")
+    return (
+        travelling.withColumn("refers_to", refers).drop("keeper")
+        .unionByName(rows.filter(~may_be).withColumn("refers_to", none))
+    )
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
