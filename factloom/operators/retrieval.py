@@ -17,8 +17,8 @@ of a cell (the Cauchy-Schwarz inequality on what lies across the pivot), hence t
 Cells are visited in rounds, best bound first, until a claim's k-th score beats the bounds of all
 cells left.
 
-Texts with equal sets of words, and equal vectors, are searched once; they carry as many of their
-smallest ids as a result can use.  Null ids take no part, nor do texts without words and vectors
+Claims with equal sets of words are searched once, as are equal vectors, which carry as many of
+their smallest ids as a result can use.  Null ids take no part, nor do texts without words and vectors
 that are null, zero, or hold a null or non-finite component; vectors of different length don't meet.
 """
 
@@ -38,7 +38,7 @@ from ..session import ensure_checkpoint_dir
 # Functions of this module travel to the workers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Counters of word occurrences, and occurrences of a word that one task is given.
+#: Counters of word occurrences (a power of two), and occurrences of a word that one task is given.
 SLOTS, POSTINGS = 65_536, 200_000
 #: Room for rounding in thresholds on counts.
 SLACK = 1e-9
@@ -48,9 +48,13 @@ PIVOTS, CELL, BLOCK = 1024, 16_384, 16_384
 ROUNDS = (2, 16)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The distinct words of a text, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return F.array_distinct(_words(text))
 
 
 def _pinned(frame: DataFrame) -> DataFrame:
@@ -67,91 +71,103 @@ def _first_of_each(frame: DataFrame, keys: Sequence[str], order: Sequence[Column
 # --- words ----------------------------------------------------------------------------
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+def _slot(number: Column) -> Column:
+    """The slot of a word, from its hash or from its number in :func:`_postings`."""
+    return number.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def _constant(values: Sequence[int], kind: str) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def word_counts(texts: DataFrame) -> Column:
-    """Occurrences by slot over the column ``words``, as a constant array."""
-    counted = texts.select(F.explode("words").alias("word")).groupBy(_slot(F.col("word")).alias("slot")).count()
+def word_counts(texts: DataFrame, text: str = "text") -> Column:
+    """Occurrences by slot in all texts, as a constant array."""
+    word = texts.select(F.explode(_words(F.col(text))).alias("word"))
+    counted = word.groupBy(_slot(F.xxhash64("word")).alias("slot")).count()
     counts = [0] * SLOTS
     for row in counted.collect():
-        counts[row["slot"]] = row["count"]
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
+        counts[row["slot"]] = min(row["count"], 2**30)
+    return _constant(counts, "long")
 
 
 def _sets(rows: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
-    """id (a struct), words, and a key of the set of words."""
-    known = rows.select(F.struct(*ids).alias("id"), words(F.col(text)).alias("words"))
+    """id (a struct) and the sorted words of the texts that have any."""
+    known = rows.select(F.struct(*ids).alias("id"), F.sort_array(words(F.col(text))).alias("words"))
     for name in ids:
         known = known.filter(F.col(f"id.{name}").isNotNull())
-    return known.filter(F.size("words") > 0).withColumn("key", F.md5(F.array_join(F.array_sort("words"), " ")))
+    return known.filter(F.size("words") > 0)
 
 
-def _postings(sets: DataFrame, counts: Column, least: float, side: str) -> DataFrame:
-    """The first words of each set, rare ones first: key, size, place, word, salts of the word."""
-    ranked = F.array_sort(
-        F.transform("words", lambda w: F.struct(F.get(counts, _slot(w)).alias("n"), F.xxhash64(w).alias("hash")))
+def _postings(sets: DataFrame, counts: Column, least: float, wanted: Column | None = None) -> DataFrame:
+    """The first words of each set, rare ones first: all columns, place, word, salts of the word.
+
+    A word is its count and half a hash in one number.  Words that agree in it meet in vain.
+    Only words whose slot is ``wanted`` become rows.
+    """
+    number = lambda h: F.call_function("shiftleft", F.get(counts, _slot(h)), F.lit(32)).bitwiseOR(
+        h.bitwiseAND(F.lit(0xFFFFFFFF))
     )
+    ranked = F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), number))
     size = F.size("words")
     length = (size - F.ceil(size * least - SLACK) + 1).cast("int")
-    return sets.select(
-        F.col("key").alias(f"{side}_key"), size.alias(f"{side}_size"), F.posexplode(F.slice(ranked, F.lit(1), length))
-    ).select(
-        f"{side}_key", f"{side}_size", F.col("pos").alias(f"{side}_place"), F.col("col.hash").alias("word"),
-        (F.floor(F.col("col.n") / POSTINGS) + 1).cast("int").alias("salts"),
-    )
+    first = F.transform(F.slice(ranked, F.lit(1), length), lambda w, at: F.struct(at.alias("place"), w.alias("word")))
+    if wanted is not None:
+        first = F.filter(first, lambda p: F.get(wanted, _slot(p["word"])) == 1)
+    salts = F.floor(F.call_function("shiftright", F.col("word"), F.lit(32)) / POSTINGS) + 1
+    return sets.select("*", F.inline(first)).withColumn("salts", salts.cast("int"))
 
 
 def lexical_candidates(claims: DataFrame, passages: DataFrame, counts: Column, least: float) -> DataFrame:
-    """(claim_key, passage_key) of the sets that may be ``least`` alike or more."""
-    asked = _postings(claims.dropDuplicates(["key"]), counts, least, "claim").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    ).drop("salts")
-    given = _postings(passages, counts, least, "passage").withColumn(
-        "salt", F.pmod(F.xxhash64("passage_key"), F.col("salts")).cast("int")
-    ).drop("salts")
-    sizes = F.col("claim_size") + F.col("passage_size")
-    left = F.least(F.col("claim_size") - F.col("claim_place"), F.col("passage_size") - F.col("passage_place"))
+    """Pairs that may be ``least`` alike or more, with the words of both.
+
+    ``claims`` has key and words, ``passages`` id and words.  A pair may come several times.
+    """
+    asked = (
+        _postings(claims.select("key", "words"), counts, least)
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .select("word", "salt", F.col("key").alias("claim_key"), F.col("words").alias("claim_words"), F.col("place").alias("claim_place"))
+    )
+    flags = [0] * SLOTS
+    for row in asked.select(_slot(F.col("word")).alias("slot")).distinct().collect():
+        flags[row["slot"]] = 1
+    given = _postings(passages, counts, least, _constant(flags, "tinyint"))
+    given = given.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    claim_size, size = F.size("claim_words"), F.size("words")
+    left = F.least(claim_size - F.col("claim_place"), size - F.col("place"))
     return (
         given.join(asked, ["word", "salt"])
         # As if this were the first word that both share.
-        .filter(left >= F.ceil(sizes * (least / (1 + least)) - SLACK))
-        .select("claim_key", "passage_key")
-        .distinct()
+        .filter(left >= F.ceil((claim_size + size) * (least / (1 + least)) - SLACK))
+        .select("claim_key", "claim_words", "id", "words")
     )
 
 
 def retrieve_lexical(
     claims: DataFrame, passages: DataFrame, claim_ids: Sequence[str], passage_ids: Sequence[str],
-    least: float = 0.5, k: int = 5, text: str = "text",
+    least: float = 0.5, k: int = 5, text: str = "text", counts: Column | None = None,
 ) -> DataFrame:
     """claim ids, rank, passage ids, shared, likeness: each claim's ``k`` most alike passages.
 
-    Only passages of likeness ``least`` (above 0) or more count; ties go to smaller ids.  Passages are read
-    for the word counts, for the index, and for the words of candidates; only keys of
-    candidates, and the texts of passages that are candidates, are shuffled when the claims'
-    postings can be broadcast, and else the postings too.
+    Only passages of likeness ``least`` (above 0) or more count; ties go to smaller ids.
+    ``counts`` are :func:`word_counts` of any texts, by default those of the passages.
+    Passages are shuffled only if the claims are too many to be broadcast, which adaptive
+    execution sees; the first k hits of a claim are cut in each task before they travel.
     """
-    asked, given = _sets(claims, claim_ids, text), _sets(passages, passage_ids, text)
-    pairs = _pinned(lexical_candidates(asked, given, word_counts(given), least))
-    wanted = pairs.select(F.col("passage_key").alias("key")).distinct()
-    members = _pinned(_first_of_each(given.join(wanted, "key", "left_semi"), ["key"], ["id"], k))
+    key = F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
+    asked = _sets(claims, claim_ids, text).withColumn("key", key)
+    given = _sets(passages, passage_ids, text)
+    counts = word_counts(passages, text) if counts is None else counts
     shared = F.size(F.array_intersect("words", "claim_words"))
+    sizes = F.size("words") + F.size("claim_words")
     hits = (
-        pairs.join(members.filter("at = 1").select(F.col("key").alias("passage_key"), "words"), "passage_key")
-        .join(
-            asked.dropDuplicates(["key"]).select(F.col("key").alias("claim_key"), F.col("words").alias("claim_words")),
-            "claim_key",
-        )
-        .select("claim_key", "passage_key", shared.alias("shared"), (F.size("words") + F.size("claim_words")).alias("sizes"))
+        lexical_candidates(asked.dropDuplicates(["key"]), given, counts, least)
+        .select("claim_key", "id", shared.alias("shared"), sizes.alias("sizes"))
         .withColumn("likeness", F.col("shared") / (F.col("sizes") - F.col("shared")))
         .filter(F.col("likeness") >= least - SLACK)
+        .select("claim_key", "id", "shared", "likeness")
+        .distinct()
     )
-    ranked = _first_of_each(
-        hits.join(members.select(F.col("key").alias("passage_key"), "id"), "passage_key"),
-        ["claim_key"], [F.desc("likeness"), "id"], k,
-    )
+    ranked = _first_of_each(hits, ["claim_key"], [F.desc("likeness"), "id"], k)
     best = ranked.groupBy("claim_key").agg(
         F.sort_array(F.collect_list(F.struct("at", "id", "shared", "likeness"))).alias("best")
     )

@@ -665,7 +665,8 @@ def retrieve_lexical(i: Inputs) -> DataFrame:
     claims = translation.sentences_of(i.benchmark, ["item_id"], "text").withColumnRenamed("sentence_no", "claim_no")
     passages = translation.sentences_of(i.documents, ["doc_id"], "text")
     found = retrieval.retrieve_lexical(
-        claims, passages, ["item_id", "claim_no"], ["doc_id", "sentence_no"], text="sentence"
+        claims, passages, ["item_id", "claim_no"], ["doc_id", "sentence_no"], text="sentence",
+        counts=retrieval.word_counts(i.documents),
     )
     return found.withColumn("likeness", F.round("likeness", 6))
 
