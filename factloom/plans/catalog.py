@@ -17,7 +17,7 @@ from ..functions.language import detect_language, latin_count, telugu_count
 from ..functions.phrases import NOTES_PHRASES, VERDICT_PHRASES, singular_sources
 from ..functions.sentences import protect_urls, restore_urls, split_sentences, urls_in
 from ..operators import (
-    attempts, claims, cleaning, domains, explanations, ocr, prompts, reflection, retrieval, segments,
+    attempts, claims, cleaning, domain_weights, domains, explanations, ocr, prompts, reflection, retrieval, segments,
     translation, verdicts,
 )
 from ..sources import evidence as ev
@@ -369,6 +369,27 @@ def domain_eval(i: Inputs) -> DataFrame:
     return domains.confusion(domains.classify(labelled, "claim"))
 
 
+def _learned(i: Inputs) -> DataFrame:
+    """Domains by weights from four fifths of the labelled claims; the rest are held out."""
+    claims = i.claims.select(
+        "claim_id", "claim", tx.strip(F.col("domain")).alias("expected_domain"), (F.col("claim_id") % 5 == 0).alias("held_out")
+    )
+    taught = claims.filter(~F.col("held_out"))
+    found = domain_weights.classify(claims, *domain_weights.word_weights(taught, label="expected_domain"))
+    return claims.join(found, "claim_id")
+
+
+@query
+def domain_learned(i: Inputs) -> DataFrame:
+    return _learned(i).select("claim_id", "held_out", "domain", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def domain_learned_eval(i: Inputs) -> DataFrame:
+    labelled = F.col("held_out") & F.col("expected_domain").isin(domains.DOMAINS)
+    return domain_weights.quality(_learned(i).filter(labelled))
+
+
 @query
 def response_json(i: Inputs) -> DataFrame:
     return i.domain_replies.select("claim_id", mj.fenced_or_braced(F.col("raw")).alias("body"))

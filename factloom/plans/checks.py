@@ -704,6 +704,12 @@ CHECKS: dict[str, str] = {
     "domain_eval": f"""SELECT expected_domain, {', '.join(f"count(*) FILTER (domain = '{d}') AS {d.lower()}" for d in fixed.DOMAINS)},
         {rounded('count(*) FILTER (domain = expected_domain) / CAST(count(*) AS DOUBLE)', 4)} AS accuracy
         FROM (SELECT domain, coalesce({trimmed('expected')}, 'none') AS expected_domain FROM @lexicon_domains) GROUP BY expected_domain""",
+    "domain_learned": "SELECT claim_id, held_out, domain, round(confidence, 4) AS confidence FROM @learned",
+    "domain_learned_eval": """SELECT name AS domain_name, count(*) FILTER (expected = name) AS claims,
+        round(count(*) FILTER (domain = name AND expected = name) / CAST(nullif(count(*) FILTER (domain = name), 0) AS DOUBLE), 4) AS precision,
+        round(count(*) FILTER (domain = name AND expected = name) / CAST(nullif(count(*) FILTER (expected = name), 0) AS DOUBLE), 4) AS recall
+        FROM (SELECT domain, expected, unnest(list_distinct([domain, expected])) AS name FROM @learned WHERE held_out AND expected IS NOT NULL)
+        GROUP BY name""",
     "response_json": "SELECT claim_id, body FROM @domain_answers",
     "domain_parse": "SELECT claim_id, coalesce(json_type(doc) = 'OBJECT', false) AS is_object FROM @domain_answers",
     "domain_validate": "SELECT claim_id, domain, confidence, reason, status FROM @domain_answers",
@@ -815,6 +821,22 @@ STEPS |= {
             SELECT doc_id, unnest({sentences('text')}) AS s, unnest(range(len({sentences('text')}))) AS pos FROM documents))""",
     "words_shared": """SELECT item_id, claim_no, doc_id, sentence_no, any_value(c.n) AS c, any_value(p.n) AS p, count(*) AS shared
         FROM @claim_words c JOIN @passage_words p ON c.word = p.word GROUP BY item_id, claim_no, doc_id, sentence_no""",
+    "label_words": f"""SELECT claim_id, claim_id % 5 = 0 AS held_out, CASE WHEN label IN ({', '.join(quoted(d) for d in fixed.DOMAINS)}) THEN label END AS label,
+        unnest(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+'))) AS word
+        FROM (SELECT claim_id, claim, {trimmed('domain')} AS label FROM @claims)""",
+    "taught_words": "SELECT * FROM @label_words WHERE NOT held_out AND label IS NOT NULL",
+    "taught_counts": """SELECT word, label, coalesce(here, 0) AS y, total - coalesce(here, 0) AS r, whole, (SELECT count(*) FROM @taught_words) - whole AS other,
+            100 * total / CAST((SELECT count(*) FROM @taught_words) AS DOUBLE) AS a, ln(claims / CAST((SELECT count(DISTINCT claim_id) FROM @taught_words) AS DOUBLE)) AS share
+        FROM (SELECT word, count(*) AS total FROM @taught_words GROUP BY word)
+        CROSS JOIN (SELECT label, count(*) AS whole, count(DISTINCT claim_id) AS claims FROM @taught_words GROUP BY label)
+        LEFT JOIN (SELECT word, label, count(*) AS here FROM @taught_words GROUP BY word, label) USING (word, label)""",
+    "learned_scores": """SELECT claim_id, c.label, share + sum(ln((y + a) / (whole + 100 - y - a)) - ln((r + a) / (other + 100 - r - a))) AS score
+        FROM @label_words w JOIN @taught_counts c ON w.word = c.word GROUP BY claim_id, c.label, share""",
+    "learned": f"""SELECT claim_id, claim_id % 5 = 0 AS held_out, coalesce(best, 'Unknown') AS domain, coalesce(sure, 0) AS confidence,
+            CASE WHEN {trimmed('c.domain')} IN ({', '.join(quoted(d) for d in fixed.DOMAINS)}) THEN {trimmed('c.domain')} END AS expected
+        FROM @claims c LEFT JOIN (
+            SELECT claim_id, arg_max(label, score) AS best, 1 / sum(exp(score - top)) AS sure
+            FROM (SELECT *, max(score) OVER (PARTITION BY claim_id) AS top FROM @learned_scores) GROUP BY claim_id) USING (claim_id)""",
     "plain_lines": f"""SELECT doc_id, pos, {trimmed(swap('line', '[ ' + chr(9) + ']+', ' '))} AS line FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM @noisy_documents)""",
     "raw_lines": f"""SELECT doc_id, pos, {trimmed('line')} AS line FROM (
