@@ -139,12 +139,10 @@ def test_clean_claim(apply, raw, claim):
 
 
 PARAGRAPHS = [
-    "The RBI raised the repo rate to 6.5 percent. The central bank\nincreased interest rates to 6.5 percent. "
-    "India's repo rate now\nstands at 6.5 percent. The decision was taken as part of the\ncentral bank's "
-    "monetary policy measures to control inflation\nand maintain economic stability.",
-    "NASA successfully launched a new spacecraft from Florida on\nTuesday. The spacecraft is part of a "
-    "scientific mission that\nwill study a distant planet. Scientists expect the mission to\ncollect "
-    "important scientific data over several years.",
+    "The harbour authority opened a second ferry line on 4 May.\nUntil now one boat had crossed the bay every 90 minutes. "
+    "Fares stay\nas they were for the first year. Shop owners on the far shore\nhope that more guests will come.",
+    "Engineers at VIGIL switched on a tide turbine off the Northern\nSkerries last week. It should feed 1,200 homes "
+    "before winter.\nOld cables had to be replaced along the whole coast. Nobody knows\nyet how seals will take to it.",
     "",
 ]
 
@@ -154,7 +152,7 @@ def test_extractive_claim(apply):
     for text, claim in zip(PARAGRAPHS[:2], claims):
         assert claim and len(claim) < len(text) / 2
         assert claim in " ".join(text.split())
-    assert "NASA" in claims[1]
+    assert "VIGIL" in claims[1] or "1,200" in claims[1]
     assert claims[2] == ""
 
 
