@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.centrality import central
 from ..functions.sentences import split_sentences
 from ..functions.text import as_text, collapse_whitespace, is_blank, strip
 
@@ -19,6 +20,9 @@ CLAIM_ERROR = "claim_extraction_error: "
 FEWEST_WORDS, MOST_WORDS = 10, 30
 # ----------------------------------------------------------------------------
 
+#: Words that may link two sentences: four letters or digits at least.
+LINKING_WORD = r"[\p{L}\p{M}\p{N}]{4,}"
+
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
@@ -65,6 +69,46 @@ def extract_claim(text: Column) -> Column:
     return F.when(is_blank(text), "").otherwise(clean_claim(best_sentence(strip(text))))
 
 
+def central_claims(frame: DataFrame, text: Column, claim: str = "claim") -> DataFrame:
+    """Add the claim of a text as its most central sentence, and its ``centrality``.
+
+    Sentences are linked by the rarer words they share and scored by power iteration, see
+    ``functions.centrality``; of equals the most claim-like (:func:`sentence_score`) is taken,
+    then the earliest.  Nothing leaves the row.  A blank text has an empty claim and no centrality.
+    """
+    words = F.transform(
+        "_sentences",
+        lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(LINKING_WORD), F.lit(0))),
+    )
+    scored = (
+        frame.withColumn("_sentences", split_sentences(strip(text)))
+        .withColumn("_words", words)
+        .withColumn(
+            "_scores",
+            central(
+                F.transform(F.flatten("_words"), lambda word: F.xxhash64(word)),
+                F.transform("_words", lambda held: F.size(held)),
+            ),
+        )
+    )
+    ranked = F.transform(
+        "_sentences",
+        lambda sentence, at: F.struct(
+            F.get("_scores", at).alias("centrality"),
+            sentence_score(sentence).alias("score"),
+            (-at).alias("rank"),
+            sentence.alias("sentence"),
+        ),
+    )
+    best = scored.withColumn("_best", F.array_max(ranked))
+    return best.withColumns(
+        {
+            claim: F.when(is_blank(text), "").otherwise(clean_claim(F.col("_best")["sentence"])),
+            "centrality": F.when(~is_blank(text), F.col("_best")["centrality"]),
+        }
+    ).drop("_sentences", "_words", "_scores", "_best")
+
+
 def claim_list(claim: Column) -> Column:
     """The claim as an array, empty for a blank one."""
     none = F.array().cast("array<string>")
@@ -80,13 +124,15 @@ def claim_input(processed: str = "processed_text", text: str = "text") -> Column
 def choose_claim(processed: DataFrame, mode: str = "extractive") -> DataFrame:
     """Add ``claim`` and, on failure, an entry in ``errors``.
 
-    ``mode="extractive"`` needs no model.  ``mode="replies"`` tidies the model
+    ``mode="extractive"`` and ``mode="central"`` (which adds ``centrality``) need no model.  ``mode="replies"`` tidies the model
     reply in column ``raw``; where there is none the stripped input is the claim
     and the error says so.  Blank input gives an empty claim either way.
     """
     source = claim_input()
     if mode == "extractive":
         return processed.withColumn("claim", extract_claim(source))
+    if mode == "central":
+        return central_claims(processed, source)
     failed = ~is_blank(source) & F.col("raw").isNull()
     return processed.withColumns(
         {

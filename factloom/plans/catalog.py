@@ -322,6 +322,12 @@ def claim_extract(i: Inputs) -> DataFrame:
     return i.noisy_documents.select("doc_id", claims.extract_claim(F.col("text")).alias("claim"))
 
 
+@query
+def claim_central(i: Inputs) -> DataFrame:
+    made = claims.central_claims(i.noisy_documents.select("doc_id", "text"), F.col("text"))
+    return made.select("doc_id", "claim", "centrality")
+
+
 @query
 def claim_clean(i: Inputs) -> DataFrame:
     return i.claim_replies.select("claim_id", claims.clean_claim(F.col("raw")).alias("claim"))

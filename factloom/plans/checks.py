@@ -255,6 +255,53 @@ def claim_steps(name: str, source: str, key: str, value: str) -> dict[str, str]:
     return {name: f"SELECT {key}, {trimmed(swap('c', f'[{WS}]+', ' '))} AS claim FROM ({body})"}
 
 
+def central_steps(name: str, source: str, key: str, value: str) -> dict[str, str]:
+    """Steps that end in ``<name>`` with key, s and centrality of each text's most central sentence."""
+    split = sentences(trimmed(value))
+    rows, words, links, degrees = (f"{name}_{part}" for part in ("rows", "words", "links", "degrees"))
+    steps = {
+        rows: f"SELECT {key}, unnest({split}) AS s, unnest(range(len({split}))) AS pos FROM {source}",
+        words: rf"""SELECT {key}, pos, unnest(list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{M}}\p{{N}}]{{4,}}'))) AS word
+            FROM @{rows}""",
+        links: f"""WITH pairs AS (SELECT {key}, pos AS a, after AS b FROM (
+                SELECT *, lead(pos) OVER (PARTITION BY {key}, word ORDER BY pos) AS after,
+                    count(*) OVER (PARTITION BY {key}, word) AS held FROM @{words})
+                JOIN (SELECT {key}, count(*) AS n FROM @{rows} GROUP BY {key}) USING ({key})
+                WHERE after IS NOT NULL AND held <= greatest(2, n // 5))
+            SELECT {key}, a, b FROM pairs UNION ALL SELECT {key}, b, a FROM pairs""",
+        degrees: f"SELECT {key}, a, count(*) AS d FROM @{links} GROUP BY {key}, a",
+        f"{name}_after_": f"SELECT {key}, pos, CAST(1000000 AS BIGINT) AS score FROM @{rows}",
+    }
+    for at in range(10):
+        steps[f"{name}_after_{'x' * (at + 1)}"] = f"""SELECT {key}, pos, CAST(150000 + coalesce(came, 0) AS BIGINT) AS score
+            FROM @{rows} LEFT JOIN (SELECT {key}, b AS pos, sum(score * 85 // (100 * d)) AS came
+                FROM @{links} JOIN @{degrees} USING ({key}, a)
+                JOIN (SELECT {key}, pos AS a, score FROM @{name}_after_{'x' * at}) USING ({key}, a)
+                GROUP BY {key}, b) USING ({key}, pos)"""
+    steps[name] = f"""SELECT {key}, s, score AS centrality FROM @{rows} JOIN @{name}_after_{'x' * 10} USING ({key}, pos)
+        QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {_likeness_to_claim('s')} DESC, pos) = 1"""
+    return steps
+
+
+def _likeness_to_claim(value: str) -> str:
+    return rf"""(CASE WHEN len(string_split_regex({value}, '[{WS}]+')) BETWEEN 10 AND 30 THEN 2 ELSE 0 END
+        + CASE WHEN regexp_matches({value}, '\p{{Nd}}') THEN 1 ELSE 0 END + CASE WHEN regexp_matches({value}, '[%₹$€]') THEN 1 ELSE 0 END
+        + least(3, len(regexp_extract_all({value}, '[{WS}]\p{{Lu}}'))))"""
+
+
+def parted(framed: str, blocks: str, separator: str, keys: str, size: int) -> str:
+    """SQL that cuts the prompts of ``framed`` (keys, head, tail) with their blocks into numbered parts."""
+    return f"""SELECT {keys}, CAST(start // {size} + 1 AS INTEGER) AS part_no, string_agg(piece, '' ORDER BY position, piece_no) AS part,
+            max(position * 1000000 + piece_no) = any_value(final) AS is_last
+        FROM (SELECT *, sum(length(piece)) OVER w - length(piece) AS start, max(position * 1000000 + piece_no) OVER (PARTITION BY {keys}) AS final
+            FROM (SELECT {keys}, position, i AS piece_no, substring(whole, i * {size} + 1, {size}) AS piece
+                FROM (SELECT {keys}, position, whole, unnest(range((length(whole) + {size - 1}) // {size})) AS i FROM (
+                    SELECT {keys}, 0 AS position, head AS whole FROM {framed} UNION ALL
+                    SELECT {keys}, position, CASE WHEN position > 1 THEN {separator} ELSE '' END || block FROM {blocks} SEMI JOIN {framed} USING ({keys}) UNION ALL
+                    SELECT {keys}, 2147483647, tail FROM {framed})))
+            WINDOW w AS (PARTITION BY {keys} ORDER BY position, piece_no)) GROUP BY {keys}, start // {size}"""
+
+
 _TE, _CONF = language("original_text")
 
 STEPS: dict[str, str] = {
@@ -339,6 +386,8 @@ STEPS: dict[str, str] = {
             FROM (SELECT doc_id, unnest({sentences(trimmed('text'))}) AS s, unnest(range(len({sentences(trimmed('text'))}))) AS pos
                   FROM @noisy_documents)) WHERE place = 1""",
     **claim_steps("best_claim", "@best", "doc_id", "s"),
+    **central_steps("central", "@noisy_documents", "doc_id", "text"),
+    **claim_steps("central_claim", "@central", "doc_id", "s"),
     **claim_steps("answer_claim", "@claim_replies", "claim_id", "raw"),
     "claimed": f"""SELECT submission_id AS claim_id, CASE WHEN {trimmed('source_text')} = '' THEN ''
                 WHEN raw IS NULL THEN {trimmed('source_text')} ELSE claim END AS claim,
@@ -695,6 +744,7 @@ CHECKS: dict[str, str] = {
     ),
     "claim_input": f"""SELECT submission_id, coalesce(nullif({normalized('text')}, ''), nullif(text, ''), '') AS claim_input FROM @submissions""",
     "claim_extract": "SELECT doc_id, claim FROM @best_claim",
+    "claim_central": "SELECT doc_id, claim, centrality FROM @central_claim JOIN @central USING (doc_id)",
     "claim_clean": "SELECT claim_id, claim FROM @answer_claim",
     "claim_list": f"SELECT claim_id, {trimmed('claim')} AS claim FROM @claims WHERE coalesce({trimmed('claim')}, '') <> ''",
     "claim_quality": """SELECT count(*) AS texts, count(*) FILTER (claim <> '') AS with_claim,
