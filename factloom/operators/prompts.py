@@ -75,6 +75,9 @@ EXPLANATION_TEMPLATE = (
 
 #: What a block adds to its text, roughly.
 BLOCK_BYTES = 400
+#: Characters up to which a prompt is one part, and the position of what follows its blocks.
+PART_CHARS = 400_000
+TAIL = 2**31 - 1
 #: Fields of evidence and of a verdict that an explanation is told.
 EVIDENCE_FIELDS = [
     "evidence_id", "chunk_id", "document_id", "text", "domain", "source", "language",
@@ -176,6 +179,70 @@ def evidence_text(
     return joined.withColumnRenamed("count_items", "evidence_count")
 
 
+def prompt_blocks(
+    evidence: DataFrame, order: list[str], block: Column,
+    row_limit: int = GROUP_ROW_LIMIT, keys: tuple[str, ...] = ("claim_id",),
+    measured: DataFrame | None = None,
+) -> DataFrame:
+    """The flat form of :func:`evidence_text`: keys, ``position`` (from 1) and ``block``."""
+    groups = OrderedGroups.of(
+        evidence, keys, order, row_limit, measured, size=F.octet_length("text") + BLOCK_BYTES
+    )
+    return groups.position("position").frame().select(*keys, "position", block.alias("block"))
+
+
+def prompt_parts(
+    framed: DataFrame, blocks: DataFrame, separator: str,
+    keys: tuple[str, ...] = ("claim_id",), size: int = PART_CHARS,
+    row_limit: int = GROUP_ROW_LIMIT,
+) -> DataFrame:
+    """Prompts as numbered parts of bounded size; strung together they are the prompts.
+
+    ``framed`` has the text before (``head``) and after the blocks (``tail``), one row per
+    prompt; blocks of other keys are left out.  A prompt of up to ``size`` characters is one
+    part.  A longer one is cut between blocks, so that every part holds less than twice
+    ``size``; only what is longer than ``size`` by itself is cut inside.  Part numbers are
+    gapless from 1, and ``is_last`` marks the part that completes a prompt.  No task holds
+    more of a prompt than a part, or a bucket of ``groups``.
+    """
+    known = blocks.join(framed.select(*keys), list(keys), "left_semi")
+    joint = F.when(F.col("position") > 1, separator).otherwise("")
+    texts = (
+        framed.select(*keys, F.lit(0).alias("position"), F.col("head").alias("text"))
+        .unionByName(known.select(*keys, "position", F.concat(joint, "block").alias("text")))
+        .unionByName(framed.select(*keys, F.lit(TAIL).alias("position"), F.col("tail").alias("text")))
+    )
+    cut = F.when(
+        F.length("text") > size,
+        F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)),
+    ).otherwise(F.array("text"))
+    pieces = (
+        texts.withColumn("_cut", cut)
+        .select(*keys, "position", F.size("_cut").alias("_many"), F.posexplode("_cut").alias("_piece", "text"))
+        .filter(F.length("text") > 0)
+    )
+    groups = OrderedGroups.of(
+        pieces, keys, ["position", "_piece"], row_limit, size=F.octet_length("text")
+    )
+    placed = groups.running_sum("_upto", F.length("text")).frame()
+    start = F.col("_upto") - F.length("text")
+    listed = F.sort_array(F.collect_list(F.struct("position", "_piece", "text")))
+    return (
+        placed.withColumn("part_no", (F.floor(start / size) + 1).cast("int"))
+        .groupBy(*keys, "part_no")
+        .agg(
+            F.array_join(F.transform(listed, lambda piece: piece["text"]), "").alias("part"),
+            F.bool_or((F.col("position") == TAIL) & (F.col("_piece") == F.col("_many") - 1)).alias("is_last"),
+        )
+    )
+
+
+def _framed(template: str, **values: Column) -> dict[str, Column]:
+    """``head`` and ``tail`` of a template: what stands around its ``{evidence}``."""
+    head, tail = template.split("{evidence}")
+    return {"head": fill(head, **values), "tail": fill(tail, **values)}
+
+
 def claim_prompts(processed: DataFrame, text: str = "processed_text") -> DataFrame:
     return processed.withColumn("prompt", fill(CLAIM_TEMPLATE, text=strip(F.col(text))))
 
@@ -202,6 +269,24 @@ def reflection_prompts(claims: DataFrame, evidence: DataFrame, order: list[str],
     ).select("claim_id", "attempt_no", "prompt")
 
 
+def reflection_parts(claims: DataFrame, evidence: DataFrame, order: list[str],
+                     size: int = PART_CHARS, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+    """:func:`reflection_prompts` in numbered parts, for claims with more evidence than a row holds."""
+    keys = ("claim_id", "attempt_no")
+    counts = evidence.groupBy(*keys).agg(F.count(F.lit(1)).alias("evidence_count"))
+    frame = _framed(
+        REFLECTION_TEMPLATE,
+        claim=F.col("claim"),
+        domain=F.col("domain"),
+        count=F.col("evidence_count"),
+    )
+    framed = claims.join(counts, "claim_id").select(
+        *keys, *[text.alias(name) for name, text in frame.items()]
+    )
+    blocks = prompt_blocks(evidence, order, reflection_block(), row_limit, keys)
+    return prompt_parts(framed, blocks, "\n", keys, size, row_limit)
+
+
 def _flag(name: str) -> Column:
     return F.initcap(F.col(name).cast("string"))
 
@@ -251,6 +336,32 @@ def verdict_prompts(inputs: DataFrame, evidence: DataFrame, order: list[str],
     ).select("claim_id", "try_no", F.concat("_base", reminder).alias("prompt"))
 
 
+def verdict_parts(inputs: DataFrame, evidence: DataFrame, order: list[str],
+                  size: int = PART_CHARS, row_limit: int = GROUP_ROW_LIMIT,
+                  measured: DataFrame | None = None) -> DataFrame:
+    """:func:`verdict_prompts` in numbered parts, for the first try.
+
+    A later try is the same parts with ``RETRY_REMINDER`` at the end, so they are not written again.
+    """
+    frame = _framed(
+        VERDICT_TEMPLATE,
+        claim=F.col("claim"),
+        domain=F.col("domain"),
+        attempts=F.col("attempt_count"),
+        exhausted=_flag("maximum_attempts_reached"),
+        count=F.col("evidence_count"),
+        reflection=reflection_summary(),
+    )
+    found = evidence.groupBy("claim_id").agg(F.lit("").alias("_absent"))
+    framed = inputs.join(found, "claim_id", "left").select(
+        "claim_id",
+        F.concat(frame["head"], F.coalesce("_absent", F.lit(NO_EVIDENCE))).alias("head"),
+        frame["tail"].alias("tail"),
+    )
+    blocks = prompt_blocks(evidence, order, verdict_block(), row_limit, measured=measured)
+    return prompt_parts(framed, blocks, "\n", size=size, row_limit=row_limit)
+
+
 def explanation_prompts(inputs: DataFrame, evidence: DataFrame, verdicts: DataFrame,
                         order: list[str], row_limit: int = GROUP_ROW_LIMIT,
                         measured: DataFrame | None = None) -> DataFrame:
@@ -261,23 +372,35 @@ def explanation_prompts(inputs: DataFrame, evidence: DataFrame, verdicts: DataFr
     blocks = evidence_text(
         evidence, order, json_block(evidence), ",", row_limit, measured=measured
     ).drop("evidence_count")
-    decided = verdicts.select("claim_id", *VERDICT_FIELDS)
-    joined = inputs.join(decided, "claim_id").join(blocks, "claim_id", "left")
-    reflection = F.to_json(F.struct(*RESULT))
-    result = F.to_json(F.struct(*VERDICT_FIELDS))
-    return joined.select(
-        "claim_id",
-        fill(
-            EXPLANATION_TEMPLATE,
-            verdict=F.col("final_verdict"),
-            claim=F.col("claim"),
-            domain=F.col("domain"),
-            attempts=F.col("attempt_count"),
-            exhausted=_flag("maximum_attempts_reached"),
-            count=F.col("evidence_count"),
-            evidence=F.col("evidence"),
-            reflection=reflection,
-            result=result,
-            baseline=baseline_confidence(F.col("confidence_score")),
-        ).alias("prompt"),
+    joined = inputs.join(verdicts.select("claim_id", *VERDICT_FIELDS), "claim_id").join(
+        blocks, "claim_id", "left"
+    )
+    prompt = fill(EXPLANATION_TEMPLATE, evidence=F.col("evidence"), **_explanation_values())
+    return joined.select("claim_id", prompt.alias("prompt"))
+
+
+def explanation_parts(inputs: DataFrame, evidence: DataFrame, verdicts: DataFrame,
+                      order: list[str], size: int = PART_CHARS,
+                      row_limit: int = GROUP_ROW_LIMIT,
+                      measured: DataFrame | None = None) -> DataFrame:
+    """:func:`explanation_prompts` in numbered parts, for claims with more evidence than a row holds."""
+    frame = _framed(EXPLANATION_TEMPLATE, **_explanation_values())
+    framed = inputs.join(verdicts.select("claim_id", *VERDICT_FIELDS), "claim_id").select(
+        "claim_id", *[text.alias(name) for name, text in frame.items()]
     )
+    blocks = prompt_blocks(evidence, order, json_block(evidence), row_limit, measured=measured)
+    return prompt_parts(framed, blocks, ",", size=size, row_limit=row_limit)
+
+
+def _explanation_values() -> dict[str, Column]:
+    return {
+        "verdict": F.col("final_verdict"),
+        "claim": F.col("claim"),
+        "domain": F.col("domain"),
+        "attempts": F.col("attempt_count"),
+        "exhausted": _flag("maximum_attempts_reached"),
+        "count": F.col("evidence_count"),
+        "reflection": F.to_json(F.struct(*RESULT)),
+        "result": F.to_json(F.struct(*VERDICT_FIELDS)),
+        "baseline": baseline_confidence(F.col("confidence_score")),
+    }

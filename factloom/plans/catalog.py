@@ -32,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ARRIVAL = ["arrival"]
+#: Characters of a prompt part in these queries; small, so that prompts of the given tables have several.
+PART = 300
 
 
 def query(build: Callable[[Inputs], DataFrame], name: str | None = None) -> Query:
@@ -732,8 +734,8 @@ def verdict_prompts(i: Inputs) -> DataFrame:
     )
 
 
-@query
-def explanation_prompts(i: Inputs) -> DataFrame:
+def _explained_inputs(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stopped claims, their final evidence, and their verdicts with what these cite."""
     stopped = _stopped_once(i)
     final = verdicts.final_evidence(i.evidence, stopped)
     sized = stopped.select("claim_id", "evidence_count")
@@ -741,6 +743,37 @@ def explanation_prompts(i: Inputs) -> DataFrame:
         verdicts.first_parseable(i.verdict_replies).join(sized, "claim_id")
     )
     cited = verdicts.key_evidence(decided, final, ARRIVAL, measured=i.evidence)
-    return prompts.explanation_prompts(
-        stopped, final, verdicts.with_key_evidence(decided, cited), ARRIVAL, measured=i.evidence,
+    return stopped, final, verdicts.with_key_evidence(decided, cited)
+
+
+@query
+def explanation_prompts(i: Inputs) -> DataFrame:
+    stopped, final, decided = _explained_inputs(i)
+    return prompts.explanation_prompts(stopped, final, decided, ARRIVAL, measured=i.evidence)
+
+
+@query
+def reflection_blocks(i: Inputs) -> DataFrame:
+    """The flat form of what reflection prompts list."""
+    return prompts.prompt_blocks(
+        i.evidence, ARRIVAL, prompts.reflection_block(), keys=("claim_id", "attempt_no")
+    )
+
+
+@query
+def reflection_prompt_parts(i: Inputs) -> DataFrame:
+    return prompts.reflection_parts(i.claims, i.evidence, ARRIVAL, PART)
+
+
+@query
+def verdict_prompt_parts(i: Inputs) -> DataFrame:
+    stopped = _stopped_once(i)
+    return prompts.verdict_parts(
+        stopped, verdicts.final_evidence(i.evidence, stopped), ARRIVAL, PART, measured=i.evidence,
     )
+
+
+@query
+def explanation_prompt_parts(i: Inputs) -> DataFrame:
+    stopped, final, decided = _explained_inputs(i)
+    return prompts.explanation_parts(stopped, final, decided, ARRIVAL, PART, measured=i.evidence)

@@ -861,6 +861,37 @@ CHECKS: dict[str, str] = {
         JOIN {_collected('@final_evidence', _JSON_ITEM, quoted(','))} USING (claim_id)""",
 }
 
+_PLACED = "*, row_number() OVER (PARTITION BY claim_id, attempt_no ORDER BY arrival) AS position"
+_HEAD, _TAIL = fixed.REFLECTION_TEMPLATE.split("{evidence}")
+_REFLECTED = {"claim": "claim", "domain": "domain", "count": "n"}
+_VERDICT_HEAD, _VERDICT_TAIL = fixed.VERDICT_TEMPLATE.split("{evidence}")
+_JUDGED = {
+    "claim": "claim", "domain": "domain", "attempts": "attempt_count", "exhausted": flag("maximum_attempts_reached"),
+    "count": "n", "reflection": _REFLECTION_LINES,
+}
+
+STEPS |= {
+    "reflection_framed": f"""SELECT claim_id, attempt_no, {filled(_HEAD, **_REFLECTED)} AS head, {filled(_TAIL, **_REFLECTED)} AS tail
+        FROM @claims JOIN (SELECT claim_id, attempt_no, count(*) AS n FROM @evidence GROUP BY ALL) USING (claim_id)""",
+    "reflection_listed": f"SELECT claim_id, attempt_no, position, {_REFLECTION_BLOCK} AS block FROM (SELECT {_PLACED} FROM @evidence)",
+    "verdict_framed": f"""SELECT claim_id, {filled(_VERDICT_HEAD, **_JUDGED)} AS head, {filled(_VERDICT_TAIL, **_JUDGED)} AS tail
+        FROM @stopped JOIN (SELECT claim_id, count(*) AS n FROM @final_evidence GROUP BY claim_id) USING (claim_id)""",
+    "verdict_listed": f"SELECT claim_id, position, {_VERDICT_BLOCK} AS block FROM @final_evidence",
+    "explanation_whole": CHECKS["explanation_prompts"],
+    "explanation_listed": f"SELECT claim_id, position, {_JSON_ITEM} AS block FROM @final_evidence",
+    # The blocks lie between known words, so head and tail are what is left of the whole prompt.
+    "explanation_framed": """SELECT claim_id, substring(prompt, 1, opened) AS head, substring(prompt, opened + 1 + long) AS tail
+        FROM (SELECT claim_id, prompt, strpos(prompt, ' passages as JSON: [') + 19 AS opened FROM @explanation_whole) JOIN (
+            SELECT claim_id, CAST(sum(length(block)) + count(*) - 1 AS BIGINT) AS long FROM @explanation_listed GROUP BY claim_id) USING (claim_id)""",
+}
+
+CHECKS |= {
+    "reflection_blocks": "SELECT claim_id, attempt_no, CAST(position AS INTEGER) AS position, block FROM @reflection_listed",
+    "reflection_prompt_parts": parted("@reflection_framed", "@reflection_listed", "chr(10)", "claim_id, attempt_no", 300),
+    "verdict_prompt_parts": parted("@verdict_framed", "@verdict_listed", "chr(10)", "claim_id", 300),
+    "explanation_prompt_parts": parted("@explanation_framed", "@explanation_listed", quoted(","), "claim_id", 300),
+}
+
 STEPS |= {
     "sentence_rows": f"""SELECT doc_id, unnest({sentences('text')}) AS s, unnest(range(len({sentences('text')}))) AS pos FROM @noisy_documents""",
     "claim_words": f"""SELECT item_id, claim_no, len(words) AS n, unnest(words) AS word FROM (
