@@ -19,7 +19,7 @@ import re
 import string
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import exp, lgamma, log, log1p
 
@@ -115,6 +115,19 @@ class Lexicon:
         return found
 
 
+def covered(places: Iterable[int], ranges: list[tuple[int, int]]) -> list[int]:
+    """The places that lie in one of the ranges (end excluded); both are walked once, in order."""
+    found, reach, after = [], -1, 0
+    ranges = sorted(ranges)
+    for at in sorted(places) if ranges else ():
+        while after < len(ranges) and ranges[after][0] <= at:
+            reach = max(reach, ranges[after][1])
+            after += 1
+        if at < reach:
+            found.append(at)
+    return found
+
+
 def measures(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float, float]:
     """Sum of weights, sum per thousand words, and the largest weight, on log scales."""
     hits: dict[int, float] = {}
@@ -126,9 +139,8 @@ def measures(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, floa
                 harmless.append((start, end))
             elif weight > hits.get(start, 0.0):
                 hits[start] = weight
-    for start, end in harmless:
-        for at in [at for at in hits if start <= at < end]:
-            del hits[at]
+    for at in covered(hits, harmless):
+        del hits[at]
     if not hits:
         return 0.0, 0.0, 0.0
     total = sum(hits.values())

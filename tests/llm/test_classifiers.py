@@ -161,3 +161,20 @@ def test_languages_of_odd_documents(odd_documents, no_documents):
     assert langid.predictions(no_documents).collect() == []
     teaching_nothing = odd_documents.selectExpr("doc_id", "text", "cast(null as string) AS lang")
     assert {r["lang_pred"] for r in langid.predictions(teaching_nothing).collect()} == {"und"}
+
+
+def test_exception_phrases_equal_a_walk_over_all_and_stay_linear():
+    import random
+    import time
+
+    draw = random.Random(2)
+    for _ in range(300):
+        places = {draw.randint(0, 60) for _ in range(draw.randint(0, 20))}
+        ranges = [(start, start + draw.randint(0, 15)) for start in draw.choices(range(60), k=draw.randint(0, 8))]
+        plain = {at for at in places if any(start <= at < end for start, end in ranges)}
+        assert set(toxicity.covered(places, ranges)) == plain
+    automaton = toxicity.Lexicon({" idiot ": 1.0}, (" no idiot ",), (0.0,) * 4).automaton()
+    started = time.time()
+    assert toxicity.measures(toxicity.fold("no idiot " * 200_000), automaton) == (0.0, 0.0, 0.0)
+    assert toxicity.measures(toxicity.fold("no idiot " * 200_000 + "idiot"), automaton)[2] == 1.0
+    assert time.time() - started < 20
