@@ -35,6 +35,14 @@ GROUP_BYTE_LIMIT = 512 * 1024 * 1024
 _BUCKET = "_bucket"
 
 
+def group_sizes(frame: DataFrame, keys: Sequence[str], size: Column | None = None) -> DataFrame:
+    """Rows (``_rows``) and bytes (``_bytes``) of each group; ``size`` is what a row adds."""
+    weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
+    return frame.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(weight.cast("long")).alias("_bytes")
+    )
+
+
 @dataclass(frozen=True)
 class _Part:
     frame: DataFrame
@@ -62,35 +70,47 @@ class OrderedGroups:
         measured: DataFrame | None = None,
         size: Column | None = None,
         byte_limit: int = GROUP_BYTE_LIMIT,
+        dealt: Sequence[str] | None = None,
     ) -> OrderedGroups:
         """Group ``frame``, cutting the groups that are larger than ``row_limit``.
 
         ``measured`` names a cheaper table whose groups are at least as large, such
         as the one ``frame`` was filtered from; sizes are then taken there.  ``size``
         is the number of bytes that a row adds to its group; groups of more than
-        ``byte_limit`` bytes are cut too.
+        ``byte_limit`` bytes are cut too.  ``dealt`` names those of ``keys`` that later
+        joins are on: rows are dealt by them alone, so such a join needs no other
+        shuffle, and sizes are taken of all groups that share them.
         """
         keys, order = tuple(keys), tuple(order)
-        weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
-        sizes = (frame if measured is None else measured).groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_rows"), F.sum(weight.cast("long")).alias("_bytes")
-        )
+        dealt = keys if dealt is None else tuple(dealt)
+        sizes = group_sizes(frame if measured is None else measured, dealt, size)
         oversized = sizes.filter((F.col("_rows") > row_limit) | (F.col("_bytes") > byte_limit))
         rows, weighed = oversized.agg(F.sum("_rows"), F.sum("_bytes")).first()
         if not rows:
-            return cls((_Part(frame, False),), keys, order)
+            return cls.ordinary(frame, keys, order, dealt)
 
         ensure_checkpoint_dir(frame.sparkSession)
-        hot_keys = oversized.select(*keys).checkpoint()
+        hot_keys = oversized.select(*dealt).checkpoint()
         buckets = max(-(-rows * 2 // row_limit), -(-weighed * 2 // byte_limit))
-        cold = frame.join(hot_keys, list(keys), "left_anti")
+        cold = cls.ordinary(frame.join(hot_keys, list(dealt), "left_anti"), keys, order, dealt)
         hot = (
-            frame.join(hot_keys, list(keys), "left_semi")
+            frame.join(hot_keys, list(dealt), "left_semi")
             .repartitionByRange(buckets, *keys, *order)
             .withColumn(_BUCKET, F.spark_partition_id())
             .checkpoint()
         )
-        return cls((_Part(cold, False), _Part(hot, True)), keys, order)
+        return cls((*cold.parts, _Part(hot, True)), keys, order)
+
+    @classmethod
+    def ordinary(
+        cls, frame: DataFrame, keys: Sequence[str], order: Sequence[str],
+        dealt: Sequence[str] | None = None,
+    ) -> OrderedGroups:
+        """Groups that are known to be small enough for one task each; see :meth:`of`."""
+        keys = tuple(keys)
+        if dealt is not None and tuple(dealt) != keys:
+            frame = frame.repartition(*dealt)
+        return cls((_Part(frame, False),), keys, tuple(order))
 
     def frame(self) -> DataFrame:
         """All rows, with the columns added so far."""

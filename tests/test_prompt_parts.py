@@ -106,3 +106,32 @@ def test_a_verdict_without_evidence_says_so(spark):
     whole = prompts.verdict_prompts(stopped, none, ["arrival"], tries=1).first()["prompt"]
     (row,) = prompts.verdict_parts(stopped, none, ["arrival"]).collect()
     assert row["part"] == whole and prompts.NO_EVIDENCE in whole and row["is_last"]
+
+
+def evidence_rows(spark, many):
+    rows = [(n, 1 + at % 2, at, f"ev-{n}-{at}", "x" * (7 * at % 50)) for n in range(many) for at in range(1 + n * n % 9)]
+    frame = spark.createDataFrame(rows, "claim_id bigint, attempt_no int, arrival bigint, evidence_id string, text string")
+    empty = ["chunk_id string", "document_id string", "source string", "url string", "title string", "retrieval_method string", "authority_score double", "similarity_score double"]
+    return frame.selectExpr("*", *[f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, empty)])
+
+
+def test_claims_with_more_evidence_are_cut_the_same(spark, monkeypatch):
+    claims = spark.createDataFrame([(n, f"Claim {n}. " * 9, None) for n in range(12)], "claim_id bigint, claim string, domain string")
+    parts = lambda: sorted(map(tuple, prompts.reflection_parts(claims, evidence_rows(spark, 9), ["arrival"], 100).collect()))
+    in_row = parts()
+    monkeypatch.setattr(prompts, "IN_ROW", 3)
+    assert parts() == in_row and len(in_row) > 100
+
+
+@pytest.mark.parametrize("stage", [prompts.reflection_prompts, prompts.reflection_parts])
+def test_evidence_is_shuffled_once_and_by_claim(spark, stage):
+    """Neither rendered blocks nor templates are shuffled: one exchange for evidence, one for claims."""
+    claims = spark.createDataFrame([(1, "A claim.", None)], "claim_id bigint, claim string, domain string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = stage(claims, evidence_rows(spark, 3), ["arrival"])
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning(") == 2
