@@ -1,7 +1,8 @@
 """Unicode composition for texts that need it.
 
 Spark has no function for it.  The function is deterministic to the optimiser, so
-filters pass below it, and callers hand it null for texts that are composed already.
+filters pass below it, and callers hand it only the stretches of a text that may change,
+and null for texts that have none.
 It travels to the workers by value, so they need not have this package.
 """
 

@@ -214,3 +214,38 @@ def test_filters_reach_submissions(spark, stored):
     one = process_submissions(spark.read.parquet(stored), *none).filter("submission_id = 3")
     assert pushed(one) and all("EqualTo(submission_id,3)" in line for line in pushed(one))
     assert [r.processed_text for r in one.collect()] == ["Text 3 café !"]
+
+
+def test_composition_of_stretches_equals_whole_texts(apply):
+    """Any mix of marks, conjoining letters, compatibility forms and plain text, line feeds included."""
+    odd = ["é", "̣", "̇", "ᄀ", "ᅡ", "ᆨ", "가", "Å", "יִ", "\U0002f800", "ె", "ౖ", "్",
+           "क़", "\n", "\x00", "a", "ß", "é", "🙂", " ", "ཱ", "ི", "\U0001d15e", "ḋ", "​", " ", "\U00011131", "\U00011127"]
+    draw = random.Random(11)
+    texts = ["", *odd, *["".join(draw.choice(odd) for _ in range(draw.randint(1, 12))) for _ in range(2000)], None]
+    assert apply(tx.compose_unicode, texts) == [text and unicodedata.normalize("NFC", text) for text in texts]
+
+
+def test_all_other_characters_are_stable(spark):
+    """What is not sent to Python neither changes nor joins, for every character that there is."""
+    from pyspark.sql import functions as F
+
+    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    touched = []
+    for at in range(0x110000):
+        if not 0xD800 <= at < 0xE000:
+            parts = unicodedata.decomposition(chr(at)).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                seconds.add(int(parts[1], 16))
+            if unicodedata.combining(chr(at)) or unicodedata.normalize("NFC", chr(at)) != chr(at):
+                touched.append(at)
+    frame = spark.createDataFrame([(chr(at),) for at in {*touched, *seconds}], "text string")
+    assert frame.filter(~F.col("text").rlike(f"[{tx.UNSTABLE}]")).collect() == []
+
+
+def test_only_stretches_leave_the_jvm(spark):
+    """Of a long text with one mark, a few characters are handed to Python."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([("ü" * 5000 + "é",)], "text string")
+    plan = frame.select(tx.compose_unicode(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(text" in plan.split("ArrowEvalPython")[1].split("\n")[0]
