@@ -23,12 +23,16 @@ from .domains import DOMAINS, UNKNOWN, words_of
 #: Words given in advance to all domains together.
 PRIOR = 100.0
 _LEAST = 1e-9
+#: A word with more than this share of all words (1 in so many) is joined by broadcast; as the
+#: shares add up to one, there are at most so many of them.
+OFTEN = 1000
 
 
 def word_weights(
     labelled: DataFrame, claim: str = "claim", label: str = "label", prior: float = PRIOR
 ) -> tuple[DataFrame, dict[str, float]]:
-    """(word with its ``weights``, one per domain in order; log share of claims per domain that has any)."""
+    """(word with its ``weights``, one per domain in order, and whether it is said ``often``; log share of
+    claims per domain that has any)."""
     taught = labelled.select(F.col(label).alias("label"), words_of(F.col(claim)).alias("words")).filter(
         F.col("label").isin(DOMAINS) & (F.size("words") > 0)
     )
@@ -51,7 +55,8 @@ def word_weights(
         return odds(F.col(f"n_{at}"), whole) - odds(F.col("n") - F.col(f"n_{at}"), words - whole)
 
     weights = F.array(*[weight(at, name) for at, name in enumerate(DOMAINS)])
-    return counted.select("word", weights.alias("weights")), {n: log(c / claims) for n, (c, _) in totals.items()}
+    often = (F.col("n") * OFTEN > F.lit(words)).alias("often")
+    return counted.select("word", weights.alias("weights"), often), {n: log(c / claims) for n, (c, _) in totals.items()}
 
 
 def classify(
@@ -59,12 +64,18 @@ def classify(
 ) -> DataFrame:
     """(key, domain, confidence) of each claim; confidence is the domain's part of all odds.
 
-    ``key`` is unique.  Frequent words skew the join on them; the vocabulary holds each once,
-    so adaptive execution splits the other side.
+    ``key`` is unique.  Words said often are looked up where the claims are, so that no task of
+    the join on words gets all claims that hold one.
     """
     spoken = claims.select(key, F.explode(words_of(F.col(claim))).alias("word"))
     sums = [F.sum(F.col("weights")[at]).alias(f"s_{at}") for at in range(len(DOMAINS))]
-    scored = spoken.join(weights, "word").groupBy(key).agg(*sums)
+    often = weights.filter("often").select("word", "weights")
+    tagged = spoken.join(F.broadcast(often), "word", "left")
+    rare = tagged.filter(F.col("weights").isNull()).select(key, "word").join(
+        weights.filter(~F.col("often")).select("word", "weights"), "word"
+    )
+    found = tagged.filter(F.col("weights").isNotNull()).select(key, "weights").unionByName(rare.select(key, "weights"))
+    scored = found.groupBy(key).agg(*sums)
     named = [(F.col(f"s_{at}") + F.lit(shares[name]), name) for at, name in enumerate(DOMAINS) if name in shares]
     none = claims.select(key, F.lit(UNKNOWN).alias("domain"), F.lit(0.0).alias("confidence"))
     if not named:

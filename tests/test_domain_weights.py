@@ -82,3 +82,17 @@ def test_quality(spark):
     got = {r["domain_name"]: r for r in domain_weights.quality(spark.createDataFrame(rows, "domain string, expected_domain string")).collect()}
     assert (got["Medical"]["claims"], got["Medical"]["precision"], got["Medical"]["recall"]) == (3, 1.0, 0.3333)
     assert (got["Politics"]["claims"], got["Politics"]["precision"], got["Politics"]["recall"]) == (0, 0.0, None)
+
+
+def test_frequent_words_are_not_dealt_by_word(spark):
+    """What every claim says is joined where the claims are; its rows reach no exchange on words."""
+    frame = spark.createDataFrame([(at, f"the bond n{at}", "Finance") for at in range(3000)], "claim_id long, claim string, label string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights, shares = domain_weights.word_weights(frame)
+        assert {row["word"] for row in weights.filter("often").collect()} == {"the", "bond"}
+        plan = domain_weights.classify(frame, weights, shares)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [word" in plan
