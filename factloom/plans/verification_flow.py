@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explanations
-from ..operators.attempts import given_up, reflect_attempts, stop
+from ..operators.attempts import given_up, reflect_until_stop
 from ..operators.groups import GROUP_ROW_LIMIT
 from ..operators.reflection import NO_EVIDENCE
 from ..operators.reflection import RESULT as REFLECTION
@@ -31,7 +31,7 @@ def decide(claims: DataFrame, evidence: DataFrame, replies: DataFrame) -> DataFr
     or have no usable verdict are not in it; see ``given_up`` and
     ``without_verdict``.
     """
-    stopped = verdict_inputs(stop(reflect_attempts(claims, evidence, replies), ["claim", "domain"]))
+    stopped = verdict_inputs(reflect_until_stop(claims, evidence, replies, ["claim", "domain"]))
     reflected = stopped.withColumnsRenamed({name: f"reflection_{name}" for name in REFLECTION})
     return parse_verdicts(reflected.join(first_parseable(replies), "claim_id"))
 
