@@ -65,14 +65,29 @@ def verification_rejects(
     )
 
 
+def explanation_docs(replies: DataFrame) -> DataFrame:
+    """Per claim (claim_id, doc, usable) of its earliest recorded explanation.
+
+    Replies are parsed before one is chosen: a test of the parsed reply can then not move
+    below the choice, where it would parse each reply once more for every mention of it.
+    ``usable`` stands by itself, for steps that need no more.
+    """
+    said = explanations.parse_replies(
+        replies.filter(F.col("stage") == "explanation").select("claim_id", "try_no", "raw")
+    )
+    return said.withColumn("usable", F.col("doc").isNotNull()).groupBy("claim_id").agg(
+        F.min_by("doc", "try_no").alias("doc"), F.min_by("usable", "try_no").alias("usable")
+    )
+
+
 def _report_and_citations(
     claims: DataFrame, evidence: DataFrame, replies: DataFrame, order: list[str], row_limit: int
 ) -> tuple[DataFrame, DataFrame]:
     """The flat report, and the citations of all decided claims."""
     ensure_checkpoint_dir(claims.sparkSession)
     decided = decide(claims, evidence, replies).checkpoint()
-    asked = attach_replies(decided, replies, "explanation", ["claim_id"])
-    explained = explanations.validate(explanations.parse_replies(asked).drop("raw"))
+    asked = decided.join(explanation_docs(replies).drop("usable"), "claim_id")
+    explained = explanations.validate(asked)
     report = explained.select(
         "claim_id", "claim", "domain", "attempt_count", "maximum_attempts_reached",
         *[f"reflection_{name}" for name in REFLECTION],
@@ -100,7 +115,9 @@ def verification_tables(
     those steps from a lost executor.
     """
     report, cited = _report_and_citations(claims, evidence, replies, order, row_limit)
-    return report, cited.join(report.select("claim_id"), "claim_id", "left_semi")
+    # Only decided claims have citations, so of these the report has those with an explanation.
+    explained = explanation_docs(replies).filter("usable").select("claim_id")
+    return report, cited.join(explained, "claim_id", "left_semi")
 
 
 def verification_report(

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators.verdicts import first_parseable, parse_verdicts
 from factloom.plans.inputs import Inputs
-from factloom.plans.verification_flow import verification_rejects, verification_report
+from factloom.plans.verification_flow import (
+    explanation_docs, verification_rejects, verification_report, verification_tables,
+)
 from factloom.sources.evidence import coerce_loose, with_defaults
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +51,21 @@ def test_loose_evidence_keeps_all_fields(spark):
     row = coerce_loose(spark.createDataFrame([(raw,)], "raw string"), "raw").first()
     assert (row.text, row.language, row.metadata) == ("t", "te", '{"a":[1]}')
     assert row.other == {"page": "7", "nested": '{"k":"v"}', "gone": None}
+
+
+def test_a_reply_is_parsed_before_it_is_tested(spark):
+    """Each test of a parsed explanation that moves below it would parse the reply again."""
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    for frame in verification_tables(i.claims, i.evidence, i.replies, ["arrival"]):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "parseJson" in line]
+
+
+def test_the_earliest_explanation_counts(spark):
+    said = [
+        ("explanation", 1, 1, 2, '{"a": 1}'), ("explanation", 1, 1, 1, "no"), ("explanation", 2, 1, 1, 'x {"a": 1} y'),
+        ("explanation", 2, 1, 2, "no"), ("explanation", 3, 1, 1, None), ("explanation", 4, 1, 1, "[1]"), ("supervisor", 5, 1, 1, "{}"),
+    ]
+    replies = spark.createDataFrame(said, "stage string, claim_id bigint, attempt_no int, try_no int, raw string")
+    rows = {r.claim_id: (r.none, r.usable) for r in explanation_docs(replies).selectExpr("claim_id", "doc IS NULL AS none", "usable").collect()}
+    assert rows == {1: (True, False), 2: (False, True), 3: (True, False), 4: (True, False)}
