@@ -6,7 +6,7 @@ most ``radius`` bits; documents that are connected by links form a component.
 All links are found, and none is written out twice or as a pair within a group:
 
 1. Equal fingerprints are one node, so copies cost nothing more.
-2. Six blocks of bits: with at most four bits different, two blocks are equal.  Each node
+2. Two blocks of bits more than the radius: linked nodes have two equal blocks.  Each node
    goes to one bucket for each pair of blocks; linked nodes meet in a bucket.  Buckets
    above :data:`BUCKET` nodes are dealt again by equal parts of their other bits.
 3. In a bucket, nodes are sorted by Gray rank, so neighbours differ in few bits.  Groups
@@ -15,7 +15,8 @@ All links are found, and none is written out twice or as a pair within a group:
    down, counting each bit at the highest place that has it, and leaves out a group as soon
    as the sum exceeds the radius, or when the group is in the component already.
 4. A bucket hands on one edge per node at most (to the smallest of its component there).
-   Components over buckets are found by star contraction on tables.
+   Components over buckets are found by star contraction on tables.  For links that have
+   yet to be confirmed, each node gets the nearest of those that joined its buckets (:func:`links`).
 
 Null text counts as the empty text.  Texts without words have fingerprint zero and link
 like any other.  Null ids are never the smallest id of a component unless all are null.
@@ -37,14 +38,19 @@ from .common import attach, pinned, text_or_empty, unused, with_code
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Nodes that one bucket should hold at most.
 BUCKET = 500_000
-#: First bit and number of bits of the blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Members of a group of the index, and queries that search together.
 FAN, TOGETHER = 8, 4096
 #: Rows that a task puts in order at a time, if not one bucket has more.
 AT_ONCE = 400_000
 
 
+def majority(hashed: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned number."""
+    bits = np.unpackbits(hashed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    often = np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(hashed)
+    return int(np.packbits(often, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str) -> int:
     """The SimHash of a whole text, as an unsigned number."""
     words = text.encode("utf-8").lower().split()
@@ -55,12 +61,9 @@ def fingerprint(text: str) -> int:
     starts = (ends - [len(word) for word in words]).tolist()
     wide = min(WORDS, len(words))
     digest = xxhash.xxh64_intdigest
-    hashed = np.array(
-        [digest(data[a:b], SEED) for a, b in zip(starts, ends[wide - 1 :].tolist())], dtype="<u8"
+    return majority(
+        np.array([digest(data[a:b], SEED) for a, b in zip(starts, ends[wide - 1 :].tolist())], dtype="<u8")
     )
-    bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    often = np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(hashed)
-    return int(np.packbits(often, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -82,13 +85,23 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def components(size: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The smallest member of each one's component, given earlier labels and more links."""
+def components(
+    size: int, left: np.ndarray, right: np.ndarray, label: np.ndarray, used: list[np.ndarray] | None = None
+) -> np.ndarray:
+    """The smallest member of each one's component, given earlier labels and more links.
+
+    Links that joined two components are added to ``used``: one less than a component has members.
+    """
     while len(left):
         a, b = label[left], label[right]
         apart = a != b
         left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        if used is not None and len(left):
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, np.diff(high[order]) > 0]]
+            used.append(np.stack([left[first], right[first]]))
+        np.minimum.at(label, high, low)
         while True:
             next_label = label[label]
             if np.array_equal(next_label, label):
@@ -142,22 +155,24 @@ class GrayIndex:
         return query, node
 
 
-def linked(values: np.ndarray, radius: int) -> np.ndarray:
-    """Component labels of distinct values in Gray order."""
+def linked(values: np.ndarray, radius: int, used: list[np.ndarray] | None = None) -> np.ndarray:
+    """Component labels of distinct values in Gray order; ``used`` as in :func:`components`."""
     label = np.arange(len(values))
     for step in range(1, min(FAN, len(values))):
         near = np.flatnonzero(np.bitwise_count(values[:-step] ^ values[step:]) <= radius)
-        label = components(len(values), near, near + step, label)
+        label = components(len(values), near, near + step, label, used)
     if len(values) > FAN:
         index = GrayIndex(values)
         for first in range(0, len(values), TOGETHER):
             found = index.links(first, min(first + TOGETHER, len(values)), label, radius)
-            label = components(len(values), *found, label)
+            label = components(len(values), *found, label, used)
     return label
 
 
-def bucket_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, smallest value of its component) of all buckets."""
+def _labelled(
+    keys: np.ndarray, values: np.ndarray, radius: int, used: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by bucket, and for each the first place of its component in its bucket."""
     order = np.lexsort((gray_rank(values), keys))
     keys, values = keys[order], values[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -171,37 +186,59 @@ def bucket_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
             & (np.bitwise_count(values[:-step] ^ values[step:]) <= radius)
         )
         at = np.flatnonzero(near)
-        label = components(len(values), at, at + step, label)
+        label = components(len(values), at, at + step, label, used)
     for start, size in zip(starts[sizes > FAN], sizes[sizes > FAN]):
-        label[start : start + size] = start + linked(values[start : start + size], radius)
+        inside = None if used is None else []
+        label[start : start + size] = start + linked(values[start : start + size], radius, inside)
+        if inside:
+            used.extend(start + pair for pair in inside)
+    return order, label
+
+
+def bucket_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, smallest value of its component) of all buckets."""
+    order, label = _labelled(keys, values, radius)
+    values = values[order]
     moved = np.flatnonzero(label != np.arange(len(values)))
     return values[moved], values[label[moved]]
 
 
+def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that joined the components of all buckets."""
+    used = [np.zeros((2, 0), dtype=np.int64)]
+    order, _ = _labelled(keys, values, radius, used)
+    left, right = np.concatenate(used, axis=1)
+    return order[left], order[right]
+
+
 def _part(value: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of the blocks: two more than the radius, of nearly equal size."""
+    whole, more = divmod(64, radius + 2)
+    return [(at * whole + min(at, more), whole + (at < more)) for at in range(radius + 2)]
+
+
 def bucketed(nodes: DataFrame, radius: int, limit: int = BUCKET) -> DataFrame:
-    """(key, fp): the buckets of each node; nodes within the radius share one of them."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError("the blocks are laid out for a smaller radius")
+    """The buckets (key) of each node (fp and what else it has); nodes within the radius share one of them."""
     pairs = [
-        F.xxhash64(F.lit(at), _part(F.col("fp"), *BLOCKS[a]), _part(F.col("fp"), *BLOCKS[b]))
-        for at, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
+        F.xxhash64(F.lit(at), _part(F.col("fp"), *a), _part(F.col("fp"), *b))
+        for at, (a, b) in enumerate(combinations(blocks(radius), 2))
     ]
-    keyed = nodes.select("fp", F.posexplode(F.array(*pairs)).alias("pair", "key"))
+    keyed = nodes.select(F.explode(F.array(*pairs)).alias("key"), *nodes.columns)
     large = pinned(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("key"))
     if large.isEmpty():
-        return keyed.select("key", "fp")
+        return keyed
     # Inside such a bucket, at most ``radius`` of radius + 1 parts of the word differ.
     edges = [64 * at // (radius + 1) for at in range(radius + 2)]
     parts = [
         F.xxhash64(F.col("key"), F.lit(at), _part(F.col("fp"), a, b - a))
         for at, (a, b) in enumerate(zip(edges, edges[1:]))
     ]
-    again = keyed.join(large, "key", "left_semi").select(F.explode(F.array(*parts)).alias("key"), "fp")
-    return keyed.join(large, "key", "left_anti").select("key", "fp").unionByName(again)
+    again = keyed.join(large, "key", "left_semi").select(F.explode(F.array(*parts)).alias("key"), *nodes.columns)
+    return keyed.join(large, "key", "left_anti").unionByName(again)
 
 
 def edges(nodes: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFrame:
@@ -215,10 +252,30 @@ def edges(nodes: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFr
             )
             yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    keyed = bucketed(nodes, radius, limit).repartition("key").sortWithinPartitions("key")
+    keyed = bucketed(nodes.select("fp"), radius, limit).repartition("key").sortWithinPartitions("key")
     return keyed.mapInPandas(search, "a long, b long").distinct()
 
 
+def links(nodes: DataFrame, radius: int, limit: int = BUCKET) -> DataFrame:
+    """(a, b): for each node that has links, the nearest in bits of those that joined its buckets.
+
+    ``nodes``: fp, node (the name); several nodes may have one fingerprint.
+    """
+    with_code(nodes.sparkSession)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _grouped(batches):
+            values, names = batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()
+            a, b = bucket_links(batch["key"].to_numpy(), values, radius)
+            a, b = np.r_[a, b], np.r_[b, a]
+            bits = np.bitwise_count(values[a] ^ values[b]).astype(np.int32)
+            yield pd.DataFrame({"a": names[a], "bits": bits, "b": names[b]})
+
+    keyed = bucketed(nodes.select("fp", "node"), radius, limit).repartition("key").sortWithinPartitions("key")
+    found = keyed.mapInPandas(search, "a long, bits int, b long")
+    return found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("near")).select("a", "near.b")
+
+
 def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches sorted by key, put together so that no key is in two of them."""
     held: list[pd.DataFrame] = []
@@ -288,8 +345,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns.
 
-    Components are those of :mod:`minhash`: five words, likeness 0.8; the four words and
-    bits of this module hold for :func:`near_duplicates` only.
+    Components are those of :mod:`minhash`: fingerprints of five words, found by the index of
+    this module, likeness 0.8; four words and four bits hold for :func:`near_duplicates` only.
     Rows are told apart by id and text: of rows with one id, each text is judged by itself,
     and rows that repeat both are one document.  Documents without an id link others but are
     all kept, since nothing tells them apart.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from factloom.llm import fingerprints, neighbours, simhash
+from factloom.llm import fingerprints, minhash, neighbours, simhash
 
 
 # --- fingerprints ---------------------------------------------------------------------
@@ -303,3 +303,44 @@ def test_stage_judges_texts_of_one_id_by_themselves(spark):
     assert sorted(map(tuple, kept.collect())) == sorted([(1, one), (2, two), (3, three)])
     both = spark.createDataFrame([(1, one), (1, two)], "doc_id long, text string")
     assert sorted(r["text"] for r in simhash.keep_first(both).collect()) == sorted([one, two])
+
+
+def test_links_are_within_the_radius_and_connect_what_all_links_connect():
+    values = clustered(10, 12, 20, 4) + clustered(11, 60, 1, 0)
+    keys = np.arange(len(values)) % 2
+    rows = np.array(values, dtype=np.uint64)
+    left, right = simhash.bucket_links(keys, rows, minhash.RADIUS)
+    assert len(left) and (keys[left] == keys[right]).all()
+    assert (np.bitwise_count(rows[left] ^ rows[right]) <= minhash.RADIUS).all()
+    label = simhash.components(len(values), left, right, np.arange(len(values)))
+    for key in (0, 1):
+        own = connected([value for value, of in zip(values, keys) if of == key], minhash.RADIUS)
+        assert label[keys == key].tolist() == np.flatnonzero(keys == key)[own].tolist()
+
+
+def test_stage_finds_links_by_fingerprints_without_bands(spark, monkeypatch):
+    chance = random.Random(23)
+    texts = []
+    for size in (150, 300, 600):
+        for _ in range(4):
+            base = [f"w{chance.randrange(3000)}" for _ in range(size)]
+            for change in range(3):
+                texts.append(" ".join([*base[: size - change], *["other"] * change]))
+    texts += [texts[0].upper(), "", None, "a b"]
+    sets = [minhash.shingles(text or "") for text in texts]
+    bits = [simhash.majority(one) for one in sets]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= minhash.RADIUS]
+    assert all(minhash.likeness(sets[a], sets[b]) >= 0.8 for a, b in pairs) and len(pairs) > 24
+    kept = set(connected(bits, minhash.RADIUS))
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: [minhash.node_of(hashes)])
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.keep_first(frame).collect()} == kept
+
+
+def test_stage_confirms_what_fingerprints_link(spark, monkeypatch):
+    texts = [" ".join(f"{name}{at}" for at in range(40)) for name in "abc"] + ["a0 a1 a2"]
+    monkeypatch.setattr(minhash, "majority", lambda hashes: 7)
+    frame = spark.createDataFrame([*enumerate(texts + texts[:2])], "doc_id long, text string").repartition(3)
+    nodes = minhash.nodes_of(frame).groupBy("node", "fp").count()
+    assert simhash.links(nodes, minhash.RADIUS).select("a").distinct().count() == 4
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == [0, 1, 2, 3]
