@@ -43,6 +43,19 @@ def group_sizes(frame: DataFrame, keys: Sequence[str], size: Column | None = Non
     )
 
 
+def within_limits(
+    frame: DataFrame, keys: Sequence[str], row_limit: int, byte_limit: int, size: Column
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups within both limits, and the keys of all others, pinned; None if there are none."""
+    sizes = group_sizes(frame, keys, size)
+    large = sizes.filter((F.col("_rows") > row_limit) | (F.col("_bytes") > byte_limit)).select(*keys)
+    if large.isEmpty():
+        return frame, None
+    ensure_checkpoint_dir(frame.sparkSession)
+    large = large.checkpoint()
+    return frame.join(large, list(keys), "left_anti"), large
+
+
 @dataclass(frozen=True)
 class _Part:
     frame: DataFrame
